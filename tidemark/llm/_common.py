@@ -13,7 +13,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,10 +81,6 @@ def words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray, np
     return distinct, index, offsets
 
 
-def word_hashes(distinct: pa.Array) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(w) for w in distinct.to_pylist()], dtype=np.uint64)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(32))
@@ -101,6 +96,23 @@ def chain(hashes: list[np.ndarray], seed: int = 0) -> np.ndarray:
     return out
 
 
+def word_hashes(distinct: pa.Array) -> np.ndarray:
+    """64-bit hash of each string's bytes, eight at a time over all strings that are long enough."""
+    offsets = np.frombuffer(distinct.buffers()[1], np.int32)[distinct.offset : distinct.offset + len(distinct) + 1].astype(np.int64)
+    data = np.concatenate([np.frombuffer(distinct.buffers()[2] or b"", np.uint8)[: offsets[-1]], np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) - 7, np.dtype("<u8"), data, strides=(1,))
+    left = np.diff(offsets)
+    out, at, live = mix(left.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), offsets[:-1].copy(), np.flatnonzero(left > 0)
+    while len(live):
+        rest = left[live]
+        keep = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * (np.uint64(8) - np.minimum(rest, 8).astype(np.uint64)))
+        out[live] = mix(mix(out[live] ^ (eight[at[live]] & keep)) + np.uint64(0xC2B2AE3D27D4EB4F))
+        left[live] -= 8
+        at[live] += 8
+        live = live[left[live] > 0]
+    return out
+
+
 def owners(offsets: np.ndarray) -> np.ndarray:
     """For each element of a ragged array, the number of its row."""
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from tidemark.llm.language_id import op4_language_id
+from tidemark.llm.line_dedup import op7_line_dedup
 from tidemark.llm.packing import op3_best_fit_packing
+from tidemark.llm.span_dedup import op8_span_dedup
 from tidemark.llm.token_counts import op1_token_counts
 from tidemark.llm.warc import op5_warc
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_best_fit_packing, op4_language_id, op5_warc)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_best_fit_packing, op4_language_id, op5_warc, op7_line_dedup, op8_span_dedup)}
 ORACLES: dict[str, str] = {}
