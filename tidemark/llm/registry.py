@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.llm.decontamination import op9_decontamination
 from tidemark.llm.language_id import op4_language_id
 from tidemark.llm.line_dedup import op7_line_dedup
 from tidemark.llm.lm_scoring import op10_lm_scoring
@@ -12,5 +13,5 @@ from tidemark.llm.token_counts import op1_token_counts
 from tidemark.llm.vector_search import op2_vector_search
 from tidemark.llm.warc import op5_warc
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_vector_search, op3_best_fit_packing, op4_language_id, op5_warc, op6_ngram_join, op7_line_dedup, op8_span_dedup, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_vector_search, op3_best_fit_packing, op4_language_id, op5_warc, op6_ngram_join, op7_line_dedup, op8_span_dedup, op9_decontamination, op10_lm_scoring)}
 ORACLES: dict[str, str] = {}
