@@ -27,6 +27,7 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ from tidemark.llm._common import checkpointed, documents, slices, words
 
 CAPACITY = 2048
 #: Words a worker remembers with their ids; when more, it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 #: Rows of one length are numbered within so many groups.
 SALTS = 64
 
@@ -52,39 +53,67 @@ def _tokenizer(path: str):
 
 
 class _WordIds:
-    """Ids of white-space-delimited words, remembered.
+    """Ids of words, remembered.
 
     The tokenizer drops white space before it splits and merges nothing across it, so the ids of a
-    text are those of its words in turn.
+    text are those of its words in turn. A plain word (Latin letters, then perhaps some marks) is
+    split as the tokenizer does, and many bare words are encoded as one text, in which every word
+    ends with a token that says so. Other words are encoded one by one.
     """
 
+    _PLAIN = r"^(?P<a>[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+)(?P<b>[.,;:!?*$%&#|()]*)$"
+
     def __init__(self, path: str):
-        self.path, self.clear = path, self._clear
+        self.path = path
+        vocabulary = _tokenizer(path).get_vocab()
+        self.ending = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ending[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self):
-        self.place: dict[str, int] = {}
-        self.starts, self.ids, self.used = [0], np.zeros(1 << 20, np.uint32), 0
+        self.place: dict[str, int] = {"": 0}
+        self.starts, self.known = np.zeros(1 << 16, np.int64), 1
+        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
+
+    def _keep(self, names: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.known + len(names) >= len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[self.known + 1 : self.known + 1 + len(names)] = self.used + np.cumsum(lengths)
+        self.place.update(zip(names, range(self.known, self.known + len(names)), strict=True))
+        self.used, self.known = self.used + len(ids), self.known + len(names)
+
+    def _one_by_one(self, names: list[str]) -> None:
+        for at in range(0, len(names), 4096):
+            each = [e.ids for e in _tokenizer(self.path).encode_batch_fast(names[at : at + 4096], add_special_tokens=False)]
+            self._keep(names[at : at + 4096], np.array([i for ids in each for i in ids], np.uint32), np.array([len(ids) for ids in each]))
+
+    def _bare(self, names: list[str]) -> None:
+        for at in range(0, len(names), 4096):
+            some = names[at : at + 4096]
+            ids = np.array(_tokenizer(self.path).encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.ending[ids]) + 1
+            if len(ends) == len(some):
+                self._keep(some, ids, np.diff(ends, prepend=0))
+            else:
+                self._one_by_one(some)
 
-    def encode(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """First position in ``ids`` and number of ids, of each word."""
-        if len(self.place) + len(distinct) > REMEMBERED:
+    def encode(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """For each word two parts: their first positions in ``ids`` and numbers of ids."""
+        if self.known + 2 * len(distinct) > REMEMBERED:
             self._clear()
-        place = self.place
-        new = [w for w in distinct if w not in place]
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for w, e in zip(some, _tokenizer(self.path).encode_batch_fast(some, add_special_tokens=False), strict=True):
-                ids = e.ids
-                if self.used + len(ids) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
-                self.ids[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
-                place[w] = len(self.starts) - 1
-                self.starts.append(self.used)
-        starts = np.asarray(self.starts, np.int64)
-        k = np.fromiter((place[w] for w in distinct), np.int64, len(distinct))
-        return starts[k], starts[k + 1] - starts[k]
+        parts = pc.extract_regex(distinct, self._PLAIN)
+        plain = pc.is_valid(parts)
+        out = np.zeros((2, len(distinct)), np.int64)
+        for row, names, add in ((0, pc.if_else(plain, pc.utf8_lower(pc.struct_field(parts, "a")), ""), self._bare), (0, pc.if_else(plain, "", distinct), self._one_by_one), (1, pc.if_else(plain, pc.struct_field(parts, "b"), ""), self._one_by_one)):
+            coded = names.dictionary_encode()
+            kinds = coded.dictionary.to_pylist()
+            if new := [w for w in kinds if w not in self.place]:
+                add(new)
+            out[row] += np.fromiter(map(self.place.__getitem__, kinds), np.int64, len(kinds))[coded.indices.to_numpy()]
+        return self.starts[out], self.starts[out + 1] - self.starts[out]
 
 
 @cache
@@ -100,13 +129,12 @@ def pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
         for part in slices(batches, "t", 2 << 20):
             distinct, index, offsets = words(part.column("t"), lower=False)
             memory = _word_ids(path)
-            first, count = memory.encode(distinct.to_pylist())
-            n = count[index]
-            ends = np.concatenate([[0], np.cumsum(n)])
-            flat = memory.ids[np.repeat(first[index] - ends[:-1], n) + np.arange(ends[-1])]
+            first, count = (x[:, index].T.ravel() for x in memory.encode(distinct))
+            ends = np.concatenate([[0], np.cumsum(count)])
+            flat = memory.ids[np.repeat(first - ends[:-1], count) + np.arange(ends[-1])]
             docs = part.column("d").to_numpy(zero_copy_only=False)
             out: list[tuple] = []
-            for row, (a, b) in enumerate(zip(ends[offsets[:-1]], ends[offsets[1:]], strict=True)):
+            for row, (a, b) in enumerate(zip(ends[2 * offsets[:-1]], ends[2 * offsets[1:]], strict=True)):
                 ids = np.append(flat[a:b], np.uint32(separator)).astype("<u4")
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     some = ids[at : at + capacity]
