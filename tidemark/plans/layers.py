@@ -1,0 +1,35 @@
+"""A registry of models built in dependency order."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame
+
+
+@dataclass
+class Layers:
+    models: dict[str, tuple[Callable[[dict[str, DataFrame]], DataFrame], tuple[str, ...], frozenset[str]]] = field(default_factory=dict)
+
+    def add(self, name: str, build: Callable[[dict[str, DataFrame]], DataFrame], needs: tuple[str, ...] = (), tags: set[str] = frozenset()) -> Layers:
+        self.models[name] = (build, needs, frozenset(tags))
+        return self
+
+    def build(self, tags: set[str] | None = None) -> dict[str, DataFrame]:
+        """The tagged models and what they need, lazily, each given those built before."""
+        built: dict[str, DataFrame] = {}
+
+        def visit(name: str, path: tuple[str, ...] = ()) -> None:
+            if name in path:
+                raise ValueError(f"cycle: {' -> '.join((*path, name))}")
+            if name not in built:
+                build, needs, _ = self.models[name]
+                for n in needs:
+                    visit(n, (*path, name))
+                built[name] = build(built)
+
+        for name, (_, _, own) in self.models.items():
+            if tags is None or own & tags:
+                visit(name)
+        return built

@@ -67,9 +67,9 @@ def jn_08(t):
     return pairs.groupBy("symbol", "event_id").agg(F.countDistinct("user_id_r").alias("partners")).filter("partners >= 2")
 
 
-@query("jn_09_anti", "select address, chain from registry r where not exists (select 1 from transfers f where f.chain = r.chain and f.from_address = r.address and f.amount >= 50)")
+@query("jn_09_anti", "select address, chain from registry r where not exists (select 1 from transfers f where f.chain = r.chain and f.from_address = r.address and f.amount >= 50 and f.chain = 'bitcoin')")
 def jn_09(t):
-    return t.registry.join(t.transfers.filter("amount >= 50").select("chain", F.col("from_address").alias("address")), ["chain", "address"], "left_anti").select("address", "chain")
+    return t.registry.join(t.transfers.filter("amount >= 50 and chain = 'bitcoin'").select("chain", F.col("from_address").alias("address")), ["chain", "address"], "left_anti").select("address", "chain")
 
 
 @query("jn_10_benchmark_return", f"select a.symbol, a.date, a.r - b.r as excess from ({RET}) a join ({RET}) b on a.date = b.date and b.symbol = '1-URGENT'", "excess")
