@@ -9,7 +9,7 @@ covered by a repeated span that is not the first (least doc_id, then place) are
 Any passage repeated from a sentence's start on for some 30 words or more is so found. White space
 between words does not count. Null text stays null; empty texts and such with fewer words stay.
 Rows equal in doc_id and text count as one document and each gets its result; rows with a null
-doc_id come before all others. Other columns are kept, whatever their names. An empty table gives no
+doc_id come before all others. Other columns are kept, but for those named in ``OWN``. An empty table gives no
 rows. Texts may be of any length.
 """
 
@@ -24,8 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import chain, checkpointed, documents, owners, slices, word_hashes, words
-from tidemark.llm.line_dedup import KEY, keyed
+from tidemark.llm._common import chain, checkpointed, documents, owners, release, slices, word_hashes, words
+from tidemark.llm.line_dedup import keyed
 
 LEAST_SENTENCES = 3
 LEAST_WORDS = 20
@@ -96,43 +96,51 @@ def spans(texts: pa.Array) -> tuple[np.ndarray, ...]:
     return text[first], first - start[text[first]], size, _runs(one, first, size, 1), _runs(one, first, size, 2)
 
 
+#: Columns of these names are the operator's; an input's columns so named are left out.
+OWN = ("_rid", "_th", "drop", "_clean", "_removed")
+PLACE = "_rid long, place long"
+
+
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A span's place: 31 bits of the text's hash, first sentence, number of sentences (LEAST_WORDS at most)."""
     for part in slices(batches, "_t"):
         text, first, count, a, b = spans(part.column("_t"))
+        if len(first) and first.max() >= 1 << 24:
+            raise ValueError("a text has more than 2^24 sentences")
         rid, th = (part.column(c).to_numpy(zero_copy_only=False)[text] for c in ("_rid", "_th"))
-        yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(th), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["_rid", "_th", "i", "m", "h1", "h2"])
-
-
-def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "_t"):
-        texts, gone = [], []
-        for text, drop in zip(part.column("_t").to_pylist(), part.column("drop").to_pylist(), strict=True):
-            if not drop:
-                texts.append(text)
-                gone.append(0)
-                continue
-            out = {k for d in drop for k in range(d["i"], d["i"] + d["m"])}
-            texts.append("".join(s for k, s in enumerate(sentences(text)) if k not in out))
-            gone.append(len(out))
-        keep = [x for x in part.schema.names if x not in ("_t", "drop", "_rid", "_th")]
-        yield pa.RecordBatch.from_arrays([*(part.column(x) for x in keep), pa.array(texts, pa.string()), pa.array(gone, pa.int64())], [*keep, "_clean", "_removed"])
+        place = (th & 0x7FFFFFFF) << 32 | first << 8 | count
+        yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(place), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["_rid", "place", "h1", "h2"])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(_rid, _th, drop): spans (i, m) that occurred before, of (_rid, _th, _t)."""
-    occurrences = docs.mapInArrow(_occurrences, KEY + ", i int, m int, h1 long, h2 long")
-    first = occurrences.groupBy("h1", "h2").agg(F.min(F.struct("_rid", "_th", "i")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    """(_rid, _th, drop): places of spans that occurred before, of (_rid, _th, _t); _th: 31 bits."""
+    occurrences = docs.mapInArrow(_occurrences, PLACE + ", h1 long, h2 long")
+    first = occurrences.groupBy("h1", "h2").agg(F.min(F.struct("_rid", "place")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     first = checkpointed(first.select("h1", "h2", "first"))
-    later = occurrences.join(first, ["h1", "h2"]).filter(F.struct("_rid", "_th", "i") != F.col("first"))
-    return later.groupBy("_rid", "_th").agg(F.collect_set(F.struct("i", "m")).alias("drop"))
+    release(docs.sparkSession)
+    later = occurrences.join(first, ["h1", "h2"]).filter(F.struct("_rid", "place") != F.col("first"))
+    return later.groupBy("_rid", F.shiftright("place", 32).alias("_th")).agg(F.collect_set("place").alias("drop"))
 
 
 def remove_repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of ``df``, and _clean (the text without repeated spans), _removed (sentences)."""
-    docs = keyed(df, doc_id, text).withColumn("_t", F.col(text))
-    joined = docs.join(repeated_spans(docs.select("_rid", "_th", "_t")), ["_rid", "_th"], "left")
+
+    df = df.drop(*OWN)
+
+    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text):
+            texts, gone = [], []
+            for whole, drop in zip(part.column(text).to_pylist(), part.column("drop").to_pylist(), strict=True):
+                out = {k for d in drop or () for k in range(d >> 8 & 0xFFFFFF, (d >> 8 & 0xFFFFFF) + (d & 0xFF))}
+                texts.append("".join(s for k, s in enumerate(sentences(whole)) if k not in out) if out else whole)
+                gone.append(len(out))
+            keep = [x for x in part.schema.names if x not in OWN]
+            yield pa.RecordBatch.from_arrays([*(part.column(x) for x in keep), pa.array(texts, pa.string()), pa.array(gone, pa.int64())], [*keep, "_clean", "_removed"])
+
+    docs = keyed(df, doc_id, text).withColumn("_th", F.col("_th").bitwiseAND(0x7FFFFFFF))
+    joined = docs.join(repeated_spans(docs.select("_rid", "_th", F.col(text).alias("_t"))), ["_rid", "_th"], "left")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return joined.mapInArrow(_without, f"{fields}, _clean string, _removed long")
+    return joined.mapInArrow(without, f"{fields}, _clean string, _removed long")
 
 
 def op8_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
