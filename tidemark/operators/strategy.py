@@ -35,27 +35,28 @@ class Strategy:
     embargo: int = 20
 
 
-BY_SYMBOL = ts.w("symbol", "date")
+def _by_symbol():
+    return ts.w("symbol", "date")
 
 
 def features(panel: DataFrame, s: Strategy) -> DataFrame:
-    out = panel.withColumn("ret", ts.pct_change("close", BY_SYMBOL))
-    volume = {"mean": ts.rolling("volume", BY_SYMBOL, s.volume_window), "sd": ts.rolling("volume", BY_SYMBOL, s.volume_window, "stddev_samp")}
+    out = panel.withColumn("ret", ts.pct_change("close", _by_symbol()))
+    volume = {"mean": ts.rolling("volume", _by_symbol(), s.volume_window), "sd": ts.rolling("volume", _by_symbol(), s.volume_window, "stddev_samp")}
     return out.withColumns(
-        {f"mom_{n}": ts.pct_change("close", BY_SYMBOL, n) for n in s.momentum}
+        {f"mom_{n}": ts.pct_change("close", _by_symbol(), n) for n in s.momentum}
         | {
-            "vol": ts.rolling("ret", BY_SYMBOL, s.vol_window, "stddev_samp"),
+            "vol": ts.rolling("ret", _by_symbol(), s.vol_window, "stddev_samp"),
             "volume_z": F.try_divide(F.col("volume") - volume["mean"], volume["sd"]),
-            "adv": ts.rolling(F.col("close") * F.col("volume"), BY_SYMBOL, s.vol_window),
+            "adv": ts.rolling(F.col("close") * F.col("volume"), _by_symbol(), s.vol_window),
         }
     )
 
 
 def residual_momentum(panel: DataFrame, benchmark: str, n: int, out: str) -> DataFrame:
     """Rolling sum of the return less the benchmark's: one window over the date, one over the symbol."""
-    r = panel.withColumn("ret", ts.pct_change("close", BY_SYMBOL))
+    r = panel.withColumn("ret", ts.pct_change("close", _by_symbol()))
     bench = F.max(F.when(F.col("symbol") == benchmark, F.col("ret"))).over(Window.partitionBy("date"))
-    return r.withColumn("_x", F.col("ret") - F.coalesce(bench, F.lit(0.0))).withColumn(out, ts.rolling("_x", BY_SYMBOL, n, "sum")).drop("_x")
+    return r.withColumn("_x", F.col("ret") - F.coalesce(bench, F.lit(0.0))).withColumn(out, ts.rolling("_x", _by_symbol(), n, "sum")).drop("_x")
 
 
 def score(df: DataFrame, s: Strategy) -> DataFrame:
@@ -65,11 +66,12 @@ def score(df: DataFrame, s: Strategy) -> DataFrame:
     out = F.lit(0.0)
     for c in [f"mom_{n}" for n in s.momentum] + ["volume_z"]:
         out = out + ts.cs_zscore(c, "date")
-    return df.withColumn("alpha", out - ts.cs_zscore("vol", "date"))
+    out = out - ts.cs_zscore("vol", "date")
+    return df.withColumn("alpha", F.floor(out * 1e9 + 0.5) / 1e9)  # to nine places, so that ties do not hang on the order of sums
 
 
 def labels(df: DataFrame, horizon: int) -> DataFrame:
-    fwd = F.try_divide(F.lead("close", horizon).over(BY_SYMBOL), "close") - 1
+    fwd = F.try_divide(F.lead("close", horizon).over(_by_symbol()), "close") - 1
     return df.withColumn("fwd", fwd).withColumn("fwd_excess", F.col("fwd") - F.avg("fwd").over(Window.partitionBy("date")))
 
 
@@ -100,13 +102,13 @@ def weights(df: DataFrame, s: Strategy) -> DataFrame:
         side = lambda v: F.greatest(F.lit(1), F.count_if(F.col("sleeve") == v).over(Window.partitionBy("date")))
         full = 1.0 if s.mode == "long_only" else 0.5
         df = df.withColumn("raw", F.when(F.col("sleeve") == 1, full / side(1)).when(F.col("sleeve") == -1, -full / side(-1)).otherwise(0.0))
-    carried = F.last(F.when(F.col("rebalance"), F.col("target")), ignorenulls=True).over(BY_SYMBOL.rowsBetween(Window.unboundedPreceding, 0))
+    carried = F.last(F.when(F.col("rebalance"), F.col("target")), ignorenulls=True).over(_by_symbol().rowsBetween(Window.unboundedPreceding, 0))
     return _scaled(df, s).withColumn("weight", F.coalesce(carried, F.lit(0.0)))
 
 
 def daily(df: DataFrame, s: Strategy) -> DataFrame:
     """Gross and net return of the book by day: yesterday's weights on today's returns, less fees and slippage."""
-    before = F.coalesce(F.lag("weight").over(BY_SYMBOL), F.lit(0.0))
+    before = F.coalesce(F.lag("weight").over(_by_symbol()), F.lit(0.0))
     x = df.withColumn("dw", F.abs(F.col("weight") - before)).withColumn("gain", before * F.coalesce("ret", F.lit(0.0)))
     part = F.when(F.col("adv") >= s.min_adv_for_slippage, F.col("dw") * s.notional / F.col("adv")).otherwise(0.0)
     x = x.withColumn("part", part).withColumn("slip", s.slippage * F.col("dw") * F.sqrt("part"))

@@ -626,3 +626,46 @@ def dq_07(t):
 @query("dq_08_in_universe", "select distinct symbol from bars where symbol not in (select symbol from assets where active)")
 def dq_08(t):
     return t.bars.join(t.assets.filter("active").select("symbol"), "symbol", "left_anti").select("symbol").distinct()
+
+
+# ---- sources, over data that Spark derives from the given tables
+
+
+@query("src_01_typed_scan", "select o_orderkey, o_custkey, o_totalprice from orders", "o_totalprice")
+def src_01(t):
+    return t.spark.read.schema("o_orderkey long, o_custkey long, o_totalprice double").parquet(f"{t.sf_dir}/orders.parquet")
+
+
+@query("src_06_watched_archive", "select tx_hash as signature, address, fee / 1e9 * 1000 as amount from (select f.tx_hash, max(f.amount * 1000) as fee, substr(min(concat(lpad(cast(f.transfer_index as string), 2, '0'), f.from_address)), 3) as address from transfers f where f.from_address in (select address from registry where active) group by 1) x", "amount")
+def src_06(t):
+    from tidemark.sources.posts import watched_archive
+
+    watched = t.registry.filter("active").select("address")
+    seen = t.transfers.join(watched.withColumnRenamed("address", "from_address"), "from_address", "left_semi")
+    archive = seen.groupBy(F.col("tx_hash").alias("signature")).agg(F.max(F.col("amount") * 1000).alias("fee"), F.sort_array(F.collect_list(F.struct("transfer_index", F.col("from_address").alias("pubkey")))).alias("accounts"), F.min("block_time").alias("block_time"))
+    return watched_archive(archive, watched).select("signature", "address", (F.col("amount") * 1000).alias("amount"))
+
+
+@query("src_08_panel_loader", "select symbol, date, close from panel where symbol in ('1-URGENT', '5-LOW')", "close")
+def src_08(t):
+    mart = "panel_daily"
+    df = t.spark.table(mart) if t.spark.catalog.tableExists(mart) else t.panel
+    return df.filter(F.col("symbol").isin("1-URGENT", "5-LOW")).select("symbol", "date", "close")
+
+
+@query("src_09_macro_panel", "select p.date, p.close, last_value(m.value ignore nulls) over (order by p.date rows unbounded preceding) as value from (select * from panel where symbol = '1-URGENT') p left join (select date, value from macro where series_id = 'M_P') m using (date)", "close value")
+def src_09(t):
+    j = t.panel.filter("symbol = '1-URGENT'").select("date", "close").join(t.macro.filter("series_id = 'M_P'").select("date", "value"), "date", "left")
+    return j.select("date", "close", ts.ffill("value", ts.Window.orderBy("date")).alias("value"))  # a row a day
+
+
+@query("src_11_series_normalise", "select distinct symbol, date, value from (select symbol, date, unnest(['close', 'volume']) as name, unnest([close, volume]) as value from panel) x where name = 'close'", "value")
+def src_11(t):
+    return t.panel.unpivot(["symbol", "date"], ["close", "volume"], "name", "value").filter("name = 'close' and not isnan(value)").select("symbol", "date", "value").distinct()
+
+
+@query("src_13_universe", "select upper(event_type) as symbol, count(*) as n from events group by 1 union all select 'EXTRA', 0")
+def src_13(t):
+    seen = t.ticks.groupBy(F.upper("symbol").alias("symbol")).agg(F.count("*").alias("n"))
+    configured = t.spark.createDataFrame([("extra", 0), ("click", 0)], "symbol string, n long").withColumn("symbol", F.upper("symbol"))  # the configuration
+    return seen.unionByName(configured.join(seen.select("symbol"), "symbol", "left_anti"))

@@ -27,7 +27,7 @@ def z(c):
     return f"case when {s} is null or {s} < 1e-12 then 0 else coalesce(({c} - avg({c}) over (partition by date)) / {s}, 0) end"
 
 
-SCORE = f"select *, {z('mom_20')} + {z('mom_60')} + {z('volume_z')} - {z('vol')} as alpha from ({FEAT}) f"
+SCORE = f"select *, floor(({z('mom_20')} + {z('mom_60')} + {z('volume_z')} - {z('vol')}) * 1e9 + 0.5) / 1e9 as alpha from ({FEAT}) f"
 RANKED = f"select *, isodow(date) = 5 as rebalance, (rank() over (partition by date order by alpha) + (count(*) over (partition by date, alpha) - 1) / 2.0) / count(alpha) over (partition by date) as rank from ({SCORE}) s"
 SLEEVE = f"select *, case when rebalance and coalesce(adv, 0) >= 10000 and rank >= 0.8 then 1.0 when rebalance and coalesce(adv, 0) >= 10000 and rank <= 0.2 then -1.0 else 0.0 end as sleeve from ({RANKED}) r"
 TARGET = f"""select s.*, case sleeve when 1 then 0.5 / n_long when -1 then -0.5 / n_short else 0 end * coalesce(greatest(0.1, least(5.0, 0.1 / sqrt(365) / nullif(book_vol, 0))), 1.0) as target from ({SLEEVE}) s
