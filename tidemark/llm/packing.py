@@ -132,7 +132,7 @@ def pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
             first, count = (x[:, index].T.ravel() for x in memory.encode(distinct))
             ends = np.concatenate([[0], np.cumsum(count)])
             flat = memory.ids[np.repeat(first - ends[:-1], count) + np.arange(ends[-1])]
-            docs = part.column("d").to_numpy(zero_copy_only=False)
+            docs = part.column("d").to_pylist()
             out: list[tuple] = []
             for row, (a, b) in enumerate(zip(ends[2 * offsets[:-1]], ends[2 * offsets[1:]], strict=True)):
                 ids = np.append(flat[a:b], np.uint32(separator)).astype("<u4")
