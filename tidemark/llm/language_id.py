@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tidemark.llm._common import chain, documents, fold_column, slices, words
 
 ORDER = 4
-SAMPLE_DOCS = 1200
+SAMPLE_DOCS = 500
 MAX_LANGUAGES = 400
 QUANTILE, SLACK = 0.999, 1.5
 LEAST_EXCESS = 2.0
@@ -65,9 +65,9 @@ def _grams(points: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 class KneserNey:
     """Character model of one language from (word, count)."""
 
-    def __init__(self, spelled: list[str], counts: list[int]):
-        points, at, word = _positions(pa.array(spelled, pa.string()))
-        weight = np.asarray(counts, np.float64)[word]
+    def __init__(self, spelled: pa.Array, counts: np.ndarray):
+        points, at, word = _positions(spelled)
+        weight = counts.astype(np.float64)[word]
         self.orders = []
         longer, first = None, None
         for n in range(ORDER, 0, -1):
@@ -176,8 +176,13 @@ def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "
                 n = np.bincount(index, minlength=len(distinct))
                 yield pa.RecordBatch.from_pydict({"l": pa.array([name] * len(n), pa.string()), "w": letters_only(distinct).cast(pa.string()), "n": pa.array(n, pa.int64())})
 
-    rows = sample.filter(~F.col("held")).select("t", "l").mapInArrow(count, "l string, w string, n long").filter("w != ''").groupBy("l", "w").agg(F.sum("n").alias("n")).toPandas()  # bounded by the sample
-    identifier = Identifier({str(k): KneserNey(g["w"].tolist(), g["n"].tolist()) for k, g in rows.groupby("l") if len(g)})
+    rows = sample.filter(~F.col("held")).select("t", "l").mapInArrow(count, "l string, w string, n long").filter("w != ''").groupBy("l", "w").agg(F.sum("n").alias("n")).toArrow()  # bounded by the sample
+    models = {}
+    for name in pc.unique(rows["l"]).to_pylist():
+        own = rows.filter(pc.equal(rows["l"], name)).combine_chunks()
+        models[name] = KneserNey(own["w"].chunk(0), own["n"].to_numpy())
+    identifier = Identifier(models)
+    del rows
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t"):
@@ -187,11 +192,11 @@ def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "
             yield pa.RecordBatch.from_pydict({"l": pa.array(own[use], pa.int32()), "h": pa.array(h[use, own[use]]), "n": pa.array(n[use])})
 
     if identifier.languages:
-        seen = sample.filter("held").select("t", "l").mapInArrow(bits, "l int, h double, n double").toPandas()  # bounded by the sample
+        seen = sample.filter("held").select("t", "l").mapInArrow(bits, "l int, h double, n double").toArrow()  # bounded by the sample
         for k in range(len(identifier.languages)):
-            own = seen[seen["l"] == k]
+            own = seen.filter(pc.equal(seen["l"], k))
             if len(own):
-                identifier.usual[k] = own["h"].median()
+                identifier.usual[k] = np.median(own["h"].to_numpy())
                 calibrated = SLACK * np.quantile(identifier.z(np.full(len(own), k), own["h"].to_numpy(), own["n"].to_numpy()), QUANTILE)
                 identifier.excess[k] = max(LEAST_EXCESS * STEADY**0.5, calibrated)
     return identifier
