@@ -8,7 +8,7 @@ chunks of white space stay.
 
 Null text stays null. Empty texts stay. Rows equal in doc_id and text count as one document, and
 each of them gets its result; rows with a null doc_id come before all others. Other columns are
-kept as they are, whatever their names. An empty table gives no rows. No line or text is too long.
+kept as they are, but for those named in ``OWN``. An empty table gives no rows. No line or text is too long.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ ROLLING = 2
 MEAN_LINES = 3
 MAX_LINES = 64
 KEY = "_rid long, _th long"
+#: Columns of these names are the operator's; an input's columns so named are left out.
+OWN = ("_rid", "_th", "ks", "_clean", "_lines", "_removed")
 
 
 def keyed(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -52,6 +54,8 @@ def chunks(text: str) -> list[tuple[int, int]]:
         if end > at:
             out.append((at, end))
         at = end
+    if len(out) > 1 and out[-1][1] - out[-1][0] == 1:  # a last line by itself goes with what is before it
+        out[-2:] = [(out[-2][0], out[-1][1])]
     return out
 
 
@@ -78,21 +82,6 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)], ["_rid", "_th", "k", "body"])
 
 
-def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "_t"):
-        texts, n, gone = [], [], []
-        for text, drop in zip(part.column("_t").to_pylist(), part.column("ks").to_pylist(), strict=True):
-            lines = text.split("\n") if text is not None else []
-            n.append(len(lines))
-            if drop:
-                cut, drop = chunks(text), set(drop)
-                lines = [x for k, (a, b) in enumerate(cut) if k not in drop for x in lines[a:b]]
-            gone.append(n[-1] - len(lines))
-            texts.append(None if text is None else "\n".join(lines))
-        keep = [x for x in part.schema.names if x not in ("_t", "ks", "_rid", "_th")]
-        yield pa.RecordBatch.from_arrays([*(part.column(x) for x in keep), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [*keep, "_clean", "_lines", "_removed"])
-
-
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """(_rid, _th, ks): the chunks to remove from each document, of (_rid, _th, _t)."""
     occurrences = checkpointed(docs.mapInArrow(_occurrences, KEY + ", k int, h long"))  # small: 28 bytes a chunk
@@ -109,11 +98,29 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 
 def remove_repeated_chunks(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of ``df``, and _clean (the text without repeated chunks), _lines, _removed (numbers of lines)."""
-    docs = keyed(df, doc_id, text).withColumn("_t", F.col(text))
-    drop = repeated_chunks(docs.select("_rid", "_th", "_t"))
+    df = df.drop(*OWN)
+
+    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text):
+            texts, n, gone = [], [], []
+            for whole, drop in zip(part.column(text).to_pylist(), part.column("ks").to_pylist(), strict=True):
+                n.append(whole.count("\n") + 1 if whole is not None else 0)
+                if drop:
+                    all_lines, cut, drop = whole.split("\n"), chunks(whole), set(drop)
+                    left = [x for k, (a, b) in enumerate(cut) if k not in drop for x in all_lines[a:b]]
+                    gone.append(n[-1] - len(left))
+                    whole = "\n".join(left)
+                else:
+                    gone.append(0)
+                texts.append(whole)
+            keep = [x for x in part.schema.names if x not in OWN]
+            yield pa.RecordBatch.from_arrays([*(part.column(x) for x in keep), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [*keep, "_clean", "_lines", "_removed"])
+
+    docs = keyed(df, doc_id, text)
+    drop = repeated_chunks(docs.select("_rid", "_th", F.col(text).alias("_t")))
     joined = docs.join(drop, ["_rid", "_th"], "left")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return joined.mapInArrow(_without, f"{fields}, _clean string, _lines long, _removed long")
+    return joined.mapInArrow(without, f"{fields}, _clean string, _lines long, _removed long")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
