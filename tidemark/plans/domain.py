@@ -49,9 +49,9 @@ SQL = {
             when 1 then concat('$', upper(substr(event_type, 1, 4)), ' looks weak, going short. dump?')
             when 2 then concat('pump it ', event_type, '.sol now') when 3 then 'gm' else concat('bearish on $', upper(substr(event_type, 1, 4)), ' and $ETH') end as text,
         cast(floor(value) as bigint) as like_count, user_id % 7 as retweet_count from {events}""",
-    "calendar": """select cast(d as date) as date, category, title, scope, effect from (values ('2024-01-03', 'regulatory', 'ETF ruling', 'BTC', 'positive'),
-        ('2024-01-03', 'protocol', 'Upgrade', 'ETH', 'neutral'), ('2024-01-10', 'macro', 'Rate decision', 'ALL', 'negative'), ('2024-01-17', 'security', 'Bridge exploit', 'DEFI', 'negative'),
-        ('2024-01-24', 'protocol', 'Fork', 'DEFI', 'positive')) as t(d, category, title, scope, effect)""",
+    "calendar": """select cast(ts as date) as date, event_type as category, concat(event_type, ' ', cast(cast(ts as date) as string)) as title,
+        case event_type when 'click' then 'BTC' when 'view' then 'DEFI' else 'ALL' end as scope, case when max(value) > 90 then 'positive' when max(value) > 60 then 'negative' else 'neutral' end as effect
+        from {events} group by cast(ts as date), event_type""",
     "assets": """select symbol, cast(row_number() over (partition by as_of_date order by n desc, symbol) as bigint) as rank, as_of_date, symbol <> 'ERROR' as active
         from (select symbol, date as as_of_date, count(*) as n from {ticks} group by symbol, date) x""",
 }

@@ -25,7 +25,7 @@ def wn_02(t):
 
 @query("wn_03_surrogate_id", "select row_number() over (order by date, title) as event_id, date, title from calendar")
 def wn_03(t):
-    return t.calendar.select(F.row_number().over(Window.orderBy("date", "title")).alias("event_id"), "date", "title")  # a fixed calendar
+    return t.calendar.select(F.row_number().over(Window.orderBy("date", "title")).alias("event_id"), "date", "title")  # a row a day and kind
 
 
 @query("wn_04_forward_return", "select symbol, date, lead(close, 7) over (partition by symbol order by date) / nullif(close, 0) - 1 as fwd from panel", "fwd")
