@@ -30,7 +30,7 @@ def z(c):
 SCORE = f"select *, floor(({z('mom_20')} + {z('mom_60')} + {z('volume_z')} - {z('vol')}) * 1e9 + 0.5) / 1e9 as alpha from ({FEAT}) f"
 RANKED = f"select *, isodow(date) = 5 as rebalance, (rank() over (partition by date order by alpha) + (count(*) over (partition by date, alpha) - 1) / 2.0) / count(alpha) over (partition by date) as rank from ({SCORE}) s"
 SLEEVE = f"select *, case when rebalance and coalesce(adv, 0) >= 10000 and rank >= 0.8 then 1.0 when rebalance and coalesce(adv, 0) >= 10000 and rank <= 0.2 then -1.0 else 0.0 end as sleeve from ({RANKED}) r"
-TARGET = f"""select s.*, case sleeve when 1 then 0.5 / n_long when -1 then -0.5 / n_short else 0 end * coalesce(greatest(0.1, least(5.0, 0.1 / sqrt(365) / nullif(book_vol, 0))), 1.0) as target from ({SLEEVE}) s
+TARGET = f"""select s.*, case sleeve when 1 then 0.5 / n_long when -1 then -0.5 / n_short else 0 end * case when book_vol > 1e-12 then greatest(0.1, least(5.0, 0.1 / sqrt(365) / book_vol)) else 1.0 end as target from ({SLEEVE}) s
     join (select date, greatest(1, count(case when sleeve = 1 then 1 end)) as n_long, greatest(1, count(case when sleeve = -1 then 1 end)) as n_short, median(case when sleeve <> 0 then vol end) as book_vol from ({SLEEVE}) c group by date) n using (date)"""
 WEIGHT = f"select *, coalesce(last_value(case when rebalance then target end ignore nulls) over (partition by symbol order by date rows unbounded preceding), 0) as weight from ({TARGET}) t"
 TRADE = f"select *, abs(weight - w0) as dw, w0 * coalesce(ret, 0) as gain from (select *, coalesce(lag(weight) over (partition by symbol order by date), 0) as w0 from ({WEIGHT}) w) x"
@@ -92,7 +92,7 @@ def dp_06(t):
     return weighted(t).select(*SD, "weight")
 
 
-@query("dp_07_ts_mom_weights", f"""select symbol, date, coalesce(last_value(case when isodow(date) = 5 then target end ignore nulls) over (partition by symbol order by date rows unbounded preceding), 0) as weight from (select *, alpha * coalesce(greatest(0.1, least(5.0, 0.1 / sqrt(365) / nullif(median(case when alpha <> 0 then vol end) over (partition by date), 0))), 1.0) as target
+@query("dp_07_ts_mom_weights", f"""select symbol, date, coalesce(last_value(case when isodow(date) = 5 then target end ignore nulls) over (partition by symbol order by date rows unbounded preceding), 0) as weight from (select *, alpha * case when median(case when alpha <> 0 then vol end) over (partition by date) > 1e-12 then greatest(0.1, least(5.0, 0.1 / sqrt(365) / median(case when alpha <> 0 then vol end) over (partition by date))) else 1.0 end as target
     from (select symbol, date, vol, case when mom_20 > 0 and mom_60 > 0 then 1.0 when mom_20 < 0 and mom_60 < 0 then -1.0 else 0.0 end as alpha from ({FEAT}) f) x) y""", "weight")
 def dp_07(t):
     return weighted(t, st.Strategy(mode="ts_mom")).select(*SD, "weight")
