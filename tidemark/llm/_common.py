@@ -6,6 +6,7 @@ memory does not depend on how Spark sized the batch.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zlib
 from collections.abc import Iterator
@@ -43,6 +44,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of what is checkpointed by now.
+
+    It does so for what the driver's garbage collector finds unused, which in a driver with little to
+    do may be never, while the files take up the executors' disks.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

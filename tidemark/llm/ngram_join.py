@@ -11,9 +11,9 @@ Two sets similar enough share a shingle within their prefixes of that order.
    are settled later, so no part gathers an unbounded list.
 3. Every shingle pairs its classes with one leader: as many pairs as entries. Length and positional
    filters thin them; each pair is then verified once, the suffix filter first.
-4. Components follow. Pairs within a component need no further check; pairs across components that
-   share a prefix shingle are verified as well: members outside a shingle's largest component
-   against the others. A group of near copies, all linked, so never turns into all its pairs.
+4. Components follow. Pairs within a component need no further check. Members outside a shingle's
+   largest component are verified against all others. A class has met a leader for every shingle it
+   shares, so few of a group of near copies are still outside, and it does not turn into all its pairs.
 
 Ids: rows with the same doc_id are one document, linked if any of its texts are; rows with a null
 doc_id get their set size and a null component. Null, empty or wordless texts have empty sets and
@@ -25,13 +25,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import chain, checkpointed, documents, mix, owners, slices, word_hashes, words
+from tidemark.llm._common import chain, checkpointed, documents, mix, owners, release, slices, word_hashes, words
 from tidemark.llm._components import components
 
 SHINGLE = 5
@@ -176,13 +177,13 @@ def _could_match(a: str, b: str):
 
 
 def _ordered(a: str, b: str):
-    """The pair with the lesser representative first."""
-    less = F.col(f"{a}.rep") < F.col(f"{b}.rep")
-    return [F.when(less, F.col(f"{x}.rep")).otherwise(F.col(f"{y}.rep")).alias(o) for x, y, o in ((a, b, "a"), (b, a, "b"))]
+    """The pair with the lesser class first."""
+    one, two = F.col(f"{a}.s1"), F.col(f"{b}.s1")
+    return F.least(one, two).alias("a"), F.greatest(one, two).alias("b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of (a, b), those whose sets (rep, n, shingles) are similar."""
+    """Of (a, b), those whose sets (s1, shingles) are similar."""
     p, q = SIMILARITY.numerator, SIMILARITY.denominator
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,8 +203,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 ok[i] = overlap * q >= (len(x) + len(y) - overlap) * p
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok))], ["a", "b"])
 
-    with_b = pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
-    both = with_b.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
+    with_b = pairs.join(sets.select(F.col("s1").alias("b"), F.col("shingles").alias("y")), "b")
+    both = with_b.join(sets.select(F.col("s1").alias("a"), F.col("shingles").alias("x")), "a")
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
@@ -211,7 +212,7 @@ _EDGES = (np.arange(64, dtype=np.uint64) << np.uint64(58)).astype(np.uint64)
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rep, shingles) for (rep, s1, s2)."""
+    """(s1, shingles) for (rep, s1, s2)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t"):
@@ -219,10 +220,10 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             s1, s2 = signatures(offsets, values)
             fits = (s1.view(np.int64) == part.column("s1").to_numpy()) & (s2.view(np.int64) == part.column("s2").to_numpy())
             rows = np.flatnonzero(fits)
-            yield pa.RecordBatch.from_arrays([part.column("rep").take(pa.array(rows)), pa.array([values[offsets[r] : offsets[r + 1]].tobytes() for r in rows], pa.binary())], ["rep", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column("s1").take(pa.array(rows)), pa.array([values[offsets[r] : offsets[r + 1]].tobytes() for r in rows], pa.binary())], ["s1", "shingles"])
 
-    found = docs.join(wanted, docs.d == wanted.rep).select("rep", "s1", "s2", "t")
-    return found.mapInArrow(each, "rep long, shingles binary").dropDuplicates(["rep"])
+    found = docs.join(wanted, docs.d == wanted.rep).select("s1", "s2", "t")
+    return found.mapInArrow(each, "s1 long, shingles binary")
 
 
 def ngram_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -230,47 +231,69 @@ def ngram_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     spark = df.sparkSession
     docs = df.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
     described = checkpointed(docs.mapInArrow(_describe, "doc_id long, n long, s1 long, s2 long, block int, tally binary"))
-    rows = described.filter("block is null").select("doc_id", "n", "s1", "s2")
+    rows = checkpointed(described.filter("block is null").select("doc_id", "n", "s1", "s2"))
     tally = np.zeros((BLOCKS, (1 << TALLY_BITS) // BLOCKS), np.int64)
     for r in described.filter("block is not null").select("block", "tally").groupBy("block").applyInArrow(_sum_blocks, "block int, tally binary").collect():  # BLOCKS rows
         tally[r["block"]] = np.frombuffer(r["tally"], np.int64)
+    del described
     shared_tally = spark.sparkContext.broadcast(tally.ravel())
     parts = int(min(MOST_PARTS, max(64, tally.sum() // 4 // PART_ENTRIES)))
 
-    classes = rows.filter("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    classes = checkpointed(classes)
+    taking = rows.filter("n > 0 and doc_id is not null")
+    classes = checkpointed(taking.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")))
     entries = _prefixes(docs.filter("d is not null"), shared_tally, parts)
-    entries = checkpointed(entries.join(classes, "s1").select("key", "rep", "n", "pos", "s1", "s2").dropDuplicates(["key", "rep", "s1", "s2"]))
+    entries = checkpointed(entries.join(classes, "s1").select("key", "s1", "n", "pos").dropDuplicates(["key", "s1"]))
+    release(spark)
 
-    # one leader a shingle: the class that comes first by a hash, so that different shingles share leaders
-    entry = F.struct(F.xxhash64("rep").alias("h"), "rep", "n", "pos")
+    # one leader a shingle, by a hash of both: a class meets as many leaders as it shares shingles with others
+    entry = F.struct(F.xxhash64("key", "s1").alias("h"), "s1", "n", "pos")
     leaders = checkpointed(entries.groupBy("key").agg(F.min(entry).alias("l"), F.count("*").alias("m")).filter("m > 1").select("key", "l"))
-    led = entries.select("key", F.struct("rep", "n", "pos").alias("x")).join(leaders, "key")
-    pairs = checkpointed(led.filter((F.col("x.rep") != F.col("l.rep")) & _could_match("x", "l")).select(*_ordered("x", "l")).distinct())
+    led = entries.select("key", F.struct("s1", "n", "pos").alias("x")).join(leaders, "key")
+    pairs = checkpointed(led.filter((F.col("x.s1") != F.col("l.s1")) & _could_match("x", "l")).select(*_ordered("x", "l")).distinct())
+
+    known: list[DataFrame] = []  # sets that are extracted
 
     def check(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        wanted = classes.join(ends, "rep").select("rep", "s1", "s2")
-        return checkpointed(_verified(pairs, checkpointed(_sets_of(docs, wanted))))
-
-    links = check(pairs)
-    same = rows.filter("n > 0 and doc_id is not null").join(classes, ["s1", "s2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
-    same = checkpointed(same)
-    labels = components(links.unionByName(same))
-
-    # what is left: pairs across components
-    at = F.coalesce("component", "rep")
-    labelled = checkpointed(entries.join(labels, entries.rep == labels.id, "left").select("key", "rep", "n", "pos", at.alias("c")))
-    sizes = labelled.groupBy("key", "c").agg(F.count("*").alias("m"))
-    largest = checkpointed(sizes.groupBy("key").agg(F.max(F.struct("m", "c")).alias("top"), F.count("*").alias("k")).filter("k > 1").select("key", F.col("top.c").alias("top")))
-    open_ = checkpointed(labelled.join(largest, "key"))
-    member = F.struct("rep", "n", "pos", "c")
-    outside = checkpointed(open_.filter("c <> top").select("key", member.alias("y")))
-    across = open_.select("key", "top", member.alias("x")).join(outside, "key").filter((F.col("x.c") != F.col("y.c")) & ((F.col("x.c") == F.col("top")) | (F.col("x.rep") < F.col("y.rep"))) & _could_match("x", "y"))
-    rest = checkpointed(across.select(*_ordered("x", "y")).distinct().join(pairs, ["a", "b"], "left_anti"))
-    more = check(rest)
-    if not more.isEmpty():
-        labels = components(links.unionByName(same).unionByName(more))
+        """Links between the classes' representatives."""
+        ends = pairs.select(F.col("a").alias("s1")).union(pairs.select("b")).distinct()
+        for sets in known:
+            ends = ends.join(sets, "s1", "left_anti")
+        wanted = checkpointed(classes.join(ends, "s1").select("rep", "s1", "s2"))
+        if not wanted.isEmpty():
+            known.append(checkpointed(_sets_of(docs, wanted).dropDuplicates(["s1"])))
+            release(spark)
+        similar = _verified(pairs, reduce(DataFrame.unionByName, known))
+        for side in ("a", "b"):
+            similar = similar.join(classes.select(F.col("s1").alias(side), F.col("rep").alias(f"rep_{side}")), side)
+        links = checkpointed(similar.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
+        release(spark)
+        return links
+
+    def across(entries: DataFrame, labels: DataFrame) -> DataFrame:
+        """(key, top, x) of shingles that several components share, ``top`` the largest of these."""
+        of = classes.join(labels, classes.rep == labels.id, "left").select("s1", F.coalesce("component", "rep").alias("c"))
+        labelled = entries.select("key", "s1", "n", "pos").join(of, "s1")
+        largest = labelled.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "c")).alias("top"), F.count("*").alias("k"))
+        largest = checkpointed(largest.filter("k > 1").select("key", F.col("top.c").alias("top")))
+        return checkpointed(labelled.join(largest, "key").select("key", "top", F.struct("s1", "n", "pos", "c").alias("x")))
+
+    same = checkpointed(taking.join(classes, ["s1", "s2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct())
+    links = same
+    if not pairs.isEmpty():
+        links = links.unionByName(check(pairs))
+        # what is left: pairs across components
+        open_ = across(entries, components(links, rounds=3))
+        del entries, leaders, led
+        release(spark)
+        inside = F.col("x.c") == F.col("top")
+        outside = checkpointed(open_.filter(~inside).select("key", F.col("x").alias("y")))
+        once = inside | (F.col("x.s1") < F.col("y.s1"))
+        rest = open_.join(outside, "key").filter((F.col("x.c") != F.col("y.c")) & once & _could_match("x", "y")).select(*_ordered("x", "y")).distinct()
+        rest = checkpointed(rest.join(pairs, ["a", "b"], "left_anti"))
+        release(spark)
+        if not rest.isEmpty():
+            links = links.unionByName(check(rest))
+    labels = components(links)
     found = rows.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
