@@ -294,6 +294,24 @@ def test_decontamination(docs, empty, spark):
     assert decontamination.contaminated(empty, bench).isEmpty() and decontamination.contaminated(docs, bench.limit(0)).isEmpty()
 
 
+def test_decontamination_finds_short_and_long_items(spark):
+    rng = random.Random(21)
+    word = lambda n=7: "".join(rng.choices("bcdfgaeiou", k=n))
+    items = [(k, [word() for _ in range(n)]) for k, n in enumerate([15, 16, 18, 20] * 10 + [150, 400])]
+    rows, want = [], set()
+    for k, own in items:
+        for at in range(0, 16, 3):
+            kept = own
+            if len(own) <= 20:  # a paraphrase: fewer than 60 % of the words, spread, and the answer
+                keep = set(rng.sample(range(len(own) - 1), math.ceil(0.5 * len(own)) - 1)) | {len(own) - 1}
+                kept = [w if i in keep else word() for i, w in enumerate(own)]
+            rows.append((len(rows), " ".join([word(9) for _ in range(40 + at)] + kept + [word(9) for _ in range(40)]), "en", "s", 1))
+            want.add((rows[-1][0], k))
+    bench = spark.createDataFrame([(k, " ".join(own), own[-1]) for k, own in items], "item_id long, text string, a string")
+    got = decontamination.contaminated(spark.createDataFrame(rows, SCHEMA).repartition(3), bench, answer="a").collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(0)
     for _ in range(50):
