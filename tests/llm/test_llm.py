@@ -312,6 +312,23 @@ def test_decontamination_finds_short_and_long_items(spark):
     assert {(r.doc_id, r.item_id) for r in got} == want
 
 
+def test_candidates_are_all_pairs():
+    rng = np.random.default_rng(4)
+    products = (rng.standard_normal((300, 6, decontamination.GROUP)) * 0.3).astype(np.float32)
+    n = rng.integers(0, 9, 500)
+    cuts, place = np.concatenate([[0], np.cumsum(n)]), rng.integers(0, 300, n.sum())
+    text, square = np.repeat(np.arange(50), 10), rng.random(500) * 3 + 0.5
+    for width in (1, 2, 8):
+        want = {}
+        for w in range(500):
+            last = min(w + width, (text[w] + 1) * 10)
+            cosine = products[place[cuts[w] : cuts[last]]].sum(0) / np.sqrt(square[w:last].sum())
+            want |= {(w, int(g), int(i)): cosine[g, i] for g, i in zip(*np.nonzero(cosine >= decontamination.COSINE), strict=True)}
+        *pairs, cosine = decontamination.candidates(products, place, cuts, square, text, width)
+        got = dict(zip(zip(*(x.tolist() for x in pairs), strict=True), cosine, strict=True))
+        assert {k for k, c in want.items() if c > decontamination.COSINE + 1e-4} <= set(got) <= {*want} | {k for k, c in got.items() if c < decontamination.COSINE + 1e-4}
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(0)
     for _ in range(50):
