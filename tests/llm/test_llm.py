@@ -280,6 +280,19 @@ def test_span_dedup(docs, empty, spark):
     assert span_dedup.remove_repeated_spans(empty).isEmpty()
 
 
+def test_span_dedup_inside_long_sentences(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("bcdfgaeiou", k=6))
+    rows = []
+    for k in range(60):  # a passage of one sentence, with other words before and after it in that sentence
+        passage = [word() for _ in range(60)]
+        rows += [(2 * k + j, " ".join([word() for _ in range(3 + k % 7 + 4 * j)] + passage + [word() for _ in range(5)]) + ".", "en", "s", 1) for j in (0, 1)]
+    assert all("".join(span_dedup.sentences(r[1])) == r[1] for r in rows)
+    got = {r.doc_id: r for r in span_dedup.remove_repeated_spans(spark.createDataFrame(rows, SCHEMA)).collect()}
+    left = [len(got[2 * k + 1]._clean.split()) - 5 - (3 + k % 7 + 4) for k in range(60)]
+    assert all(got[2 * k]._removed == 0 for k in range(60)) and max(left) <= 35 and sum(left) / 60 < 20
+
+
 def test_decontamination(docs, empty, spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choices("bcdfgaeiou", k=7))

@@ -1,12 +1,13 @@
 """Operator 8. Substring deduplication by sliding sentence spans.
 
 A text is read as sentences (they end at . ! ? before white space, and at line ends); a sentence of
-more than ``MAX_WORDS`` words counts as several, cut from its start. From every sentence a span runs
+more than ``MAX_WORDS`` words counts as several, cut where a hash of two words is the least among those up to ``NEAR``
+words away, so that copies are cut alike a few words into a passage, and after ``MAX_WORDS`` words at the latest. From every sentence a span runs
 on until it has ``LEAST_SENTENCES`` sentences and ``LEAST_WORDS`` words, so that a passage gives the
 same spans wherever it stands. Spans are hashed (128 bits) and joined over all documents; sentences
 covered by a repeated span that is not the first (least doc_id, then place) are removed.
 
-Any passage repeated from a sentence's start on for some 30 words or more is so found. White space
+A passage repeated for some 50 words or more is so found, wherever in a sentence it starts, but for few. White space
 between words does not count. Null text stays null; empty texts and such with fewer words stay.
 Rows equal in doc_id and text count as one document and each gets its result; rows with a null
 doc_id come before all others. Other columns are kept, but for those named in ``OWN``. An empty table gives no
@@ -24,33 +25,56 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import chain, checkpointed, documents, owners, release, slices, word_hashes, words
+from tidemark.llm._common import chain, checkpointed, documents, mix, owners, release, slices, word_hashes, words
 from tidemark.llm.line_dedup import keyed
 
 LEAST_SENTENCES = 3
 LEAST_WORDS = 20
 MAX_WORDS = 10
+NEAR = 4
 #: Stands for a line end among the words; where a text has it as a word of its own, it ends a sentence too.
 LINE_END = "\x1e"
 _END = r"[.!?][\"')\]]*$"
-_ENDS = re.compile(_END)
-_WORD = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
-_SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def pieces(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """Of each word (line ends are none): its hash, its text, and whether a sentence or a piece of one starts with it."""
+    distinct, index, offsets = words(pc.replace_substring(pc.fill_null(texts, ""), "\n", f" {LINE_END} "), lower=False)
+    text = owners(offsets)
+    line = np.zeros(len(distinct), bool)
+    if (at := pc.index(distinct, pa.scalar(LINE_END, distinct.type)).as_py()) >= 0:
+        line[at] = True
+    ends = pc.match_substring_regex(distinct, _END).to_numpy(zero_copy_only=False).astype(bool)
+    is_line = line[index]
+    ending = ends[index]
+    ending[:-1] |= is_line[1:]
+    real = np.flatnonzero(~is_line)
+    h, text, ending = word_hashes(distinct)[index[real]], text[real], ending[real]
+    starts = np.ones(len(real), bool)
+    starts[1:] = ending[:-1] | (text[1:] != text[:-1])
+    sentence = np.cumsum(starts)
+    rolling = mix(h * np.uint64(0xBF58476D1CE4E5B9) + np.roll(h, 1))
+    rolling[starts] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    least = ~starts & (np.bincount(sentence, minlength=1)[sentence] > MAX_WORDS)
+    for d in range(1, NEAR + 1):
+        same = sentence[d:] == sentence[:-d]
+        least[:-d] &= ~same | (rolling[:-d] < rolling[d:])
+        least[d:] &= ~same | (rolling[d:] <= rolling[:-d])
+    starts |= least
+    place = np.arange(len(real))
+    return h, text, (place - np.maximum.accumulate(np.where(starts, place, 0))) % MAX_WORDS == 0
+
+
+def _split(text: str, starts: np.ndarray) -> list[str]:
+    at = [m.start() for m in _WORD.finditer(text) if m[0] != LINE_END]
+    cuts = [at[k] for k in np.flatnonzero(starts)]
+    return [text[a:b] for a, b in zip([0, *cuts[1:]], [*cuts[1:], len(text)], strict=True)] if cuts else []
 
 
 def sentences(text: str) -> list[str]:
     """The sentences of one text, each with the white space after it."""
-    out, at, n, start = [], 0, 0, len(text) - len(text.lstrip(_SPACE))
-    for m in _WORD.finditer(text, start):
-        word = m[0].rstrip(_SPACE)
-        n += word != LINE_END
-        if n == MAX_WORDS or word == LINE_END or _ENDS.search(word) or "\n" in m[0]:
-            if n:
-                out.append(text[at : m.end()])
-                at, n = m.end(), 0
-    if n:
-        out.append(text[at:])
-    return out
+    return _split(text, pieces(pa.array([text]))[2])
 
 
 def _runs(h: np.ndarray, first: np.ndarray, size: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -65,26 +89,12 @@ def _runs(h: np.ndarray, first: np.ndarray, size: np.ndarray, seed: int = 0) ->
 
 def spans(texts: pa.Array) -> tuple[np.ndarray, ...]:
     """Text, first sentence, number of sentences, and two hashes of each span."""
-    distinct, index, offsets = words(pc.replace_substring(pc.fill_null(texts, ""), "\n", f" {LINE_END} "), lower=False)
-    text = owners(offsets)
-    line = np.zeros(len(distinct), bool)
-    if (at := pc.index(distinct, pa.scalar(LINE_END, distinct.type)).as_py()) >= 0:
-        line[at] = True
-    ends = pc.match_substring_regex(distinct, _END).to_numpy(zero_copy_only=False).astype(bool)
-    is_line = line[index]
-    ending = ends[index]
-    ending[:-1] |= is_line[1:]
-    real = np.flatnonzero(~is_line)
-    h, text, ending = word_hashes(distinct)[index[real]], text[real], ending[real]
-    if not len(real):
+    h, text, starts = pieces(texts)
+    if not len(h):
         none = np.zeros(0, np.int64)
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    starts = np.ones(len(real), bool)
-    starts[1:] = ending[:-1] | (text[1:] != text[:-1])
-    place = np.arange(len(real))
-    starts = (place - np.maximum.accumulate(np.where(starts, place, 0))) % MAX_WORDS == 0
     first_word = np.flatnonzero(starts)
-    n = np.diff(np.append(first_word, len(real)))
+    n = np.diff(np.append(first_word, len(h)))
     text, one = text[first_word], _runs(h, first_word, n)
     m = len(n)
     before = np.concatenate([[0], np.cumsum(n)])
@@ -130,9 +140,12 @@ def remove_repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "te
     def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
             texts, gone = [], []
-            for whole, drop in zip(part.column(text).to_pylist(), part.column("drop").to_pylist(), strict=True):
+            cut = [x for x in range(part.num_rows) if part.column("drop")[x].is_valid]
+            _, owner, starts = pieces(part.column(text).take(pa.array(cut, pa.int64())))
+            bounds = dict(zip(cut, np.split(starts, np.searchsorted(owner, np.arange(1, len(cut)))), strict=True)) if cut else {}
+            for x, (whole, drop) in enumerate(zip(part.column(text).to_pylist(), part.column("drop").to_pylist(), strict=True)):
                 out = {k for d in drop or () for k in range(d >> 8 & 0xFFFFFF, (d >> 8 & 0xFFFFFF) + (d & 0xFF))}
-                texts.append("".join(s for k, s in enumerate(sentences(whole)) if k not in out) if out else whole)
+                texts.append("".join(s for k, s in enumerate(_split(whole, bounds[x])) if k not in out) if out else whole)
                 gone.append(len(out))
             keep = [x for x in part.schema.names if x not in OWN]
             yield pa.RecordBatch.from_arrays([*(part.column(x) for x in keep), pa.array(texts, pa.string()), pa.array(gone, pa.int64())], [*keep, "_clean", "_removed"])
