@@ -253,6 +253,22 @@ def test_chunks_resist_shifts():
     assert len(a & b) > 0.9 * len(a) and line_dedup.chunks("one") == [(0, 1)]
 
 
+def test_chunks_keep_a_lone_last_line_apart(spark):
+    rng = random.Random(6)
+    line = lambda: "".join(rng.choices("abcdefgh ", k=30))
+    rows = []
+    for k in range(40):  # a block, cut before its end where the hash says so, and a last line of its own
+        block = [line() for _ in range(6)]
+        cut = line_dedup.chunks("\n".join(block + [line(), line(), line()]))
+        whole = [b for _, b in cut if b <= 6]
+        if whole:
+            rows += [(2 * k + j, "\n".join([*block[: whole[-1]], line()]), whole[-1]) for j in (0, 1)]
+    assert len(rows) > 40
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    removed = {r.doc_id: r._removed for r in line_dedup.remove_repeated_chunks(df).collect()}
+    assert removed == {i: n if i % 2 else 0 for i, _, n in rows}
+
+
 def test_span_dedup(docs, empty, spark):
     passage = "Here begins a passage of many words that stands in two of them. It goes on for a second sentence of some length here. And then a third one ends it after quite some more words than that, so there. Last."
     more = [(900, "Something first. " + passage + " After.", "en", "s", 1), (901, "Else\n" + passage.replace(" ", "  "), "en", "s", 1), (902, "Nothing of the kind.", "en", "s", 1)]

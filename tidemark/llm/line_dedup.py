@@ -54,8 +54,6 @@ def chunks(text: str) -> list[tuple[int, int]]:
         if end > at:
             out.append((at, end))
         at = end
-    if len(out) > 1 and out[-1][1] - out[-1][0] == 1:  # a last line by itself goes with what is before it
-        out[-2:] = [(out[-2][0], out[-1][1])]
     return out
 
 
