@@ -88,6 +88,20 @@ def test_vector_search(spark):
     assert vector_search.search(df.limit(0), F.col("id") % 50 == 0).isEmpty()
 
 
+def test_vector_search_among_near_copies(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((6000, 16))
+    x[:2000] = x[0] + rng.standard_normal((2000, 16)) * 1e-3
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    hits = total = 0
+    for r in vector_search.search(df, F.col("id") % 50 == 0).groupBy("query_id").agg(F.collect_list("vec_id").alias("v")).collect():
+        cos = unit @ unit[r.query_id]
+        cos[r.query_id] = -2
+        hits, total = hits + len(set(np.argsort(-cos)[:5].tolist()) & set(r.v)), total + 5
+    assert total == 600 and hits == total, hits / total
+
+
 def test_packing(docs, empty):
     tokenizer = packing._tokenizer(packing.public_tokenizers.path("word_bpe_49k.json"))
     got = packing.best_fit_packing(docs, capacity=256).toPandas()

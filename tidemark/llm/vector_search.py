@@ -6,7 +6,8 @@ along its vector costs ``eta`` times as much as the part across, because it is w
 scores. Every vector is encoded by coordinate descent on that loss, four bits a subspace, two codes
 a byte. A query is a table of its inner products with all centres; scanning adds up table entries.
 The best ``rerank`` of each block of candidates are scored again exactly, in double precision, on
-the original vectors.
+the original vectors, and then all whose table score plus the norm of their residual, which no exact
+score exceeds, reaches the k-th exact score. So the neighbours are the exact ones.
 
 The index is fitted on at most ``FIT_ROWS`` vectors (by hash of the id); every row is encoded and
 searched. Queries and candidates meet in a grid of bounded blocks: every block of queries against
@@ -36,6 +37,10 @@ SWEEPS = 2
 QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 8192
 RERANK = 64
+#: Further candidates are scored so many at a time.
+MORE = 1024
+#: For rounding in the table scores.
+SLACK = 1e-4
 
 
 def eta(dimension: int, threshold: float = THRESHOLD) -> float:
@@ -159,8 +164,24 @@ def search(vectors: DataFrame, queries, k: int = 5, rerank: int = RERANK, id_: s
         ids, x = right["id"].to_numpy()[order], _matrix(right["v"])[order]
         own, y = left["id"].to_numpy(), _matrix(left["v"])
         units = unit(x)
-        codes = np.concatenate([quantiser.pack(quantiser.encode(units[a : a + 2048])) for a in range(0, len(x), 2048)]).T.copy()
+        codes, residual = [], np.zeros(len(x))
+        for a in range(0, len(x), 2048):
+            part = quantiser.encode(units[a : a + 2048])
+            chosen = quantiser.books[np.arange(part.shape[1])[None], part].reshape(len(part), -1)
+            residual[a : a + 2048] = np.sqrt(((units[a : a + 2048] - chosen) ** 2).sum(1))
+            codes.append(quantiser.pack(part))
+        codes = np.concatenate(codes).T.copy()
         norms = np.sqrt((x * x).sum(1))
+
+        def nearest(some: np.ndarray, query: np.ndarray, others: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Ids and exact scores of the k nearest of some candidates and others."""
+            exact = np.concatenate([(x[some] * query).sum(1) / (norms[some] * np.sqrt((query * query).sum())), scores])
+            names = np.concatenate([ids[some], others])
+            keep = np.lexsort((names, -exact))
+            _, once = np.unique(names[keep], return_index=True)
+            keep = keep[np.sort(once)][:k]
+            return names[keep], exact[keep]
+
         out: list[tuple] = []
         for a in range(0, len(y), 64):
             tables = quantiser.tables(unit(y[a : a + 64]))
@@ -174,11 +195,17 @@ def search(vectors: DataFrame, queries, k: int = 5, rerank: int = RERANK, id_: s
                 best = np.flatnonzero(score > floor)
                 ties = np.flatnonzero(score == floor)
                 best = np.concatenate([best, ties[: top - len(best) if floor > -np.inf else 0]])  # ids ascend: ties to the least
-                exact = (x[best] * query).sum(1) / (norms[best] * np.sqrt((query * query).sum()))
-                keep = np.lexsort((ids[best], -exact))
-                _, once = np.unique(ids[best][keep], return_index=True)
-                keep = keep[np.sort(once)][:k]
-                out.append((np.full(len(keep), me), ids[best][keep], exact[keep]))
+                top_ids, exact = nearest(best, query, np.zeros(0, np.int64), np.zeros(0))
+                upper = score + residual + SLACK
+                upper[best] = -np.inf
+                more = np.flatnonzero(upper >= (exact[k - 1] if len(exact) >= k else np.finfo(np.float64).min))
+                more = more[np.argsort(-upper[more], kind="stable")]
+                for at in range(0, len(more), MORE):
+                    some = more[at : at + MORE]
+                    if len(exact) >= k and upper[some[0]] < exact[k - 1]:
+                        break
+                    top_ids, exact = nearest(some, query, top_ids, exact)
+                out.append((np.full(len(top_ids), me), top_ids, exact))
         return pa.table({name: pa.array(np.concatenate(col)) for name, col in zip(none.column_names, zip(*out, strict=True), strict=True)})
 
     found = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInArrow(cell, schema)
