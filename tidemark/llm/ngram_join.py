@@ -281,6 +281,7 @@ def ngram_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     links = same
     if not pairs.isEmpty():
         links = links.unionByName(check(pairs))
+    if not leaders.isEmpty():
         # what is left: pairs across components
         open_ = across(entries, components(links, rounds=3))
         del entries, leaders, led
