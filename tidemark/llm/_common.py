@@ -6,14 +6,17 @@ memory does not depend on how Spark sized the batch.
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,11 +30,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """URI of the folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session sets none (tests, a laptop) is a temporary folder chosen.
+    Only where the session sets none and all runs on this machine (tests, a laptop) is a temporary folder chosen.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if configured is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         configured = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(configured)
@@ -44,6 +49,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Steps:
+    """Tables that one run writes and reads again, in a folder of its own under the shared one.
+
+    A table that is read back brings nothing of the plan that made it: plans of a loop stay small. (What
+    checkpoint() returns keeps the constraints of its plan, which grow from round to round.)
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Removes tables that nothing reads any more, where Arrow can reach the store."""
+        for name in names:
+            with contextlib.suppress(OSError, NotImplementedError, pa.ArrowInvalid):
+                fs, path = pyarrow.fs.FileSystem.from_uri(f"{self.folder}/{name}")
+                fs.delete_dir(path)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of what is checkpointed by now.
 
@@ -60,16 +87,30 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, budget: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of the batches with at most ``budget`` bytes of ``column`` each, or one row."""
+    """Consecutive parts of the batches with at most ``budget`` bytes of ``column`` each, or one row.
+
+    At the end what Arrow's pool no longer uses goes back: a worker lives on after its task.
+    """
+    try:
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.cumsum(sizes)
+            at = 0
+            while at < batch.num_rows:
+                before = ends[at - 1] if at else 0
+                upto = max(at + 1, int(np.searchsorted(ends, before + budget, side="right")))
+                yield batch.slice(at, upto - at)
+                at = upto
+    finally:
+        pa.default_memory_pool().release_unused()
+
+
+def row_slices(batches: Iterator[pa.RecordBatch], field: str) -> Iterator[pa.RecordBatch]:
+    """The same by the bytes of a field of the struct ``_row``."""
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        ends = np.cumsum(sizes)
-        at = 0
-        while at < batch.num_rows:
-            before = ends[at - 1] if at else 0
-            upto = max(at + 1, int(np.searchsorted(ends, before + budget, side="right")))
-            yield batch.slice(at, upto - at)
-            at = upto
+        own = pa.RecordBatch.from_arrays([*batch.columns, pc.struct_field(batch.column("_row"), field)], [*batch.schema.names, "_bytes_of"])
+        for part in slices(iter([own]), "_bytes_of"):
+            yield part.drop_columns(["_bytes_of"])
 
 
 def words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -108,13 +149,13 @@ def chain(hashes: list[np.ndarray], seed: int = 0) -> np.ndarray:
     return out
 
 
-def word_hashes(distinct: pa.Array) -> np.ndarray:
+def word_hashes(distinct: pa.Array, seed: int = 0) -> np.ndarray:
     """64-bit hash of each string's bytes, eight at a time over all strings that are long enough."""
     offsets = np.frombuffer(distinct.buffers()[1], np.int32)[distinct.offset : distinct.offset + len(distinct) + 1].astype(np.int64)
     data = np.concatenate([np.frombuffer(distinct.buffers()[2] or b"", np.uint8)[: offsets[-1]], np.zeros(8, np.uint8)])
     eight = np.ndarray(len(data) - 7, np.dtype("<u8"), data, strides=(1,))
     left = np.diff(offsets)
-    out, at, live = mix(left.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), offsets[:-1].copy(), np.flatnonzero(left > 0)
+    out, at, live = mix(left.astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (2 * seed + 1)) & 0xFFFFFFFFFFFFFFFF)), offsets[:-1].copy(), np.flatnonzero(left > 0)
     while len(live):
         rest = left[live]
         keep = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * (np.uint64(8) - np.minimum(rest, 8).astype(np.uint64)))
