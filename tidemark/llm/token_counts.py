@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import documents, slices
+from tidemark.llm._common import checkpointed, documents, slices
 
 #: Lengths per block of the two-level suffix sums.
 BLOCK = 1024
@@ -54,9 +54,10 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     """Adds to each length: n_tokens, docs_ge and tokens_ge (of that length or longer), truncated_tokens
     (left when every text is cut to that length), share_le (of documents up to that length).
 
-    Two levels keep each window small: sums by block of lengths, then sums within a block.
+    Two levels keep each window small: sums by block of lengths, then sums within a block. The histogram
+    is used several times, so it is checkpointed first and no text is encoded again for it.
     """
-    h = histogram.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("n_tokens"), F.floor(F.col("length") / BLOCK).alias("block"))
+    h = checkpointed(histogram).select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("n_tokens"), F.floor(F.col("length") / BLOCK).alias("block"))
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("n_tokens").alias("t"))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
