@@ -16,17 +16,21 @@ every block of candidates.
 Vectors that are null, empty, zero, of another dimension than most, or with null or non-finite
 components take no part, nor do rows with a null id. Ties go to the smaller vec_id. Rows with the
 same id as a query are not its candidates; rows repeating an id are candidates once each but a
-neighbour only once. With fewer than ``k`` candidates all are returned. An empty table gives no rows.
+neighbour only once, with the nearest of their vectors. With fewer than ``k`` candidates all are returned. An empty table gives no rows.
 Other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm._common import Steps
+
 FIT_ROWS = 20_000
 CENTRES = 16
 SUBSPACE = 2
@@ -153,8 +157,26 @@ def search(vectors: DataFrame, queries, k: int = 5, rerank: int = RERANK, id_: s
 
     n_queries = rows.filter(queries).count()
     q_blocks, c_blocks = max(1, -(-n_queries // QUERY_BLOCK)), max(1, -(-n // CANDIDATE_BLOCK))
-    q = rows.filter(queries).select("id", "v", F.pmod(F.xxhash64("id", F.lit("q")), F.lit(q_blocks)).cast("int").alias("qb")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
-    c = rows.select("id", "v", F.pmod(F.xxhash64("id", F.lit("c")), F.lit(c_blocks)).cast("int").alias("cb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2048):
+                part = batch.slice(a, 2048)
+                units = unit(_matrix(part.column("v")))
+                codes = quantiser.encode(units)
+                chosen = quantiser.books[np.arange(codes.shape[1])[None], codes].reshape(len(codes), -1)
+                packed = pa.array([row.tobytes() for row in quantiser.pack(codes)], pa.binary())
+                residual = pa.array(np.sqrt(((units - chosen) ** 2).sum(1)))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("v"), packed, residual], ["id", "v", "codes", "residual"])
+
+    # every row is encoded once, whatever the number of query blocks it will meet
+    index = Steps(spark, "vector-index").write(rows.select("id", "v").mapInArrow(encode, "id long, v array<double>, codes binary, residual double"), "index")
+
+    def block(salt: str, blocks: int) -> Column:
+        return F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(blocks)).cast("int")
+
+    q = rows.filter(queries).select("id", "v", block("q", q_blocks).alias("qb")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
+    c = index.withColumn("cb", block("c", c_blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
         none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
@@ -163,14 +185,8 @@ def search(vectors: DataFrame, queries, k: int = 5, rerank: int = RERANK, id_: s
         order = np.argsort(right["id"].to_numpy(), kind="stable")
         ids, x = right["id"].to_numpy()[order], _matrix(right["v"])[order]
         own, y = left["id"].to_numpy(), _matrix(left["v"])
-        units = unit(x)
-        codes, residual = [], np.zeros(len(x))
-        for a in range(0, len(x), 2048):
-            part = quantiser.encode(units[a : a + 2048])
-            chosen = quantiser.books[np.arange(part.shape[1])[None], part].reshape(len(part), -1)
-            residual[a : a + 2048] = np.sqrt(((units[a : a + 2048] - chosen) ** 2).sum(1))
-            codes.append(quantiser.pack(part))
-        codes = np.concatenate(codes).T.copy()
+        codes = np.frombuffer(b"".join(right["codes"].to_pylist()), np.uint8).reshape(len(x), -1)[order].T.copy()
+        residual = right["residual"].to_numpy()[order]
         norms = np.sqrt((x * x).sum(1))
 
         def nearest(some: np.ndarray, query: np.ndarray, others: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,7 +226,9 @@ def search(vectors: DataFrame, queries, k: int = 5, rerank: int = RERANK, id_: s
 
     found = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInArrow(cell, schema)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # an id that repeats with other vectors counts with its nearest
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op2_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
