@@ -3,7 +3,10 @@
 How documents are dealt to sequences depends on piece lengths alone, and there are at most
 ``capacity`` of them, so the whole packing is decided on a histogram of lengths (bounded by
 ``capacity`` rows) and only then written out to the pieces: pieces of one length are
-interchangeable, the k-th of them takes the k-th slot that the plan has for that length.
+interchangeable, the k-th of them takes the k-th slot that the plan has for that length. A step of the
+plan uses up a length or a kind of sequence and makes two new kinds at most, so the plan has a few kinds a
+length, however many pieces there are, and fewer than 64 lengths a kind (their sum is ``capacity``
+at most): that bounds what is broadcast.
 
 Reduction (Martello and Toth): a set of pieces that dominates every other set which could hold its
 largest piece is fixed for good. Fixed are a full piece alone, a piece that nothing fits beside, two
@@ -35,9 +38,9 @@ from tidemark.llm._common import checkpointed, documents, slices, words
 
 CAPACITY = 2048
 #: Words a worker remembers with their ids; when more, it starts anew.
-REMEMBERED = 1_000_000
-#: Rows of one length are numbered within so many groups.
-SALTS = 64
+REMEMBERED = 600_000
+#: Rows of one length are numbered within groups of about so many.
+GROUP_ROWS = 200_000
 
 
 @cache
@@ -145,6 +148,18 @@ def pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     return df.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
+def _best_pair(order: list[int], left: Counter, room: int) -> int:
+    """The largest sum of two of the lengths in ``order`` that fits."""
+    best = 0
+    for a in order:
+        if 2 * a > room:
+            break
+        other = order[bisect.bisect_right(order, room - a) - 1]
+        if other != a or left[a] > 1:
+            best = max(best, a + other)
+    return best
+
+
 def _reduce(left: Counter, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Takes dominating sets out of ``left`` (length: how many); returns them as (lengths, how often)."""
     fixed: list[tuple[tuple[int, ...], int]] = []
@@ -174,17 +189,12 @@ def _reduce(left: Counter, capacity: int) -> list[tuple[tuple[int, ...], int]]:
             if not least or least[0] > room:
                 take((length,), left[length])
                 continue
+            if len(least) > 2 and sum(least) <= room:
+                return fixed  # three more would fit, and beside all shorter ones too
             single = order[bisect.bisect_right(order, room) - 1]
-            if len(least) > 1 and least[0] + least[1] <= room:
-                if len(least) > 2 and sum(least) <= room:
-                    break  # three more would fit: not decided here
-                pair = max((a + order[i] for a in order if a <= room // 2 and (i := bisect.bisect_right(order, room - a) - 1) >= 0 and (order[i] != a or left[a] > 1)), default=0)
-                if single < pair:
-                    break
+            if len(least) > 1 and least[0] + least[1] <= room and single < _best_pair(order, left, room):
+                break  # not decided for this length; a shorter one may be
             take((length, single), max(1, min(left[length], left[single]) if single != length else left[length] // 2))
-        else:
-            continue
-        break
     return fixed
 
 
@@ -236,33 +246,39 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
 def pack(piece_table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to (doc_id, piece, ..., length)."""
     spark = piece_table.sparkSession
-    salted = piece_table.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)))
+    salts = 1 + piece_table.count() // GROUP_ROWS
+    salted = piece_table.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
-    slots, sequence, taken = [], 0, Counter()
+    slots, sequence, taken = defaultdict(list), 0, Counter()
     for lengths, times in plan(histogram, capacity):
         offset = 0
         for length, k in sorted(Counter(lengths).items(), reverse=True):
             # k slots for this length in each of the sequences sequence .. sequence + times - 1
-            slots.append((length, taken[length], taken[length] + k * times, k, sequence, offset))
+            slots[length].append((taken[length], k, sequence, offset))
             taken[length] += k * times
             offset += k * length
         sequence += times
-    ranges = spark.createDataFrame(slots or [(0, 0, 0, 1, 0, 0)], "length long, lo long, hi long, k long, sequence long, at long")
+    slots = spark.sparkContext.broadcast({length: np.array(x, np.int64) for length, x in slots.items()})
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select("length", "salt", "base")
     numbered = salted.withColumn("rn", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1)
-    ranked = numbered.join(F.broadcast(base), ["length", "salt"]).withColumn("rank", F.col("rn") + F.col("base"))  # base: capacity x SALTS rows at most
-    # slots of a length are contiguous ranges of ranks: one sorted array for each length, searched per piece
-    arrays = ranges.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "k", "sequence", "at"))).alias("slots"))
-    found = ranked.join(F.broadcast(arrays), "length").withColumn("slot", F.filter("slots", lambda s: (s["lo"] <= F.col("rank")) & (F.col("rank") < s["hi"]))[0])
-    within = F.col("rank") - F.col("slot.lo")
-    keep = [c for c in piece_table.columns]
-    return found.select(
-        *keep,
-        (F.col("slot.sequence") + F.floor(within / F.col("slot.k"))).cast("long").alias("sequence_id"),
-        (F.col("slot.at") + F.col("length") * (within % F.col("slot.k"))).cast("long").alias("offset"),
-    )
+    ranked = numbered.join(base, ["length", "salt"]).withColumn("rank", (F.col("rn") + F.col("base")).cast("long"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
+            sequence_id, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+            for size in np.unique(length):  # slots of a length are contiguous ranges of ranks
+                own = np.flatnonzero(length == size)
+                first, k, sequence, at = slots.value[size][np.searchsorted(slots.value[size][:, 0], rank[own], side="right") - 1].T
+                within = rank[own] - first
+                sequence_id[own], offset[own] = sequence + within // k, at + size * (within % k)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence_id), pa.array(offset)], [*names, "sequence_id", "offset"])
+
+    names = piece_table.columns
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in piece_table.schema.fields)
+    return ranked.select(*names, "rank").mapInArrow(place, f"{fields}, sequence_id long, offset long")
 
 
 def best_fit_packing(df: DataFrame, capacity: int = CAPACITY, **how) -> DataFrame:
