@@ -7,14 +7,15 @@ language whose model needs the fewest bits per character. Since a word's bits de
 alone, a worker scores each distinct word once and remembers it.
 
 Training counts come from about ``SAMPLE_DOCS`` labelled documents a language, chosen by a hash of
-the id (a documented bound, with at most ``MAX_LANGUAGES`` languages); prediction covers all whole
+the id (a documented bound, as is ``MAX_LANGUAGES``: of more, those with most rows are learned); prediction covers all whole
 texts. Rejection is calibrated on labelled documents that training left out: a text is rejected
 where its bits per character, against what is usual for its language and length, exceed
 ``SLACK`` times the ``QUANTILE`` of those documents, and ``LEAST_EXCESS`` bits (at ``STEADY`` characters)
 in any case, so that a few short or odd calibration texts can't make clean documents go.
 
 A text that is null, empty or without letters gets ``und``, score 0, and is rejected. Ties between
-languages go to the first in alphabetical order. Repeated rows are judged one by one. Rows with a
+languages go to the first in alphabetical order. Repeated rows are judged one by one. Rows with a null doc_id are
+predicted, not learned from, and op4's held_out is null for them. Rows with a
 null language are predicted but not learned from. An empty table gives no rows; with nothing to
 learn from, all is ``und``. Further columns are ignored.
 """
@@ -38,7 +39,7 @@ QUANTILE, SLACK = 0.999, 1.5
 LEAST_EXCESS = 2.0
 #: Beyond so many characters a longer text is not held to a narrower band.
 STEADY = 400
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 UNSEEN = 1 / 5000  # the uniform share of a character that no text had
 
 
@@ -160,9 +161,8 @@ def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "
     known = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     held = calibrate if calibrate is not None else F.pmod(F.xxhash64(F.col(doc_id), F.lit("held")), F.lit(4)) == 0
     known = known.filter(learn if learn is not None else F.lit(True)).select(F.col(doc_id).alias("d"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"), held.alias("held"))
-    counts = {r["l"]: r["n"] for r in known.groupBy("l").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    most = known.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES)
+    counts = {r["l"]: r["n"] for r in most.collect()}
     if not counts:
         return Identifier({})
     sample = _sample(known, counts, "d", "l", SAMPLE_DOCS)
@@ -234,13 +234,13 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(df: DataFrame) -> DataFrame:
-    """The documents whose language is recognised; rejected ones go."""
+    """The documents whose language is recognised; rejected ones go. With no labelled row to learn from, all stay."""
     identifier = fit(df)
+    if not identifier.languages:
+        return df
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            if not identifier.languages:
-                continue
             h, n = identifier.judge(part.column("text"))
             best = h.argmin(axis=1)
             keep = (n > 0) & ~(identifier.z(best, h[np.arange(len(n)), best], n) > identifier.excess[best])
