@@ -244,9 +244,11 @@ def test_line_dedup(docs, empty):
     order = sorted(by_id(corpus()))
     for i, t in order:
         lines, out = t.split("\n"), []
-        for a, b in line_dedup.chunks(t) if "\n" in t else [(0, len(lines))]:
-            body = "\n".join(lines[a:b])
-            if b - a > 1 and body.strip():
+        cut = line_dedup.chunks(t) if "\n" in t else [(0, len(lines))]
+        for k, (a, b) in enumerate(cut):
+            lone = k == len(cut) - 1 > 0 and b - a == 1  # a last line goes with the chunk before it or not at all
+            body = "\n".join(lines[cut[k - 1][0] if lone else a : b])
+            if (b - a > 1 or lone) and body.strip():
                 if body in seen:
                     continue
                 seen.add(body)

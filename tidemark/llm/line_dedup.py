@@ -4,11 +4,11 @@ A document's lines are hashed, and a rolling hash over ``ROLLING`` line hashes e
 falls into one of every ``MEAN_LINES`` values, so the same passage is cut alike wherever it stands.
 Chunks of several lines that occur more than once anywhere are compared byte for byte, by grouping
 on the bytes themselves; all but the first (least doc_id, then place) are removed. Single lines and
-chunks of white space stay.
+chunks of white space stay; only a lone last line goes where it and the chunk before it occurred together.
 
 Null text stays null. Empty texts stay. Rows equal in doc_id and text count as one document, and
 each of them gets its result; rows with a null doc_id come before all others. Other columns are
-kept as they are, but for those named in ``OWN``. An empty table gives no rows. No line or text is too long.
+kept as they are, but for those named in ``ADDED``. An empty table gives no rows. No line or text is too long.
 """
 
 from __future__ import annotations
@@ -17,23 +17,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import checkpointed, documents, mix, slices
+from tidemark.llm._common import checkpointed, documents, mix, row_slices, slices
 
 ROLLING = 2
 MEAN_LINES = 3
 MAX_LINES = 64
 KEY = "_rid long, _th long"
-#: Columns of these names are the operator's; an input's columns so named are left out.
-OWN = ("_rid", "_th", "ks", "_clean", "_lines", "_removed")
+#: Columns that the operator adds; an input's own of the same name give way to them.
+ADDED = ("_clean", "_lines", "_removed")
 
 
-def keyed(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Adds _rid and _th, which together stand for a document."""
-    return df.withColumn("_rid", F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 62)))).withColumn("_th", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """A key for every row: the doc_id, and where it is null a negative number below all others, from the text's hash."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.shiftright(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 2) - F.lit(3 << 61))
+
+
+def keyed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", added: tuple[str, ...] = ADDED) -> DataFrame:
+    """(_rid, _th, _row): the first two stand for a document, _row has the row's own columns."""
+    own = F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in added]).alias("_row")
+    return df.select(row_key(doc_id, text).alias("_rid"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_th"), own)
 
 
 def chunks(text: str) -> list[tuple[int, int]]:
@@ -57,6 +64,13 @@ def chunks(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def compared(cut: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(chunk, first line, line after the last) of what decides over each chunk: its own lines, for a lone
+    last line those with the chunk before it."""
+    own = [(k, a, b) for k, (a, b) in enumerate(cut) if b - a > 1]
+    return own + [(len(cut) - 1, cut[-2][0], cut[-1][1])] if len(cut) > 1 and cut[-1][1] - cut[-1][0] == 1 else own
+
+
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "_t"):
         rid, th, k, h = [], [], [], []
@@ -64,8 +78,8 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not text or "\n" not in text:
                 continue
             lines = text.split("\n")
-            for i, (a, b) in enumerate(chunks(text)):
-                if b - a > 1 and (body := "\n".join(lines[a:b])).strip():
+            for i, a, b in compared(chunks(text)):
+                if (body := "\n".join(lines[a:b])).strip():
                     rid.append(r), th.append(t), k.append(i), h.append(xxhash.xxh3_64_intdigest(body) - (1 << 63))
         yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(th, pa.int64()), pa.array(k, pa.int32()), pa.array(h, pa.int64())], ["_rid", "_th", "k", "h"])
 
@@ -74,8 +88,8 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "_t"):
         out = []
         for r, t, text, want in zip(*(part.column(c).to_pylist() for c in ("_rid", "_th", "_t", "ks")), strict=True):
-            lines, cut = text.split("\n"), chunks(text)
-            out += [(r, t, k, "\n".join(lines[slice(*cut[k])])) for k in sorted(want)]
+            lines = text.split("\n")
+            out += [(r, t, k, "\n".join(lines[a:b])) for k, a, b in compared(chunks(text)) if k in want]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)], ["_rid", "_th", "k", "body"])
 
@@ -96,12 +110,11 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 
 def remove_repeated_chunks(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of ``df``, and _clean (the text without repeated chunks), _lines, _removed (numbers of lines)."""
-    df = df.drop(*OWN)
 
     def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text):
+        for part in row_slices(batches, text):
             texts, n, gone = [], [], []
-            for whole, drop in zip(part.column(text).to_pylist(), part.column("ks").to_pylist(), strict=True):
+            for whole, drop in zip(pc.struct_field(part.column("_row"), text).to_pylist(), part.column("ks").to_pylist(), strict=True):
                 n.append(whole.count("\n") + 1 if whole is not None else 0)
                 if drop:
                     all_lines, cut, drop = whole.split("\n"), chunks(whole), set(drop)
@@ -111,14 +124,12 @@ def remove_repeated_chunks(df: DataFrame, doc_id: str = "doc_id", text: str = "t
                 else:
                     gone.append(0)
                 texts.append(whole)
-            keep = [x for x in part.schema.names if x not in OWN]
-            yield pa.RecordBatch.from_arrays([*(part.column(x) for x in keep), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [*keep, "_clean", "_lines", "_removed"])
+            yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], ["_row", *ADDED])
 
     docs = keyed(df, doc_id, text)
-    drop = repeated_chunks(docs.select("_rid", "_th", F.col(text).alias("_t")))
-    joined = docs.join(drop, ["_rid", "_th"], "left")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return joined.mapInArrow(without, f"{fields}, _clean string, _lines long, _removed long")
+    drop = repeated_chunks(docs.select("_rid", "_th", F.col("_row").getField(text).alias("_t")))
+    joined = docs.join(drop, ["_rid", "_th"], "left").select("_row", "ks")
+    return joined.mapInArrow(without, f"_row {docs.schema['_row'].dataType.simpleString()}, _clean string, _lines long, _removed long").select("_row.*", *ADDED)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,13 +4,13 @@ A text is read as sentences (they end at . ! ? before white space, and at line e
 more than ``MAX_WORDS`` words counts as several, cut where a hash of two words is the least among those up to ``NEAR``
 words away, so that copies are cut alike a few words into a passage, and after ``MAX_WORDS`` words at the latest. From every sentence a span runs
 on until it has ``LEAST_SENTENCES`` sentences and ``LEAST_WORDS`` words, so that a passage gives the
-same spans wherever it stands. Spans are hashed (128 bits) and joined over all documents; sentences
+same spans wherever it stands. Spans are hashed (128 bits, from two hashes of every word) and joined over all documents; sentences
 covered by a repeated span that is not the first (least doc_id, then place) are removed.
 
 A passage repeated for some 50 words or more is so found, wherever in a sentence it starts, but for few. White space
 between words does not count. Null text stays null; empty texts and such with fewer words stay.
 Rows equal in doc_id and text count as one document and each gets its result; rows with a null
-doc_id come before all others. Other columns are kept, but for those named in ``OWN``. An empty table gives no
+doc_id come before all others. Other columns are kept, but for those named in ``ADDED``. An empty table gives no
 rows. Texts may be of any length.
 """
 
@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import chain, checkpointed, documents, mix, owners, release, slices, word_hashes, words
+from tidemark.llm._common import chain, checkpointed, documents, mix, owners, release, row_slices, slices, word_hashes, words
 from tidemark.llm.line_dedup import keyed
 
 LEAST_SENTENCES = 3
@@ -39,7 +39,7 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def pieces(texts: pa.Array) -> tuple[np.ndarray, ...]:
-    """Of each word (line ends are none): its hash, its text, and whether a sentence or a piece of one starts with it."""
+    """Of each word (line ends are none): two hashes, its text, and whether a sentence or a piece of one starts with it."""
     distinct, index, offsets = words(pc.replace_substring(pc.fill_null(texts, ""), "\n", f" {LINE_END} "), lower=False)
     text = owners(offsets)
     line = np.zeros(len(distinct), bool)
@@ -50,7 +50,8 @@ def pieces(texts: pa.Array) -> tuple[np.ndarray, ...]:
     ending = ends[index]
     ending[:-1] |= is_line[1:]
     real = np.flatnonzero(~is_line)
-    h, text, ending = word_hashes(distinct)[index[real]], text[real], ending[real]
+    h, other = word_hashes(distinct)[index[real]], word_hashes(distinct, 1)[index[real]]
+    text, ending = text[real], ending[real]
     starts = np.ones(len(real), bool)
     starts[1:] = ending[:-1] | (text[1:] != text[:-1])
     sentence = np.cumsum(starts)
@@ -63,7 +64,7 @@ def pieces(texts: pa.Array) -> tuple[np.ndarray, ...]:
         least[d:] &= ~same | (rolling[d:] <= rolling[:-d])
     starts |= least
     place = np.arange(len(real))
-    return h, text, (place - np.maximum.accumulate(np.where(starts, place, 0))) % MAX_WORDS == 0
+    return h, other, text, (place - np.maximum.accumulate(np.where(starts, place, 0))) % MAX_WORDS == 0
 
 
 def _split(text: str, starts: np.ndarray) -> list[str]:
@@ -74,7 +75,7 @@ def _split(text: str, starts: np.ndarray) -> list[str]:
 
 def sentences(text: str) -> list[str]:
     """The sentences of one text, each with the white space after it."""
-    return _split(text, pieces(pa.array([text]))[2])
+    return _split(text, pieces(pa.array([text]))[3])
 
 
 def _runs(h: np.ndarray, first: np.ndarray, size: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -87,73 +88,79 @@ def _runs(h: np.ndarray, first: np.ndarray, size: np.ndarray, seed: int = 0) ->
     return acc
 
 
-def spans(texts: pa.Array) -> tuple[np.ndarray, ...]:
-    """Text, first sentence, number of sentences, and two hashes of each span."""
-    h, text, starts = pieces(texts)
-    if not len(h):
-        none = np.zeros(0, np.int64)
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+def _extents(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """First words, sizes and texts of the sentences; first sentence and number of sentences of each span."""
     first_word = np.flatnonzero(starts)
-    n = np.diff(np.append(first_word, len(h)))
-    text, one = text[first_word], _runs(h, first_word, n)
-    m = len(n)
+    n = np.diff(np.append(first_word, len(text)))
+    of, m = text[first_word], len(n)
     before = np.concatenate([[0], np.cumsum(n)])
     last = np.maximum(np.searchsorted(before, before[:-1] + LEAST_WORDS) - 1, np.arange(m) + LEAST_SENTENCES - 1)
     first = np.flatnonzero(last < m)
-    first = first[text[last[first]] == text[first]]
-    size = last[first] - first + 1
-    start = np.searchsorted(text, np.arange(len(texts)))  # the first sentence of each text
-    return text[first], first - start[text[first]], size, _runs(one, first, size, 1), _runs(one, first, size, 2)
+    first = first[of[last[first]] == of[first]]
+    return first_word, n, of, first, last[first] - first + 1
 
 
-#: Columns of these names are the operator's; an input's columns so named are left out.
-OWN = ("_rid", "_th", "drop", "_clean", "_removed")
-PLACE = "_rid long, place long"
+def spans(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """Text, first sentence, number of sentences, and two hashes of each span."""
+    h, other, text, starts = pieces(texts)
+    first_word, n, of, first, size = _extents(text, starts)
+    a, b = (_runs(_runs(x, first_word, n, seed), first, size, seed) for seed, x in ((1, h), (2, other)))
+    start = np.searchsorted(of, np.arange(len(texts)))  # the first sentence of each text
+    return of[first], first - start[of[first]], size, a, b
+
+
+#: Columns that the operator adds; an input's own of the same name give way to them.
+ADDED = ("_clean", "_removed")
+#: A span's place: so many bits of the text's hash, which tell texts of one doc_id apart, then its first
+#: sentence (a string of Spark's holds no more than that counts).
+FIRST_BITS = 31
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A span's place: 31 bits of the text's hash, first sentence, number of sentences (LEAST_WORDS at most)."""
     for part in slices(batches, "_t"):
-        text, first, count, a, b = spans(part.column("_t"))
-        if len(first) and first.max() >= 1 << 24:
-            raise ValueError("a text has more than 2^24 sentences")
+        text, first, _, a, b = spans(part.column("_t"))
         rid, th = (part.column(c).to_numpy(zero_copy_only=False)[text] for c in ("_rid", "_th"))
-        place = (th & 0x7FFFFFFF) << 32 | first << 8 | count
-        yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(place), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["_rid", "place", "h1", "h2"])
+        place = pa.array(th << FIRST_BITS | first)
+        yield pa.RecordBatch.from_arrays([pa.array(rid), place, pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["_rid", "place", "h1", "h2"])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(_rid, _th, drop): places of spans that occurred before, of (_rid, _th, _t); _th: 31 bits."""
-    occurrences = docs.mapInArrow(_occurrences, PLACE + ", h1 long, h2 long")
+    """(_rid, _th, firsts): first sentences of the spans that occurred before, of (_rid, _th, _t)."""
+    occurrences = docs.mapInArrow(_occurrences, "_rid long, place long, h1 long, h2 long")
     first = occurrences.groupBy("h1", "h2").agg(F.min(F.struct("_rid", "place")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     first = checkpointed(first.select("h1", "h2", "first"))
     release(docs.sparkSession)
     later = occurrences.join(first, ["h1", "h2"]).filter(F.struct("_rid", "place") != F.col("first"))
-    return later.groupBy("_rid", F.shiftright("place", 32).alias("_th")).agg(F.collect_set("place").alias("drop"))
+    place = F.col("place").bitwiseAND((1 << FIRST_BITS) - 1)
+    return later.groupBy("_rid", F.shiftright("place", FIRST_BITS).alias("_th")).agg(F.collect_set(place).alias("firsts"))
 
 
 def remove_repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of ``df``, and _clean (the text without repeated spans), _removed (sentences)."""
 
-    df = df.drop(*OWN)
-
     def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text):
-            texts, gone = [], []
-            cut = [x for x in range(part.num_rows) if part.column("drop")[x].is_valid]
-            _, owner, starts = pieces(part.column(text).take(pa.array(cut, pa.int64())))
-            bounds = dict(zip(cut, np.split(starts, np.searchsorted(owner, np.arange(1, len(cut)))), strict=True)) if cut else {}
-            for x, (whole, drop) in enumerate(zip(part.column(text).to_pylist(), part.column("drop").to_pylist(), strict=True)):
-                out = {k for d in drop or () for k in range(d >> 8 & 0xFFFFFF, (d >> 8 & 0xFFFFFF) + (d & 0xFF))}
-                texts.append("".join(s for k, s in enumerate(_split(whole, bounds[x])) if k not in out) if out else whole)
-                gone.append(len(out))
-            keep = [x for x in part.schema.names if x not in OWN]
-            yield pa.RecordBatch.from_arrays([*(part.column(x) for x in keep), pa.array(texts, pa.string()), pa.array(gone, pa.int64())], [*keep, "_clean", "_removed"])
-
-    docs = keyed(df, doc_id, text).withColumn("_th", F.col("_th").bitwiseAND(0x7FFFFFFF))
-    joined = docs.join(repeated_spans(docs.select("_rid", "_th", F.col(text).alias("_t"))), ["_rid", "_th"], "left")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return joined.mapInArrow(without, f"{fields}, _clean string, _removed long")
+        for part in row_slices(batches, text):
+            whole, firsts = pc.struct_field(part.column("_row"), text), part.column("firsts").to_pylist()
+            cut = [x for x, f in enumerate(firsts) if f]
+            *_, owner, starts = pieces(whole.take(pa.array(cut, pa.int64())))
+            _, n, of, first, size = _extents(owner, starts)
+            begin = np.searchsorted(of, np.arange(len(cut) + 1))  # each text's first sentence
+            length = np.zeros(len(n), np.int64)
+            length[first] = size
+            bounds = np.split(starts, np.searchsorted(owner, np.arange(1, len(cut)))) if cut else []
+            texts, gone = whole.to_pylist(), [0] * part.num_rows
+            for k, x in enumerate(cut):
+                own = length[begin[k] : begin[k + 1]]
+                out = {s for f in firsts[x] for s in range(f, f + int(own[f]))}
+                texts[x] = "".join(s for i, s in enumerate(_split(texts[x], bounds[k])) if i not in out)
+                gone[x] = len(out)
+            yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(texts, pa.string()), pa.array(gone, pa.int64())], ["_row", *ADDED])
+
+    # the hash's upper bits: as many as a place has room for
+    docs = keyed(df, doc_id, text, ADDED).withColumn("_th", F.shiftright("_th", FIRST_BITS))
+    found = repeated_spans(docs.select("_rid", "_th", F.col("_row").getField(text).alias("_t")))
+    joined = docs.join(found, ["_rid", "_th"], "left").select("_row", "firsts")
+    return joined.mapInArrow(without, f"_row {docs.schema['_row'].dataType.simpleString()}, _clean string, _removed long").select("_row.*", *ADDED)
 
 
 def op8_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
