@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import chain, checkpointed, documents, fold_of, mix, shuffle_partitions, slices, word_hashes, words
+from tidemark.llm._common import Steps, chain, checkpointed, documents, fold_of, mix, shuffle_partitions, slices, word_hashes, words
 
 CHUNK_BYTES = 12 << 20
 #: Entries for each part.
@@ -239,7 +239,10 @@ def lm_scores(df: DataFrame, doc_id: str = "doc_id", text: str = "text", modulus
                     "n_known": pa.array(add(word[c.tv] > 0).astype(np.int64)), "base_score": pa.array(add(np.log10(base))), "score": pa.array(add(np.log10(p))),
                 })
 
-    return complete.mapInArrow(score, DOCS).withColumn("train_tokens", F.lit(n).cast("long"))
+    scores = complete.mapInArrow(score, DOCS).withColumn("train_tokens", F.lit(n).cast("long"))
+    scores = Steps(spark, "lm-scores").write(scores, "scores")
+    spark.sql(f"drop table {name}")
+    return scores
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
