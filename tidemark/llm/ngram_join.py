@@ -264,7 +264,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             sets = pa.array([values[offsets[r] : offsets[r + 1]].tobytes() for r in rows], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column("c").take(pa.array(rows)), sets], ["c", "shingles"])
 
-    found = docs.join(wanted, docs.d == wanted.rep).select("c", "s1", "s2", "t")
+    # a merge join at every size: nothing tells how many are wanted
+    found = docs.join(wanted.hint("merge"), docs.d == wanted.rep).select("c", "s1", "s2", "t")
     return found.mapInArrow(each, "c long, shingles binary")
 
 
@@ -352,11 +353,14 @@ def ngram_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
             for known in sets:
                 ends = ends.join(known, "c", "left_anti")
             wanted = steps.write(classes.join(ends, "c").select("c", "rep", "s1", "s2"), f"wanted-{round_}")
-            found = _sets_of(docs, wanted)
-            sets.append(steps.write(found.dropDuplicates(["c"]) if repeats else found, f"sets-{round_}"))
-            release(spark)
-            new = steps.write(_similar(possible, reduce(DataFrame.unionByName, sets)), f"links-{round_ + 1}")
-            if not new.isEmpty():
+            if not wanted.isEmpty():
+                found = _sets_of(docs, wanted)
+                sets.append(steps.write(found.dropDuplicates(["c"]) if repeats else found, f"sets-{round_}"))
+                release(spark)
+            new = None
+            if sets:  # else no pair is possible
+                new = steps.write(_similar(possible, reduce(DataFrame.unionByName, sets)), f"links-{round_ + 1}")
+            if new is not None and not new.isEmpty():
                 links.append(new)
                 labels = components(reduce(DataFrame.unionByName, links))
         release(spark)
