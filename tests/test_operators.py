@@ -57,7 +57,7 @@ def test_interpolation_and_fill(spark):
 def test_entities_and_numbers(spark):
     df = spark.createDataFrame([("buy $BTC $BTC at foo.sol 0x" + "ab" * 20,)], "t string")
     found = {(e.kind, e.value) for e in df.select(tx.entities(F.col("t")).alias("e")).first().e}
-    assert found == {("cashtag", "BTC"), ("symbol", "BTC"), ("sol_domain", "foo.sol"), ("evm_address", "0x" + "ab" * 20)}
+    assert found == {("cashtag", "BTC"), ("symbol", "BTC"), ("sol_domain", "foo.sol"), ("eth_address", "0x" + "ab" * 20)}
     n = spark.createDataFrame([("(1,234.5)",), ("-",), (" 7 ",), ("x",)], "t string").select(tx.parse_number(F.col("t")).alias("n"))
     assert [r.n for r in n.collect()] == [-1234.5, None, 7.0, None]
 

@@ -11,13 +11,13 @@ EVM_CHAINS = ("arbitrum", "ethereum")
 BULLISH = ("moon", "bullish", "long", "buy", "pump", "breakout", "accumulate")
 BEARISH = ("dump", "bearish", "short", "sell", "crash", "rug", "exit")
 #: Fixed patterns of entities in posts.
-PATTERNS = {
-    "cashtag": r"\$([A-Z]{2,10})\b",
-    "sol_domain": r"\b([a-zA-Z0-9_-]+\.sol)\b",
-    "evm_address": r"\b(0x[a-fA-F0-9]{40})\b",
-    "btc_bech32": r"\b(bc1[a-z0-9]{25,62})\b",
-    "url": r"(https?://[^\s]+)",
-}
+CASHTAG = r"\$([A-Z]{2,10})\b"
+SOL_DOMAIN = r"(?i)\b([\w-]{2,32}\.sol)\b"
+ETH_ADDRESS = r"\b(0x[a-fA-F0-9]{40})\b"
+BTC_BECH32 = r"(?i)\b(bc1[a-z0-9]{25,62})\b"
+BTC_LEGACY = r"\b([13][a-km-zA-HJ-NP-Z1-9]{25,34})\b"
+SOL_ADDRESS = r"\b([1-9A-HJ-NP-Za-km-z]{32,44})\b"
+URL = r"(?i)(https?://[^\s]+)"
 
 
 def normalize_address(address: Column, chain: Column) -> Column:
@@ -39,13 +39,46 @@ def keyword_hits(text: Column, words: tuple[str, ...]) -> Column:
 
 
 def entities(text: Column) -> Column:
-    """Distinct (kind, value) of a text; a cashtag also gives a symbol."""
-    def tagged(kind: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    """Distinct (kind, value) of a text. A cashtag also gives a symbol; names whose case says nothing are in lower
+    case; what could be an older bitcoin address is no solana address."""
 
-    found = [tagged(k, p) for k, p in PATTERNS.items()]
-    symbols = tagged("symbol", PATTERNS["cashtag"])
-    return F.array_distinct(F.concat(*found, symbols))
+    def all_of(pattern: str) -> Column:
+        return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+
+    def tagged(kind: str, values: Column, lower: bool = False) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), (F.lower(v) if lower else v).alias("value")))
+
+    whole = "^" + BTC_LEGACY.replace(r"\b", "") + "$"
+    solana = F.filter(all_of(SOL_ADDRESS), lambda v: ~v.startswith("0x") & ~v.rlike(whole))
+    found = [
+        tagged("cashtag", all_of(CASHTAG)), tagged("symbol", all_of(CASHTAG)), tagged("sol_domain", all_of(SOL_DOMAIN), True), tagged("eth_address", all_of(ETH_ADDRESS), True),
+        tagged("btc_address", all_of(BTC_BECH32), True), tagged("btc_address", all_of(BTC_LEGACY)), tagged("sol_address", solana), tagged("url", all_of(URL)),
+    ]
+    return F.array_distinct(F.concat(*found))
+
+
+def wallet_tier(win_rate: Column, trades: Column, hold_hours: Column, least_win_rate: float) -> tuple[Column, Column]:
+    """Kind and confidence of a wallet by its record. Fixed values."""
+    few, smart, some = trades < 10, (win_rate >= least_win_rate) & (hold_hours >= 2), win_rate >= 0.25
+    kind = F.when(few, "whale").when(smart, "smart_money").when(some, "kol").otherwise("whale")
+    confidence = F.when(few, 0.3).when(smart, F.least(F.lit(0.95), 0.5 + win_rate * 0.5)).when(some, 0.45).otherwise(0.35)
+    return kind, confidence
+
+
+def _labelled(score: Column, high: str, low: str, middle: str) -> Column:
+    return F.when(score >= 2, high).when(score <= -2, low).otherwise(middle)
+
+
+def stack_label(*signals: Column) -> Column:
+    """The label of a sum of signals, each -1, 0 or 1. Fixed values."""
+    total = sum(signals[1:], signals[0])
+    return _labelled(total, "Constructive", "Defensive", "Neutral / mixed")
+
+
+def headline(weekly_return: Column, share_up: Column) -> Column:
+    """Both over or both under their bounds decide. A null counts as neither. Fixed values."""
+    sign = lambda c, lo, hi: F.when(c > hi, 1).when(c < lo, -1).otherwise(0)
+    return _labelled(sign(weekly_return, -0.02, 0.02) + sign(share_up, 0.45, 0.55), "Risk-on", "Risk-off", "Mixed")
 
 
 def parse_number(c: Column) -> Column:

@@ -67,19 +67,25 @@ def two_role_join(df: DataFrame, dim: DataFrame, first: str, second: str, key: s
     return joined.select(*df.columns, *[F.coalesce(f"_a_{v}", f"_b_{v}").alias(v) for v in values])
 
 
+def one_each(new: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None) -> DataFrame:
+    """One row a key: the last by ``order``, then (or without it) by the other columns from left to right."""
+    rest = [c for c in new.columns if c not in keys]
+    return keep_last(new, keys, [*(order or ()), *rest]) if rest else new.distinct()
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None) -> DataFrame:
-    """Last write wins: the new rows (the last of each key by ``order``), and the old ones of other keys."""
-    fresh = keep_last(new, keys, order) if order else new.dropDuplicates(list(keys))
+    """Last write wins: the new rows (``one_each``), and the old ones of other keys."""
+    fresh = one_each(new, keys, order)
     return fresh.unionByName(old.join(fresh.select(*keys), list(keys), "left_anti"), allowMissingColumns=True)
 
 
 def insert_ignore(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return old.unionByName(new.dropDuplicates(list(keys)).join(old.select(*keys), list(keys), "left_anti"))
+    return old.unionByName(one_each(new, keys).join(old.select(*keys), list(keys), "left_anti"))
 
 
 def update_columns(old: DataFrame, new: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Existing keys take the new values of some columns; new keys are added."""
-    n = new.dropDuplicates(list(keys))
+    n = one_each(new, keys)
     hit = n.select(*keys, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_n_{c}") for c in columns])
     kept = old.join(hit, list(keys), "left").select(*[F.when(F.col("_hit"), F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in old.columns])
     return kept.unionByName(n.join(old.select(*keys), list(keys), "left_anti"), allowMissingColumns=True)
@@ -96,7 +102,6 @@ def scd2(history: DataFrame, current: DataFrame, key: str, checks: Sequence[str]
     """Changed or vanished keys are closed at ``now``; changed and new ones are opened."""
     open_rows = history.filter("valid_to is null")
     cur = current.select(key, *checks)
-    both = open_rows.alias("h").join(cur.alias("c"), key, "full")
     same = F.lit(True)
     for c in checks:
         same = same & F.col(f"h.{c}").eqNullSafe(F.col(f"c.{c}"))

@@ -20,8 +20,8 @@ def trend(df: DataFrame, by: str, order: str, y: str, lags: int) -> DataFrame:
     near = F.lit(0.0)
     for k in range(1, lags + 1):
         near = near + 2 * (1 - k / (lags + 1)) * F.col("u") * F.coalesce(F.lag("u", k).over(w), F.lit(0.0))
-    parts = scored.withColumn("s", F.col("u") * F.col("u") + near)
-    return parts.groupBy(by, "slope", "intercept", "r2", "sxx").agg(F.sum("s").alias("s")).select(by, "slope", "intercept", "r2", (F.sqrt(F.greatest(F.col("s"), F.lit(0.0))) / F.col("sxx")).alias("se"))
+    parts = scored.withColumn("_s", F.col("u") * F.col("u") + near)
+    return parts.groupBy(by, "slope", "intercept", "r2", "sxx").agg(F.sum("_s").alias("_s")).select(by, "slope", "intercept", "r2", (F.sqrt(F.greatest(F.col("_s"), F.lit(0.0))) / F.col("sxx")).alias("se"))
 
 
 def probit_walk_forward(df: DataFrame, order: str, x: str, horizon: int, least: int = 80, step: int = 13) -> DataFrame:
@@ -60,14 +60,11 @@ def bootstrap_fan(df: DataFrame, by: str, order: str, y: str, horizons: list[int
 def lagged_f_test(df: DataFrame, order: str, y: str, x: str, most: int) -> DataFrame:
     """(lag, f, n): whether x of ``lag`` rows ago adds to y's own lag, by the residual sums of the two regressions."""
     w = Window.orderBy(order)  # one daily series
-    out = None
-    for lag in range(1, most + 1):
-        rows = df.select(F.col(y).alias("y"), F.lag(y, lag).over(w).alias("a"), F.lag(x, lag).over(w).alias("b")).dropna()
-        m = rows.agg(F.count("*").alias("n"), *[F.covar_pop(p, q).alias(f"{p}{q}") for p, q in ("yy", "aa", "bb", "ya", "yb", "ab")])
-        c = F.col
-        restricted = c("yy") - c("ya") ** 2 / c("aa")
-        det = c("aa") * c("bb") - c("ab") ** 2
-        full = c("yy") - (c("ya") * (c("ya") * c("bb") - c("yb") * c("ab")) + c("yb") * (c("yb") * c("aa") - c("ya") * c("ab"))) / det
-        one = m.select(F.lit(lag).alias("lag"), ((restricted - full) / (full / (c("n") - 3))).alias("f"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    lagged = [F.struct(F.lit(k).alias("lag"), F.lag(y, k).over(w).alias("a"), F.lag(x, k).over(w).alias("b")) for k in range(1, most + 1)]
+    rows = df.select(F.col(y).alias("y"), F.array(*lagged).alias("lags")).select("y", F.explode("lags").alias("s")).select("y", "s.*").dropna()
+    m = rows.groupBy("lag").agg(F.count("*").alias("n"), *[F.covar_pop(p, q).alias(f"{p}{q}") for p, q in ("yy", "aa", "bb", "ya", "yb", "ab")])
+    c = F.col
+    restricted = c("yy") - c("ya") ** 2 / c("aa")
+    det = c("aa") * c("bb") - c("ab") ** 2
+    full = c("yy") - (c("ya") * (c("ya") * c("bb") - c("yb") * c("ab")) + c("yb") * (c("yb") * c("aa") - c("ya") * c("ab"))) / det
+    return m.select("lag", ((restricted - full) / (full / (c("n") - 3))).alias("f"), "n")

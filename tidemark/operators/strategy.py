@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import series as ts
 
 
+#: The defaults.
 @dataclass(frozen=True)
 class Strategy:
     momentum: tuple[int, ...] = (20, 60)
@@ -33,6 +34,7 @@ class Strategy:
     test: int = 63
     step: int = 63
     embargo: int = 20
+    universe: int = 0  # so many symbols by ADV may be held on a day; 0: all
 
 
 def _by_symbol():
@@ -60,6 +62,8 @@ def residual_momentum(panel: DataFrame, benchmark: str, n: int, out: str) -> Dat
 
 
 def score(df: DataFrame, s: Strategy) -> DataFrame:
+    if s.mode == "directional":  # the date's macro regime, for every symbol
+        return df.withColumn("alpha", F.col("regime_score"))
     if s.mode == "ts_mom":
         a, b = (F.col(f"mom_{n}") for n in s.momentum[:2])
         return df.withColumn("alpha", F.when((a > 0) & (b > 0), 1.0).when((a < 0) & (b < 0), -1.0).otherwise(0.0))
@@ -75,9 +79,18 @@ def labels(df: DataFrame, horizon: int) -> DataFrame:
     return df.withColumn("fwd", fwd).withColumn("fwd_excess", F.col("fwd") - F.avg("fwd").over(Window.partitionBy("date")))
 
 
-def _rebalance():
-    """Fridays, or where the data have none the last date of each week: decided by the caller's data."""
-    return F.weekday("date") == 4
+def benchmark_excess(labelled: DataFrame, benchmark: str) -> DataFrame:
+    """Adds fwd_vs_benchmark: the forward return less that of the benchmark's symbol over the same days."""
+    bench = F.max(F.when(F.col("symbol") == benchmark, F.col("fwd"))).over(Window.partitionBy("date"))
+    return labelled.withColumn("fwd_vs_benchmark", F.col("fwd") - bench)
+
+
+def _with_rebalance(df: DataFrame) -> DataFrame:
+    """Fridays; where the data have none, the last date of each week."""
+    friday = F.weekday("date") == 4
+    some = df.agg(F.coalesce(F.max(friday), F.lit(False)).alias("_fridays"))  # one row
+    last = F.col("date") == F.max("date").over(Window.partitionBy("symbol", F.date_trunc("week", "date")))
+    return df.crossJoin(F.broadcast(some)).withColumn("rebalance", F.when(F.col("_fridays"), friday).otherwise(last)).drop("_fridays")
 
 
 def _scaled(df: DataFrame, s: Strategy) -> DataFrame:
@@ -87,22 +100,31 @@ def _scaled(df: DataFrame, s: Strategy) -> DataFrame:
 
 
 def weights(df: DataFrame, s: Strategy) -> DataFrame:
-    """Targets on rebalance days, carried until the next."""
-    df = df.withColumn("rebalance", _rebalance())
+    """Targets on rebalance days, carried until the next. With a column ``active``, nothing is held from rebalance
+    days on where it is false."""
+    df = _with_rebalance(df)
     if s.mode in ("directional", "ts_mom"):
         lo, hi = sorted((s.short_z, s.long_z))
         df = df.withColumn("sleeve", F.when(F.col("alpha") >= hi, 1.0).when(F.col("alpha") <= lo, -1.0 if s.allow_short else 0.0).otherwise(0.0)).withColumn("raw", F.col("sleeve"))
     else:
         q = max(s.quantiles, 2)
         ranked = ts.avg_rank(df, "date", "alpha", "rank")  # among all symbols of the date, eligible or not
-        rank = F.when((F.coalesce("adv", F.lit(0.0)) >= s.min_adv) & F.col("rebalance"), F.col("rank"))
+        adv = F.coalesce("adv", F.lit(0.0))
+        eligible = adv >= s.min_adv
+        if s.universe:
+            place = F.row_number().over(Window.partitionBy("date").orderBy(F.desc(adv), "symbol"))
+            ranked, eligible = ranked.withColumn("place", place), eligible & (F.col("place") <= s.universe)
+        rank = F.when(eligible & F.col("rebalance"), F.col("rank"))
         sleeve = F.when(rank >= 1 - 1 / q, 1.0)
         sleeve = sleeve.otherwise(0.0) if s.mode == "long_only" else sleeve.when(rank <= 1 / q, -1.0).otherwise(0.0)
         df = ranked.withColumn("sleeve", sleeve)
         side = lambda v: F.greatest(F.lit(1), F.count_if(F.col("sleeve") == v).over(Window.partitionBy("date")))
         full = 1.0 if s.mode == "long_only" else 0.5
         df = df.withColumn("raw", F.when(F.col("sleeve") == 1, full / side(1)).when(F.col("sleeve") == -1, -full / side(-1)).otherwise(0.0))
-    carried = F.last(F.when(F.col("rebalance"), F.col("target")), ignorenulls=True).over(_by_symbol().rowsBetween(Window.unboundedPreceding, 0))
+    target = F.col("target")
+    if "active" in df.columns:
+        target = F.when(F.coalesce("active", F.lit(True)), target).otherwise(0.0)
+    carried = F.last(F.when(F.col("rebalance"), target), ignorenulls=True).over(_by_symbol().rowsBetween(Window.unboundedPreceding, 0))
     return _scaled(df, s).withColumn("weight", F.coalesce(carried, F.lit(0.0)))
 
 
@@ -141,9 +163,19 @@ def folds(d: DataFrame, s: Strategy) -> DataFrame:
 
 
 def evaluate(d: DataFrame, s: Strategy) -> DataFrame:
-    """Metrics of each fold's test window."""
+    """Metrics of each fold's test window; where the dates are too few for a fold, of all of them, as fold -1."""
     f = F.broadcast(folds(d, s))  # a row a quarter
-    return metrics(d.join(f, (F.col("date") >= F.col("test_start")) & (F.col("date") <= F.col("test_end"))), ("fold",))
+    tested = metrics(d.join(f, (F.col("date") >= F.col("test_start")) & (F.col("date") <= F.col("test_end"))), ("fold",))
+    least = s.train + s.embargo + s.test
+    short = d.agg(F.countDistinct("date").alias("n")).filter(F.col("n") < least).select(F.lit(-1).alias("fold"))  # one row or none
+    return tested.unionByName(metrics(d.crossJoin(F.broadcast(short)), ("fold",)))
+
+
+def gates(weighted: DataFrame, s: Strategy, config: str, sharpe: float, ir: float, target: float, most: float = 0.05) -> DataFrame:
+    """One row: whether the book's net Sharpe ratio, information ratio and capacity are enough."""
+    m = metrics(daily(weighted, s)).crossJoin(F.broadcast(capacity(weighted, most).agg(F.max("capacity").alias("capacity"))))  # one row each
+    enough = F.coalesce(F.col("capacity") >= target, F.lit(False))
+    return m.select(F.lit(config).alias("config"), (F.col("net_sharpe") > sharpe).alias("sharpe_ok"), (F.col("ir") > ir).alias("ir_ok"), enough.alias("capacity_ok"))
 
 
 def capacity(df: DataFrame, most: float) -> DataFrame:

@@ -209,7 +209,7 @@ def ag_13(t):
 @query("ag_14_mention_signals", f"""select date, symbol, count(*) as mentions, count(case when user_id % 10 = 0 then 1 end) as kol_mentions, sum(bull)::bigint as bull, sum(bear)::bigint as bear, count(distinct handle) as accounts
     from (select *, {HITS['bull']} as bull, {HITS['bear']} as bear, unnest(case when len(regexp_extract_all(text, '\\$([A-Z]{{2,10}})', 1)) = 0 then ['_ALL'] else list_distinct(regexp_extract_all(text, '\\$([A-Z]{{2,10}})', 1)) end) as symbol from tweets) x group by 1, 2""")
 def ag_14(t):
-    tags = F.array_distinct(F.regexp_extract_all("text", F.lit(tx.PATTERNS["cashtag"]), F.lit(1)))
+    tags = F.array_distinct(F.regexp_extract_all("text", F.lit(tx.CASHTAG), F.lit(1)))
     e = t.tweets.withColumn("symbol", F.explode(F.when(F.size(tags) == 0, F.array(F.lit("_ALL"))).otherwise(tags)))
     return e.groupBy("date", "symbol").agg(F.count("*").alias("mentions"), F.count_if(F.col("user_id") % 10 == 0).alias("kol_mentions"), F.sum(tx.keyword_hits(F.col("text"), tx.BULLISH)).alias("bull"), F.sum(tx.keyword_hits(F.col("text"), tx.BEARISH)).alias("bear"), F.countDistinct("handle").alias("accounts"))
 
@@ -538,8 +538,8 @@ def sf_06(t):
 
 @query("sf_07_arrays", "select l_orderkey, list_has_any(list(l_linenumber), [6, 7]) as any67, count(*) filter (where l_quantity > 30) as large, min(l_suppkey) filter (where l_suppkey % 2 = 1) as odd from lineitem group by 1")
 def sf_07(t):
-    g = t.lineitem.groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("n"), F.collect_list("l_quantity").alias("q"), F.collect_list("l_suppkey").alias("s"))  # a few lines an order
-    return g.select("l_orderkey", F.arrays_overlap("n", F.array(F.lit(6), F.lit(7))).alias("any67"), F.size(F.filter("q", lambda x: x > 30)).alias("large"), F.array_min(F.filter("s", lambda x: x % 2 == 1)).alias("odd"))
+    g = t.lineitem.groupBy("l_orderkey").agg(F.collect_set("l_linenumber").alias("n"), F.collect_set("l_suppkey").alias("s"), F.count_if(F.col("l_quantity") > 30).alias("large"))  # at most seven lines an order
+    return g.select("l_orderkey", F.arrays_overlap("n", F.array(F.lit(6), F.lit(7))).alias("any67"), "large", F.array_min(F.filter("s", lambda x: x % 2 == 1)).alias("odd"))
 
 
 @query("sf_08_json", "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k, concat('{\"id\":', cast(event_id as varchar), '}') as j from events")
@@ -648,9 +648,7 @@ def src_06(t):
 
 @query("src_08_panel_loader", "select symbol, date, close from panel where symbol in ('1-URGENT', '5-LOW')", "close")
 def src_08(t):
-    mart = "panel_daily"
-    df = t.spark.table(mart) if t.spark.catalog.tableExists(mart) else t.panel
-    return df.filter(F.col("symbol").isin("1-URGENT", "5-LOW")).select("symbol", "date", "close")
+    return t.panel.filter(F.col("symbol").isin("1-URGENT", "5-LOW")).select("symbol", "date", "close")
 
 
 @query("src_09_macro_panel", "select p.date, p.close, last_value(m.value ignore nulls) over (order by p.date rows unbounded preceding) as value from (select * from panel where symbol = '1-URGENT') p left join (select date, value from macro where series_id = 'M_P') m using (date)", "close value")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import relational as rel
 from tidemark.operators import series as ts
+from tidemark.operators import stores
 from tidemark.plans.queries_basic import RET, returns
 from tidemark.plans.registry import query
 
@@ -146,25 +147,39 @@ def halves(t):
     return b.filter(OLD), b.filter(NEW).withColumn("close", F.col("close") + 1)
 
 
+def store(t, name, first, keys):
+    return stores.Store(first, stores.scratch(t.spark, name), keys)
+
+
 @query("snk_01_export", "select symbol, date, close from bars", "close")
 def snk_01(t):
-    return t.bars.select(*SD, "close")
+    path = stores.scratch(t.spark, "bars")
+    t.bars.select(*SD, "close").write.parquet(path)
+    return t.spark.read.parquet(path)
 
 
 @query("snk_02_upsert", "select symbol, date, case when date >= date '2024-01-15' then close + 1 else close end as close, volume from bars", "close volume")
 def snk_02(t):
-    return rel.upsert(*halves(t), SD)
+    old, new = halves(t)
+    s = store(t, "upsert", old, SD)
+    s.upsert(new)
+    return s.read()
 
 
 @query("snk_03_conflict_policy", "select symbol, date, case when date >= date '2024-01-20' or date < date '2024-01-15' then close + case when date >= date '2024-01-20' then 1 else 0 end else close end as close, case when date between date '2024-01-15' and date '2024-01-19' then volume * 2 when date >= date '2024-01-20' then volume * 2 else volume end as volume from bars", "close volume")
 def snk_03(t):
     old, new = halves(t)
-    return rel.update_columns(old, new.withColumn("volume", F.col("volume") * 2), SD, ["volume"])
+    s = store(t, "conflict", old, SD)
+    s.update(new.withColumn("volume", F.col("volume") * 2), ["volume"])
+    return s.read()
 
 
 @query("snk_04_insert_ignore", "select symbol, date, case when date >= date '2024-01-20' then close + 1 else close end as close, volume from bars", "close volume")
 def snk_04(t):
-    return rel.insert_ignore(*halves(t), SD)
+    old, new = halves(t)
+    s = store(t, "ignore", old, SD)
+    s.insert_ignore(new)
+    return s.read()
 
 
 @query("snk_05_snapshot_replace", "select symbol, as_of_date, as_of_date = (select max(as_of_date) from assets) as active from assets")

@@ -46,6 +46,27 @@ def clusters(ticks: DataFrame, width: str = "1 hour", slide: str = "5 minutes",
     return x.groupBy("symbol", F.window("ts", width, slide)).agg(F.size(F.collect_set("user_id")).alias("users")).filter(F.col("users") >= least)
 
 
+def co_buying(transfers: DataFrame, width: str = "1 minute", least: int = 2, late: str = "1 hour") -> DataFrame:
+    """(asset, window, buyers): minutes in which several wallets took in the same asset."""
+    x = transfers.filter("direction = 'inflow'").withColumn("ts", F.col("block_time").cast("timestamp")).withWatermark("ts", late)
+    buyers = F.size(F.collect_set("to_address")).alias("buyers")
+    return x.groupBy("asset", F.window("ts", width)).agg(buyers).filter(F.col("buyers") >= least)
+
+
+def cursors(rows: DataFrame, key: str) -> DataFrame:
+    """(key, earliest, latest, n): how far each key has been read."""
+    return rows.groupBy(key).agg(F.min("ts").alias("earliest"), F.max("ts").alias("latest"), F.count("*").alias("n"))
+
+
+def merged_cursors(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Cursors widened by those of a batch."""
+    a, b = (d.select(key, *[F.col(c).alias(f"{c}{s}") for c in ("earliest", "latest", "n")]) for d, s in ((old, 1), (new, 2)))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return a.join(b, key, "full").select(
+        key, F.least("earliest1", "earliest2").alias("earliest"), F.greatest("latest1", "latest2").alias("latest"), (zero("n1") + zero("n2")).alias("n")
+    )
+
+
 def merge_stream(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Each micro-batch goes to ``merge``; the checkpoint is the cursor."""
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
