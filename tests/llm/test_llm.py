@@ -183,6 +183,12 @@ def test_warc_reader_rejects_damage():
     assert [warc.parse(m)[1] for m in warc.members([data[:10], data[10:60], data[60:]])] == [b"hello", b"world"]
     with pytest.raises(ValueError):
         list(warc.members([data[:-5]]))
+    foreign = b"WARC/1.0\r\nwarc-type: response\r\nCONTENT-LENGTH: 25\r\nContent-Type: application/http; msgtype=response\r\n\r\nHTTP/1.1 200 OK\r\n\r\npage!!\r\n\r\n"
+    fields, block = warc.parse(foreign)
+    assert warc._payload(fields, block) == b"page!!" and "warc-payload-digest" not in fields
+    one = warc.parse(next(warc.members([warc.record(3, "u", b"z" * (9 << 20))])))  # inflated in steps
+    assert len(one[1]) == 9 << 20 and one[0]["warc-date"].endswith("Z") and one[0]["warc-record-id"].startswith("<urn:uuid:")
+    assert warc.parse(next(warc.members([warc.info("a")])))[0]["warc-type"] == "warcinfo"
     good = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Payload-Digest: sha1:X\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
     for bad in (good, good.replace(b": 2", b": 3"), b"x" + good):
         with pytest.raises(ValueError):
