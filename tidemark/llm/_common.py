@@ -9,6 +9,7 @@ from __future__ import annotations
 import contextlib
 import gc
 import tempfile
+import time
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -77,9 +78,11 @@ def release(spark: SparkSession) -> None:
     It does so for what the driver's garbage collector finds unused, which in a driver with little to
     do may be never, while the files take up the executors' disks.
     """
-    gc.collect()
+    for _ in range(2):  # what Python lets go of in the first turn the JVM can find in the second
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
     pa.default_memory_pool().release_unused()
-    spark.sparkContext._jvm.System.gc()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
