@@ -44,10 +44,26 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within it, every action's shuffle files are removed when it ends, and not when the driver's JVM next collects garbage.
+
+    For actions that write all they make; an executor lost meanwhile is made up for as ever.
+    """
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, which survives lost executors."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    with shuffles_removed(df.sparkSession):
+        return df.checkpoint()
 
 
 class Steps:

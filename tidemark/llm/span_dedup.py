@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import chain, checkpointed, documents, mix, owners, release, row_slices, slices, word_hashes, words
+from tidemark.llm._common import chain, checkpointed, documents, mix, owners, row_slices, slices, word_hashes, words
 from tidemark.llm.line_dedup import keyed
 
 LEAST_SENTENCES = 3
@@ -129,7 +129,6 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     occurrences = docs.mapInArrow(_occurrences, "_rid long, place long, h1 long, h2 long")
     first = occurrences.groupBy("h1", "h2").agg(F.min(F.struct("_rid", "place")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     first = checkpointed(first.select("h1", "h2", "first"))
-    release(docs.sparkSession)
     later = occurrences.join(first, ["h1", "h2"]).filter(F.struct("_rid", "place") != F.col("first"))
     place = F.col("place").bitwiseAND((1 << FIRST_BITS) - 1)
     return later.groupBy("_rid", F.shiftright("place", FIRST_BITS).alias("_th")).agg(F.collect_set(place).alias("firsts"))
