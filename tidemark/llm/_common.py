@@ -63,7 +63,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, which survives lost executors."""
     shared_dir(df.sparkSession)
     with shuffles_removed(df.sparkSession):
-        return df.checkpoint()
+        return df.select("*").checkpoint()  # planned anew, as the setting is read when a plan is made
 
 
 class Steps:
