@@ -69,16 +69,99 @@ def test_read_files_are_archived(spark, tmp_path):
 
 def test_store_reruns_change_nothing(spark):
     old, new = spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], "k int, at int, v string"), spark.createDataFrame([(2, 2, "x"), (2, 3, "c"), (3, 1, "d")], "k int, at int, v string")
-    store = stores.Store(old, stores.scratch(spark, "test"), ["k"], ["at"])
+    store = stores.Store.create(old, stores.scratch(spark, "test"), ["k"], ["at"], buckets=3)
     assert store.counts(new).first() == (1, 1)
     for _ in range(2):
         store.upsert(new)
         assert rows(store.read()) == [(1, 1, "a"), (2, 3, "c"), (3, 1, "d")]
     store.insert_ignore(new.withColumn("k", F.col("k") + 1))
-    assert rows(store.read().select("k")) == [(1,), (2,), (3,), (4,)] and store.version == 4
+    assert rows(store.read().select("k")) == [(1,), (2,), (3,), (4,)]
     assert rows(stores.finite(spark.createDataFrame([(float("nan"), float("inf"), 1.5)], "a double, b double, c double"))) == [(None, None, 1.5)]
 
 
+def files(store):
+    return {f for f in store.read().inputFiles()}
+
+
+def test_upsert_rewrites_only_touched_parts_and_opens_again(spark):
+    day = lambda m, d: dt.date(2024, m, d)
+    first = spark.createDataFrame([("a", day(m, d), float(m)) for m in (1, 2, 3) for d in (1, 2)], "s string, date date, v double")
+    store = stores.Store.create(first, stores.scratch(spark, "parts"), ["s", "date"], time="date")
+    before = files(store)
+    assert store.parts() == ["2024-01", "2024-02", "2024-03"]
+    new = spark.createDataFrame([("a", day(2, 2), 9.0), ("b", day(2, 3), 8.0)], "s string, date date, v double")
+    plan = store.touched(new)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [_part" in plan.replace("isnotnull(", "") or "PartitionFilters: [" in plan and "2024-02" in plan
+    store.upsert(new)
+    kept = before & files(store)
+    assert {f for f in before if "2024-02" not in f} == kept
+    other = stores.Store.open(spark.newSession(), store.folder)  # another session goes on with it
+    other.upsert(spark.createDataFrame([("c", day(4, 1), 1.0, "x")], "s string, date date, v double, extra string"))
+    again = stores.Store.open(spark, store.folder)
+    assert again.read().columns == ["s", "date", "v", "extra"]
+    assert rows(again.read().filter("extra is not null")) == [("c", day(4, 1), 1.0, "x")]
+    assert rows(again.read().filter("v >= 8").select("s", "date", "v")) == [("a", day(2, 2), 9.0), ("b", day(2, 3), 8.0)]
+    assert again.read().count() == 8 and kept <= files(again)
+
+
+def test_lookback_leaves_older_parts_alone(spark):
+    day = lambda d: dt.date(2024, 1, 1) + dt.timedelta(days=d)
+    rows_ = lambda span, v: spark.createDataFrame([("a", day(d), v) for d in span], "s string, date date, v double")
+    store = stores.Store.create(rows_(range(30), 1.0), stores.scratch(spark, "lookback"), ["s", "date"], time="date", period="day")
+    before = files(store)
+    for _ in range(2):
+        store.merge_since(rows_(range(40), 2.0), "date", 7)
+        assert {r.v: r.n for r in store.read().groupBy("v").agg(F.count("*").alias("n")).collect()} == {1.0: 22, 2.0: 18}
+        before &= files(store)
+        assert len(before) == 22
+    nothing = stores.Store.create(rows_(range(0), 1.0), stores.scratch(spark, "empty"), ["s", "date"], time="date")
+    nothing.merge_since(rows_(range(3), 2.0), "date")
+    assert nothing.read().count() == 3
+    try:
+        stores.Store.create(rows_(range(1), 1.0), stores.scratch(spark, "bad"), ["s"], time="date")
+        raise AssertionError
+    except ValueError:
+        pass
+
+
+def test_stream_killed_after_its_merge_counts_nothing_twice(spark, tmp_path):
+    t = ticks(spark)
+    for k in range(3):
+        t.filter(F.col("event_id") % 3 == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    empty = jobs.cursors(t.limit(0), "user_id")
+    store = stores.Store.create(empty, stores.scratch(spark, "cursors"), ["user_id"], buckets=2)
+    add = {"earliest": F.least, "latest": F.greatest, "n": lambda old, new: old + new}
+    died = []
+
+    def run(fail_at):
+        def each(batch, number):
+            stores.Store.open(batch.sparkSession, store.folder).merge_batch(jobs.cursors(batch, "user_id"), "cursors", number, add)
+            if number == fail_at:
+                died.append(number)
+                raise RuntimeError("killed between merge and checkpoint")
+
+        stream = jobs.file_stream(spark, str(tmp_path / "in"), t.schema, maxFilesPerTrigger=1)
+        return jobs.merge_stream(stream, each, str(tmp_path / "cp"))
+
+    for fail_at in (0, 1):
+        try:
+            run(fail_at).awaitTermination(120)
+        except Exception as e:  # noqa: BLE001
+            assert "killed" in str(e)
+    stream = jobs.file_stream(spark, str(tmp_path / "in"), t.schema, maxFilesPerTrigger=1)
+    jobs.poll_cursors(stream, store, "user_id", str(tmp_path / "cp")).awaitTermination(120)
+    assert died == [0, 1]
+    got = stores.Store.open(spark, store.folder).read()
+    assert rows(got.select("user_id", "earliest", "latest", "n")) == rows(jobs.cursors(t, "user_id"))
+    # a part of a batch that was merged before the failure: the other keys still take it in
+    partly = stores.Store.create(empty, stores.scratch(spark, "partly"), ["user_id"], buckets=2)
+    batch = jobs.cursors(t, "user_id")
+    partly.merge_batch(batch.filter("user_id < 2"), "cursors", 5, add)
+    for _ in range(2):
+        partly.merge_batch(batch, "cursors", 5, add)
+    assert rows(partly.read().select("user_id", "earliest", "latest", "n")) == rows(batch)
+
+
 def test_bitcoin_counterparties(spark):
     schema = "tx_hash string, inputs array<struct<at:int,n:long,address:string,value:double,coinbase:boolean>>, outputs array<struct<at:int,n:long,address:string,value:double,coinbase:boolean>>"
     leg = lambda at, who, v, base=False: (at, at, who, v, base)

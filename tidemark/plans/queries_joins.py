@@ -148,7 +148,7 @@ def halves(t):
 
 
 def store(t, name, first, keys):
-    return stores.Store(first, stores.scratch(t.spark, name), keys)
+    return stores.Store.create(first, stores.scratch(t.spark, name), keys, time="date")
 
 
 @query("snk_01_export", "select symbol, date, close from bars", "close")

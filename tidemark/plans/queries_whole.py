@@ -281,7 +281,7 @@ def snk_01_formats(t):
 def snk_06_counts(t):
     m = t.macro.select("series_id", "date", "value")
     other = m.filter("date >= date '1999-01-01'").withColumn("value", F.col("value") * 2)  # the other store's series
-    store = stores.Store(m.filter("date < date '2000-01-01'"), stores.scratch(t.spark, "merge"), ["series_id", "date"])
+    store = stores.Store.create(m.filter("date < date '2000-01-01'"), stores.scratch(t.spark, "merge"), ["series_id", "date"], time="date")
     counts = store.counts(other)
     counts = t.spark.createDataFrame(counts.collect(), counts.schema)  # one row, taken before the merge
     store.upsert(other)
@@ -296,7 +296,7 @@ def snk_06_counts(t):
 )
 def snk_07_rerun(t):
     b = t.bars.select(*SD, "close")
-    store = stores.Store(b.filter(OLD), stores.scratch(t.spark, "incremental"), SD)
+    store = stores.Store.create(b.filter(OLD), stores.scratch(t.spark, "incremental"), SD, time="date", period="day")
     for _ in range(2):  # the second run finds what the first has written
         store.merge_since(b.filter("date >= date '2024-01-12'").withColumn("close", F.col("close") + 1), "date", 7)
     return store.read()
@@ -313,7 +313,7 @@ def snk_08_history(t):
     r = t.registry.select("address", "entity_type", c.alias("c"))
     first = r.filter("c <> 3").select("address", "entity_type", at("2024-01-01").alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"))
     changed = F.when(F.col("c") == 1, F.concat("entity_type", F.lit("2"))).otherwise(F.col("entity_type"))
-    store = stores.Store(first, stores.scratch(t.spark, "history"), ["address"])
+    store = stores.Store.create(first, stores.scratch(t.spark, "history"), ["address"], buckets=4)
     for day in ("2024-02-01", "2024-02-02"):  # the same state again changes nothing
         store.snapshot(r.filter("c <> 0").select("address", changed.alias("entity_type")), ["entity_type"], at(day))
     return store.read().select("address", "entity_type", F.col("valid_to").isNull().alias("open"))
@@ -327,7 +327,7 @@ def snk_08_history(t):
 )
 def snk_11_promote(t):
     r = t.registry.select("address", "chain", "active", "confidence")
-    store = stores.Store(r, stores.scratch(t.spark, "accounts"), ["address"])
+    store = stores.Store.create(r, stores.scratch(t.spark, "accounts"), ["address"], buckets=4)
     promoted = r.filter("address = 'w7'").withColumn("active", F.lit(True)).withColumn("confidence", F.lit(1.0))
     matched = store.counts(promoted).select((F.col("updated") > 0).alias("matched"))
     matched = t.spark.createDataFrame(matched.collect(), matched.schema)  # one row, as it was before the update

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.operators.stores import Store
+
 #: Entity types by how much an alert on them matters.
 HIGH, MEDIUM = ("kol", "smart_money", "insider_cluster", "insider"), ("deployer", "whale")
 
@@ -70,3 +72,24 @@ def merged_cursors(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def merge_stream(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Each micro-batch goes to ``merge``; the checkpoint is the cursor."""
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def merge_into(
+    stream: DataFrame, store: Store, name: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] | None = None, combine: Mapping[str, Callable[[Column, Column], Column]] | None = None
+) -> StreamingQuery:
+    """Micro-batches merged into a keyed table; a batch that is run again after a failure changes nothing.
+
+    ``prepare`` makes of a batch the rows to merge (a row a key, where ``combine`` adds to old values). The batch's
+    number is written with the rows, so it does not matter whether the stream broke off before, in or after the merge.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        Store.open(batch.sparkSession, store.folder).merge_batch(prepare(batch) if prepare else batch, name, number, combine)
+
+    return merge_stream(stream, each, checkpoint)
+
+
+def poll_cursors(stream: DataFrame, store: Store, key: str, checkpoint: str) -> StreamingQuery:
+    """How far each key has been read, kept in a keyed table from batch to batch."""
+    add = {"earliest": F.least, "latest": F.greatest, "n": lambda old, new: old + new}
+    return merge_into(stream, store, "cursors", checkpoint, lambda batch: cursors(batch, key), add)
