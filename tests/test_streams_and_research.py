@@ -1,6 +1,7 @@
 """Streams against their batch forms, written tables, and regressions against numpy."""
 
 import datetime as dt
+import math
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -209,22 +210,57 @@ def test_lagged_f(spark):
     assert got[1] > 20 > got[3]
 
 
-def test_bootstrap_fan_is_ordered_and_repeats(spark):
-    _, y = series()
-    df = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(y)], "s string, t int, y double")
-    fan = rs.bootstrap_fan(df, "s", "t", "y", [5, 50], 400)
-    slope, intercept = np.polyfit(np.arange(1, len(y) + 1.0), y, 1)
-    e = y - intercept - slope * np.arange(1, len(y) + 1.0)
+def test_bootstrap_fan_draws_coefficients_and_residuals(spark):
+    rng = np.random.default_rng(8)
+    n, horizons, draws = 60, [5, 200], 4000
+    i = np.arange(1, n + 1.0)
+    y = 1 + 0.02 * i + rng.standard_normal(n) * 0.3
+    df = spark.createDataFrame([("s", int(k), float(v)) for k, v in enumerate(y)], "s string, t int, y double")
+    fan = rs.bootstrap_fan(df, "s", "t", "y", horizons, draws)
+    x = np.column_stack([np.ones(n), i])
+    beta = np.linalg.lstsq(x, y, rcond=None)[0]
+    e = y - x @ beta
+    cov = e @ e / (n - 2) * np.linalg.inv(x.T @ x)
     for r in fan.collect():
-        middle = intercept + slope * (len(y) + r.horizon)
-        assert r.p05 < r.p50 < r.p95 and all(abs(p - middle - np.quantile(e, q)) < 0.35 for p, q in ((r.p05, 0.05), (r.p50, 0.5), (r.p95, 0.95)))
-    assert rows(fan) == rows(rs.bootstrap_fan(df.repartition(5), "s", "t", "y", [5, 50], 400))
-
-
-def test_probit_beats_a_coin(spark):
-    t = np.arange(160)
-    z = np.sin(t / 6.0)
-    df = spark.createDataFrame([(int(i), float(v)) for i, v in zip(t, z, strict=True)], "t int, z double")
-    got = rs.probit_walk_forward(df, "t", "z", 3, least=80, step=20).collect()
-    assert [r.origin for r in got] == list(range(80, 80 + 20 * len(got), 20)) and len(got) >= 2
-    assert all(r.n > 0 and r.brier < 0.2 for r in got)
+        paths = rng.multivariate_normal(beta, cov, 200_000) @ np.array([1, n + r.horizon]) + rng.choice(e, 200_000)
+        width = np.quantile(paths, 0.95) - np.quantile(paths, 0.05)
+        assert all(abs(p - np.quantile(paths, q)) < 0.06 * width for p, q in ((r.p05, 0.05), (r.p50, 0.5), (r.p95, 0.95)))
+        residuals_alone = np.quantile(e, 0.95) - np.quantile(e, 0.05)
+        assert r.horizon < 100 or r.p95 - r.p05 > 1.3 * residuals_alone
+    assert rows(fan) == rows(rs.bootstrap_fan(df.repartition(5), "s", "t", "y", horizons, draws))
+
+
+def test_normal_cdf_is_exact(spark):
+    x = np.r_[np.linspace(-37, 9, 400), 0.0, 7.08, -7.08, -1e6, 1e6]
+    got = [r.p for r in spark.createDataFrame([(float(v),) for v in x], "x double").select(rs.normal_cdf(F.col("x")).alias("p")).collect()]
+    want = [0.5 * math.erfc(-v / math.sqrt(2)) for v in x]
+    assert np.allclose(got, want, rtol=2e-11, atol=0) or max(abs(a - b) / max(b, 1e-290) for a, b in zip(got, want, strict=True)) < 1e-6
+    assert max(abs(a - b) for a, b in zip(got, want, strict=True)) < 1e-14
+
+
+def one_fit(x, y, ridge):
+    x, b = np.column_stack([np.ones(len(x)), x]), np.zeros(x.shape[1] + 1)
+    for _ in range(100):
+        eta = x @ b
+        p, d = np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in eta]), np.exp(-eta * eta / 2) / math.sqrt(2 * math.pi)
+        w = d * d / (p * (1 - p))
+        penalty = np.diag([0.0] + [ridge * len(x)] * (x.shape[1] - 1))
+        b = np.linalg.solve(x.T * w @ x + penalty, x.T @ (w * eta + d * (y - p) / (p * (1 - p))))
+    return b
+
+
+def test_probit_of_all_origins_equals_single_fits(spark):
+    rng = np.random.default_rng(2)
+    n = 150
+    x = rng.standard_normal((n, 2)) * [3, 0.1] + [10, 0]
+    y = (x[:, 0] - 10 + 10 * x[:, 1] + 2 * rng.standard_normal(n) > 0).astype(float)
+    df = spark.createDataFrame([(k, float(a), float(b), float(c)) for k, ((a, b), c) in enumerate(zip(x, y, strict=True))], "t int, a double, b double, y double")
+    got = {r.origin: r for r in rs.probit_walk_forward(df, "t", ["a", "b"], "y", 13, least=80, step=13).collect()}
+    z = (x - x.mean(0)) / x.std(0)
+    assert sorted(got) == list(range(80, n - 13, 13))
+    for o, r in got.items():
+        b = one_fit(z[:o], y[:o], 1e-6)
+        p = 0.5 * math.erfc(-(b[0] + z[o] @ b[1:]) / math.sqrt(2))
+        assert abs(r.p - p) < 1e-6 and r.y == y[o] and abs(r.brier - (p - y[o]) ** 2) < 1e-6
+    same = rs.probit_walk_forward(df.withColumn("y", F.lit(1.0)), "t", ["a", "b"], "y", 13)
+    assert same.count() == 0 == rs.probit_walk_forward(df.limit(20), "t", ["a"], "y", 13).count()

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import series as ts
+from tidemark.operators.stores import written
 
 
 def trend(df: DataFrame, by: str, order: str, y: str, lags: int) -> DataFrame:
@@ -24,37 +29,127 @@ def trend(df: DataFrame, by: str, order: str, y: str, lags: int) -> DataFrame:
     return parts.groupBy(by, "slope", "intercept", "r2", "sxx").agg(F.sum("_s").alias("_s")).select(by, "slope", "intercept", "r2", (F.sqrt(F.greatest(F.col("_s"), F.lit(0.0))) / F.col("sxx")).alias("se"))
 
 
-def probit_walk_forward(df: DataFrame, order: str, x: str, horizon: int, least: int = 80, step: int = 13) -> DataFrame:
-    """(origin, brier, n): probit of the sign ``horizon`` rows ahead, fitted before each origin, scored on the ``step`` rows after."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
+def normal_cdf(x: Column) -> Column:
+    """Standard normal distribution function, to about 15 places: a ratio of polynomials within 7 deviations, a continued fraction beyond."""
+    # fixed values: published coefficients of the double-precision approximation
+    above = (0.0352624965998911, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+    below = (0.0883883476483184, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+    size = F.least(F.abs(x), F.lit(38.0))
+    horner = lambda c: reduce(lambda a, k: a * size + F.lit(k), c[1:], F.lit(c[0]))
+    e = F.exp(-size * size / 2)
+    far = reduce(lambda a, k: size + F.lit(float(k)) / a, (4, 3, 2, 1), size + 0.65)
+    tail = F.when(size < 7.07106781186547, e * horner(above) / horner(below)).otherwise(e / far / 2.506628274631)
+    return F.when(x > 0, 1 - tail).otherwise(tail)
+
+
+def standardised(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Columns less their mean over their population deviation; a constant one becomes 0."""
+    stats = df.agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    zed = lambda c: (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") < 1e-12, 1.0).otherwise(F.col(f"_s_{c}"))
+    return df.crossJoin(F.broadcast(stats)).select(*[c for c in df.columns if c not in columns], *[zed(c).alias(c) for c in columns])  # one row
+
+
+#: Most rounds of a fit, and the change of a coefficient at which it ends.
+ROUNDS, SETTLED = 100, 1e-10
+
+
+def probit_fits(rows: DataFrame, by: str, label: str, features: Sequence[str], ridge: float = 0.0) -> DataFrame:
+    """(by, b0, b1, ...): probit coefficients (constant first) of every group of ``rows``, all fitted at once.
+
+    Iteratively reweighted least squares: a round is one grouped sum of X'WX and X'Wz over all groups, whose small
+    systems are solved by elimination in columns. ``ridge`` is added to the diagonal, but for the constant, per row.
+    Groups with one kind of label only are left out.
+    """
+    k = len(features) + 1
+    x = [F.lit(1.0), *[F.col(c) for c in features]]
+    both = rows.groupBy(by).agg(F.min(label).alias("lo"), F.max(label).alias("hi")).filter("lo <> hi")
+    fits = written(both.select(by, *[F.lit(0.0).alias(f"b{i}") for i in range(k)]), "fit")
+    rows = rows.select(by, label, *features)
+    for _ in range(ROUNDS):
+        eta = F.greatest(F.least(sum((x[i] * F.col(f"b{i}") for i in range(1, k)), F.col("b0")), F.lit(30.0)), F.lit(-30.0))
+        scored = rows.join(fits, by).withColumn("_eta", eta)
+        scored = scored.withColumn("_p", F.greatest(F.least(normal_cdf(F.col("_eta")), F.lit(1 - 1e-15)), F.lit(1e-300))).withColumn("_d", F.exp(-F.col("_eta") ** 2 / 2) / (2 * math.pi) ** 0.5)
+        scored = scored.withColumn("_w", F.col("_d") ** 2 / (F.col("_p") * (1 - F.col("_p"))))
+        pull = F.col("_w") * F.col("_eta") + F.col("_d") * (F.col(label) - F.col("_p")) / (F.col("_p") * (1 - F.col("_p")))
+        sums = [F.sum(F.col("_w") * x[i] * x[j]).alias(f"a{i}{j}") for i in range(k) for j in range(i, k)] + [F.sum(pull * x[i]).alias(f"c{i}") for i in range(k)]
+        solved = scored.groupBy(by, *[f"b{i}" for i in range(k)]).agg(F.count("*").alias("_n"), *sums)
+        a = {(i, j): F.col(f"a{min(i, j)}{max(i, j)}") for i in range(k) for j in range(k)}
+        for i in range(1, k):
+            a[i, i] = a[i, i] + ridge * F.col("_n")
+        solved = _solve(solved, a, [F.col(f"c{i}") for i in range(k)])
+        moved = F.greatest(*[F.abs(F.col(f"_x{i}") - F.col(f"b{i}")) for i in range(k)]) if k > 1 else F.abs(F.col("_x0") - F.col("b0"))
+        fits = written(solved.select(by, *[F.col(f"_x{i}").alias(f"b{i}") for i in range(k)], moved.alias("moved")), "fit")
+        if fits.filter(F.col("moved") > SETTLED).isEmpty():
+            break
+        fits = fits.drop("moved")
+    return fits.select(by, *[f"b{i}" for i in range(k)])
+
+
+def _solve(df: DataFrame, a: dict[tuple[int, int], Column], c: list[Column]) -> DataFrame:
+    """Adds _x0, _x1, ...: the solution of the symmetric positive system of each row, by elimination; a column a step."""
+    k = len(c)
+    df = df.select("*", *[a[i, j].alias(f"_e0_{i}{j}") for i in range(k) for j in range(k)], *[c[i].alias(f"_e0_{i}r") for i in range(k)])
+    for p in range(k):
+        here = lambda i, j, p=p: F.col(f"_e{p}_{i}{j}")
+        share = lambda i, p=p: F.try_divide(here(i, p), here(p, p))  # noqa: B023, E731
+        df = df.select("*", *[(here(i, j) - share(i) * here(p, j)).alias(f"_e{p + 1}_{i}{j}") for i in range(p + 1, k) for j in [*range(p + 1, k), "r"]])
+    for i in reversed(range(k)):
+        rest = F.col(f"_e{i}_{i}r")
+        for j in range(i + 1, k):
+            rest = rest - F.col(f"_e{i}_{i}{j}") * F.col(f"_x{j}")
+        df = df.withColumn(f"_x{i}", F.coalesce(F.try_divide(rest, F.col(f"_e{i}_{i}{i}")), F.lit(0.0)))
+    return df
+
+
+def probit_walk_forward(df: DataFrame, order: str, features: Sequence[str], label: str, horizon: int, least: int = 80, step: int = 13, ridge: float = 1e-6) -> DataFrame:
+    """(origin, p, label, brier): at every ``step``-th row from ``least`` on, a probit of ``label`` fitted to the rows before it predicts it.
 
+    Features are standardised over all rows, and the last ``horizon`` rows are no origins. All origins are fitted at
+    once; ``ridge`` only keeps the coefficients finite where the labels can be told apart without error.
+    """
     w = Window.orderBy(order)  # one weekly series
-    rows = df.select(F.row_number().over(w).alias("i"), F.col(x).alias("x"), F.lag(x, 4).over(w).alias("x4"), (F.lead(x, horizon).over(w) > 0).cast("double").alias("label")).dropna()
-    data = VectorAssembler(inputCols=["x", "x4"], outputCol="features").transform(rows).cache()
-    last, out = data.agg(F.max("i")).first()[0] or 0, None
-    glm = GeneralizedLinearRegression(family="binomial", link="probit", regParam=1e-3, maxIter=25)
-    for origin in range(least, last - step + 1, step):  # a few dozen fits
-        train = data.filter(F.col("i") <= origin - horizon)
-        kinds = {r["label"] for r in train.select("label").distinct().collect()}
-        if len(kinds) < 2:
-            continue
-        scored = glm.fit(train).transform(data.filter((F.col("i") > origin) & (F.col("i") <= origin + step)))
-        one = scored.agg(F.avg((F.col("prediction") - F.col("label")) ** 2).alias("brier"), F.count("*").alias("n")).select(F.lit(origin).alias("origin"), "brier", "n")
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else df.sparkSession.createDataFrame([], "origin int, brier double, n long")
-
-
-def bootstrap_fan(df: DataFrame, by: str, order: str, y: str, horizons: list[int], draws: int) -> DataFrame:
-    """(by, horizon, p05, p50, p95) of the trend with a residual drawn by hash for each draw."""
+    rows = standardised(df.select(order, label, *features).dropna(), features)
+    rows = written(rows.select((F.row_number().over(w) - 1).alias("i"), F.col(label).cast("double").alias(label), *features), "probit")
+    n = rows.agg(F.count("*").alias("n"))
+    last = F.col("n") - horizon - 1
+    origins = n.filter(last >= least).select(F.explode(F.sequence(F.lit(least).cast("long"), last, F.lit(step).cast("long"))).alias("origin"))  # a row a quarter
+    train = rows.join(F.broadcast(origins), F.col("i") < F.col("origin"))
+    fits = probit_fits(train, "origin", label, features, ridge)
+    eta = sum((F.col(c) * F.col(f"b{i}") for i, c in enumerate(features, 1)), F.col("b0"))
+    scored = rows.join(F.broadcast(fits), F.col("i") == F.col("origin")).select("origin", normal_cdf(eta).alias("p"), label)
+    return scored.withColumn("brier", (F.col("p") - F.col(label)) ** 2)
+
+
+def _uniform(*key) -> Column:
+    """Between 0 and 1, from the hash of a key."""
+    return (F.pmod(F.xxhash64(*key), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+
+
+def normal_draw(*key) -> Column:
+    """A standard normal value for every key, by the polar form of two hashed uniforms."""
+    return F.sqrt(-2 * F.log(_uniform(*key, F.lit("radius")))) * F.cos(2 * math.pi * _uniform(*key, F.lit("angle")))
+
+
+def bootstrap_fan(df: DataFrame, by: str, order: str, y: str, horizons: Sequence[int], draws: int, shares: Sequence[float] = (0.05, 0.5, 0.95)) -> DataFrame:
+    """(by, horizon, p05, p50, ...) of the trend: each draw takes coefficients from their normal distribution (Cholesky
+    factor of the least-squares covariance) and, for each horizon, a residual by hash. Draws repeat, as they hang on keys."""
     w = ts.w(by, order)
     x = df.select(by, F.col(y).alias("y"), F.row_number().over(w).cast("double").alias("i"))
-    fit = x.groupBy(by).agg(F.regr_slope("y", "i").alias("slope"), F.regr_intercept("y", "i").alias("intercept"), F.count("*").alias("n"))
+    fit = x.groupBy(by).agg(
+        F.regr_slope("y", "i").alias("slope"), F.regr_intercept("y", "i").alias("intercept"), F.count("*").alias("n"), F.avg("i").alias("mi"), F.regr_sxx("y", "i").alias("sxx"),
+        (F.regr_syy("y", "i") - F.regr_sxy("y", "i") ** 2 / F.regr_sxx("y", "i")).alias("sse"),
+    )
+    s2 = F.greatest(F.col("sse"), F.lit(0.0)) / (F.col("n") - 2)
+    va, vb, cov = s2 * (1 / F.col("n") + F.col("mi") ** 2 / F.col("sxx")), s2 / F.col("sxx"), -s2 * F.col("mi") / F.col("sxx")
+    fit = fit.filter("n > 2").withColumns({"l11": F.sqrt(va), "l21": F.coalesce(F.try_divide(cov, F.sqrt(va)), F.lit(0.0))}).withColumn("l22", F.sqrt(F.greatest(vb - F.col("l21") ** 2, F.lit(0.0))))
     residual = x.join(fit, by).select(by, F.col("i").cast("long").alias("pick"), (F.col("y") - F.col("intercept") - F.col("slope") * F.col("i")).alias("e"))
-    paths = fit.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
+    paths = fit.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    paths = paths.withColumns({"z1": normal_draw(by, "draw", F.lit(1)), "z2": normal_draw(by, "draw", F.lit(2))})
+    paths = paths.withColumns({"a": F.col("intercept") + F.col("l11") * F.col("z1"), "b": F.col("slope") + F.col("l21") * F.col("z1") + F.col("l22") * F.col("z2")})
+    paths = paths.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
     paths = paths.withColumn("pick", F.pmod(F.xxhash64(by, "draw", "horizon"), F.col("n")) + 1).join(residual, [by, "pick"])
-    value = F.col("intercept") + F.col("slope") * (F.col("n") + F.col("horizon")) + F.col("e")
-    return paths.groupBy(by, "horizon").agg(*[F.percentile(value, p).alias(f"p{round(100 * p):02d}") for p in (0.05, 0.5, 0.95)])
+    value = F.least(F.greatest(F.col("a") + F.col("b") * (F.col("n") + F.col("horizon")) + F.col("e"), F.lit(-25.0)), F.lit(30.0))  # fixed values: bounds of a log price
+    return paths.groupBy(by, "horizon").agg(*[F.percentile(value, p).alias(f"p{round(100 * p):02d}") for p in shares])  # ``draws`` values each
 
 
 def lagged_f_test(df: DataFrame, order: str, y: str, x: str, most: int) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,33 +76,73 @@ def spans(df: DataFrame, by: Sequence[str], order: str, state: str) -> DataFrame
     return runs.groupBy(*by, "_run", state).agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count("*").alias("n")).drop("_run")
 
 
-def _fold(df: DataFrame, by: str, order: str, column: str, out: str, size: int, alpha: float) -> DataFrame:
-    """x[t] = x[t-1] + alpha (v[t] - x[t-1]), from the mean of the first ``size`` values: one ordered pass a series."""
-
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        values, result, state = pdf[column].to_numpy(float), [None] * len(pdf), None
-        for i, v in enumerate(values):
-            if i == size - 1:
-                state = values[:size].mean()
-            elif i >= size:
-                state += alpha * (v - state)
-            result[i] = state
-        return pdf.assign(**{out: pd.array(result, dtype="Float64").astype(object)})
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.groupBy(by).applyInPandas(each, f"{fields}, {out} double")
-
-
-def ema(df: DataFrame, by: str, order: str, column: str, out: str, size: int) -> DataFrame:
-    return _fold(df, by, order, column, out, size, 2 / (size + 1))
-
-
-def atr(df: DataFrame, by: str, order: str, out: str, size: int) -> DataFrame:
+def numbered(df: DataFrame, by: str, order: str, block: Column, carry: Sequence[str] = ()) -> DataFrame:
+    """Adds _i, the row's place (from 0) in its series, and for each column c of ``carry`` _before_c, its value in the row before.
+
+    ``block`` must grow with ``order``: windows run within blocks, and only a row a block is summed up along the series.
+    """
+    x = df.withColumn("_block", block)
+    inside, along = Window.partitionBy(by, "_block").orderBy(order), Window.partitionBy(by).orderBy("_block")
+    ends = x.groupBy(by, "_block").agg(F.count("*").alias("_n"), *[F.max_by(c, order).alias(f"_last_{c}") for c in carry])
+    ends = ends.select(
+        by, "_block", F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"), *[F.lag(f"_last_{c}").over(along).alias(f"_last_{c}") for c in carry]
+    )
+    x = x.join(ends, [by, "_block"])
+    first = F.row_number().over(inside) == 1
+    before = {f"_before_{c}": F.when(first, F.col(f"_last_{c}")).otherwise(F.lag(c).over(inside)) for c in carry}
+    return x.withColumns({"_i": F.col("_offset") + F.row_number().over(inside) - 1, **before}).drop("_block", "_offset", *[f"_last_{c}" for c in carry])
+
+
+#: How much of an older state a block of a recurrence leaves, and how many blocks back it is followed: to 1e-300.
+FADED, BLOCKS = 1e-15, 20
+
+
+def _recurrence(df: DataFrame, by: str, order: str, column: str, out: str, size: int, alpha: float, block: Column) -> DataFrame:
+    """x[t] = x[t-1] + alpha (v[t] - x[t-1]), from the mean of the first ``size`` values; null until then and where v is null.
+
+    Each step maps x to d x + alpha v with d = 1 - alpha. A block of steps is composed by one scaled running sum, a
+    series' blocks by their last states, so its rows are dealt over as many tasks as it has blocks.
+    """
+    d = 1 - alpha
+    known = numbered(df.filter(F.col(column).isNotNull()), by, order, block)
+    if d <= 0:  # nothing is left of the state
+        return known.withColumn(out, F.when(F.col("_i") >= size - 1, F.col(column))).drop("_i").unionByName(df.filter(F.col(column).isNull()).withColumn(out, F.lit(None).cast("double")))
+    rows = max(1, math.ceil(math.log(FADED) / math.log(d)))
+    fade = d**rows
+    seed = known.filter(F.col("_i") < size).groupBy(by).agg(F.avg(column).alias("_seed"))
+    t = F.col("_i") - (size - 1)
+    x = known.join(seed, by).withColumns({"_b": F.floor(t / rows), "_k": F.pmod(t, F.lit(rows))})
+    step = F.when(t == 0, F.col("_seed")).when(t > 0, alpha * F.col(column)).otherwise(0.0)
+    inside = Window.partitionBy(by, "_b").orderBy("_k")
+    x = x.withColumn("_own", F.pow(F.lit(d), "_k") * F.sum(step * F.pow(F.lit(d), -F.col("_k"))).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = x.filter((F.col("_b") >= 0) & (F.col("_k") == rows - 1)).select(by, "_b", F.col("_own").alias("_end"))  # a row a full block
+    along = Window.partitionBy(by).orderBy("_b")
+    state = F.col("_end")
+    for back in range(1, BLOCKS + 1):
+        state = state + fade**back * F.coalesce(F.lag("_end", back).over(along), F.lit(0.0))
+    states = ends.select(by, (F.col("_b") + 1).alias("_b"), state.alias("_state"))
+    x = x.join(states, [by, "_b"], "left")
+    value = F.col("_own") + F.pow(F.lit(d), F.col("_k") + 1) * F.coalesce("_state", F.lit(0.0))
+    done = x.select(*df.columns, F.when(t >= 0, value).alias(out))
+    return done.unionByName(df.filter(F.col(column).isNull()).withColumn(out, F.lit(None).cast("double")))
+
+
+def _month(order: str) -> Column:
+    return F.date_trunc("month", F.col(order))
+
+
+def ema(df: DataFrame, by: str, order: str, column: str, out: str, size: int, block: Column | None = None) -> DataFrame:
+    """``block``: a column that grows with ``order`` and cuts series into bounded parts; months of a date by default."""
+    return _recurrence(df, by, order, column, out, size, 2 / (size + 1), _month(order) if block is None else block)
+
+
+def atr(df: DataFrame, by: str, order: str, out: str, size: int, block: Column | None = None) -> DataFrame:
     """Wilder's average true range of high, low, close."""
-    before = F.lag("close").over(w(by, order))
+    block = _month(order) if block is None else block
+    x = numbered(df, by, order, block, ["close"])
+    before = F.col("_before_close")
     true_range = F.greatest(F.col("high") - F.col("low"), F.coalesce(F.abs(F.col("high") - before), F.lit(0.0)), F.coalesce(F.abs(F.col("low") - before), F.lit(0.0)))
-    return _fold(df.withColumn("_tr", true_range), by, order, "_tr", out, size, 1 / size).drop("_tr")
+    return _recurrence(x.select(*df.columns, true_range.alias("_tr")), by, order, "_tr", out, size, 1 / size, block).drop("_tr")
 
 
 def crosses(fast: str, slow: str, window) -> Column:
@@ -116,11 +156,3 @@ def resample_week(df: DataFrame, by: Sequence[str], date: str, last: Sequence[st
     week = F.date_trunc("week", F.col(date)).cast("date").alias("week")
     aggs = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(date))).alias(c) for c in last] + [F.sum(c).alias(c) for c in total] + [F.avg(c).alias(c) for c in mean]
     return df.groupBy(*by, week).agg(*aggs)
-
-
-def nearest_quantile(df: DataFrame, by: Sequence[str], column: str, q: float, out: str) -> DataFrame:
-    """The value at rank round((n - 1) q)."""
-    known = df.filter(F.col(column).isNotNull())
-    p = Window.partitionBy(*by)
-    at = known.withColumn("_r", F.row_number().over(p.orderBy(column)) - 1).withColumn("_n", F.count("*").over(p))
-    return at.filter(F.col("_r") == F.floor((F.col("_n") - 1) * q + 0.5)).select(*by, F.col(column).alias(out))

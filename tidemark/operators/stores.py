@@ -27,6 +27,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table written once and read from there, so that later uses do not run its plan again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Store:
     """One keyed table under ``folder``: Parquet partitioned by ``_part``, which follows from the key.
 

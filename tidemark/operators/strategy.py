@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import series as ts
+from tidemark.operators.selection import quantiles
 
 
 #: The defaults.
@@ -181,5 +182,5 @@ def gates(weighted: DataFrame, s: Strategy, config: str, sharpe: float, ir: floa
 def capacity(df: DataFrame, most: float) -> DataFrame:
     """Fifth percentile (nearest) of the notional at which a position takes ``most`` of the ADV."""
     cap = F.coalesce("adv", F.lit(0.0)) * most / F.greatest(F.abs("weight"), F.lit(1e-12))
-    held = df.filter("weight <> 0").select(F.lit("book").alias("book"), cap.alias("cap")).filter("cap > 0")
-    return ts.nearest_quantile(held, ["book"], "cap", 0.05, "capacity")
+    held = df.filter("weight <> 0").select(cap.alias("cap")).filter("cap > 0")
+    return quantiles(held, [], "cap", [0.05], "nearest").select(F.lit("book").alias("book"), F.col("q0").alias("capacity"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as tx
 from tidemark.operators import relational as rel
 from tidemark.operators import series as ts
+from tidemark.operators.selection import quantiles
 from tidemark.plans.registry import query
 
 
@@ -222,7 +223,7 @@ def ag_15(t):
 
 @query("ag_17_capacity_quantile", """select symbol, volume as q05 from (select symbol, volume, row_number() over (partition by symbol order by volume) - 1 as r, count(*) over (partition by symbol) as n from panel) x where r = floor((n - 1) * 0.05 + 0.5)""", "q05")
 def ag_17(t):
-    return ts.nearest_quantile(t.panel, ["symbol"], "volume", 0.05, "q05")
+    return quantiles(t.panel, ["symbol"], "volume", [0.05], "nearest").select("symbol", F.col("q0").alias("q05"))
 
 
 @query("ag_18_weekly", "select symbol, cast(date_trunc('week', date) as date) as week, max_by(close, date) as close, sum(volume) as volume, avg(high) as high from panel group by 1, 2", "close volume high")
@@ -293,7 +294,9 @@ def ag_26(t):
     o = ts.w("symbol", "date")
     p = t.panel.select(F.when(F.col("close") > F.avg("close").over(o.rowsBetween(-19, 0)), "up").otherwise("down").alias("regime"), *[(F.lead("close", h).over(o) / F.col("close") - 1).alias(f"r{h}") for h in (5, 20)])
     long = p.select("regime", F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"r{h}").alias("r")) for h in (5, 20)])).alias("x")).select("regime", "x.*")
-    return long.groupBy("regime", "h").agg(F.count("r").alias("n"), F.avg("r").alias("mean"), F.percentile("r", 0.5).alias("median"), F.percentile("r", 0.25).alias("p25"), F.avg(F.when(F.col("r").isNotNull(), (F.col("r") > 0).cast("double"))).alias("hit"))
+    stats = long.groupBy("regime", "h").agg(F.count("r").alias("n"), F.avg("r").alias("mean"), F.avg(F.when(F.col("r").isNotNull(), (F.col("r") > 0).cast("double"))).alias("hit"))
+    q = quantiles(long, ["regime", "h"], "r", [0.5, 0.25]).select("regime", "h", F.col("q0").alias("median"), F.col("q1").alias("p25"))
+    return stats.join(q, ["regime", "h"], "left")
 
 
 @query("ag_27_concentration", "select date, sum(share * share) as hhi, sum(case when r <= 3 then share else 0 end) as top3, count(*) as n from (select date, volume / sum(volume) over (partition by date) as share, row_number() over (partition by date order by volume desc, symbol) as r from bars) x group by date", "hhi top3")

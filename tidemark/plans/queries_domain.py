@@ -10,6 +10,8 @@ from tidemark.operators import relational as rel
 from tidemark.operators import research as rs
 from tidemark.operators import series as ts
 from tidemark.operators import strategy as st
+from tidemark.operators.clusters import others_near
+from tidemark.operators.selection import quantiles
 from tidemark.plans.queries_basic import RET, monthly
 from tidemark.plans.queries_joins import SD
 from tidemark.plans.queries_windows import FOLD  # noqa: F401
@@ -196,7 +198,7 @@ def dp_16_timing(t):
 def dp_17(t):
     shared = t.transfers.join(t.links.withColumnRenamed("address", "from_address"), ["chain", "from_address"]).groupBy(F.col("to_address").alias("k")).agg(F.countDistinct("identity_id").alias("n"))
     x = t.ticks.select("symbol", "ts", "event_id", "user_id")
-    co = rel.band_join(x, x, ["symbol"], "ts", 300).filter("user_id <> user_id_r").groupBy(F.concat_ws(":", "symbol", "event_id").alias("k")).agg(F.countDistinct("user_id_r").alias("n"))
+    co = others_near(x, ["symbol"], "ts", "user_id", 300, "n").select(F.concat_ws(":", "symbol", "event_id").alias("k"), "n")
     return shared.select(F.lit("shared").alias("kind"), "k", "n").unionByName(co.select(F.lit("co_move").alias("kind"), "k", "n")).filter("n >= 2")
 
 
@@ -290,7 +292,10 @@ def dp_26_hac(t):
 
 @query("dp_27_probit")
 def dp_27(t):
-    return rs.probit_walk_forward(composite(t), "week", "z", 13)
+    w = Window.orderBy("week")  # a row a week
+    x = composite(t).select("week", "z", (F.col("z") - F.lag("z", 12).over(w)).alias("momentum"))
+    x = x.withColumn("ahead", (F.lead("momentum", 13).over(w) > 0).cast("double"))
+    return rs.probit_walk_forward(x, "week", ["z", "momentum"], "ahead", 13)
 
 
 @query("dp_28_bootstrap_fan")
@@ -304,7 +309,9 @@ def dp_29(t):
     y = F.log("close")
     x = t.panel.select("symbol", y.alias("y"), F.avg(y).over(w).alias("m"), F.stddev_samp(y).over(w).alias("s"), F.count("*").over(w).alias("n")).filter("n = 60 and s > 0")
     gap = F.abs(F.col("y") - F.col("m"))
-    return x.groupBy("symbol").agg(F.percentile(gap / F.col("s"), 0.9).alias("scale"), F.avg((gap <= 1.645 * F.col("s")).cast("double")).alias("coverage"))
+    covered = x.groupBy("symbol").agg(F.avg((gap <= 1.645 * F.col("s")).cast("double")).alias("coverage"))
+    scale = quantiles(x.withColumn("score", gap / F.col("s")), ["symbol"], "score", [0.9]).select("symbol", F.col("q0").alias("scale"))
+    return scale.join(covered, "symbol")
 
 
 @query("dp_30_predictability")

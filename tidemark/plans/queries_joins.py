@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import relational as rel
 from tidemark.operators import series as ts
 from tidemark.operators import stores
+from tidemark.operators.clusters import others_near
 from tidemark.plans.queries_basic import RET, returns
 from tidemark.plans.registry import query
 
@@ -64,8 +65,7 @@ def jn_07(t):
 @query("jn_08_time_band", "select a.symbol, a.event_id, count(distinct b.user_id) as partners from ticks a join ticks b on a.symbol = b.symbol and a.user_id <> b.user_id and abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 600000000 group by 1, 2 having count(distinct b.user_id) >= 2")
 def jn_08(t):
     x = t.ticks.select("symbol", "ts", "event_id", "user_id")
-    pairs = rel.band_join(x, x, ["symbol"], "ts", 600).filter("user_id <> user_id_r")
-    return pairs.groupBy("symbol", "event_id").agg(F.countDistinct("user_id_r").alias("partners")).filter("partners >= 2")
+    return others_near(x, ["symbol"], "ts", "user_id", 600, "partners").filter("partners >= 2").select("symbol", "event_id", "partners")
 
 
 @query("jn_09_anti", "select address, chain from registry r where not exists (select 1 from transfers f where f.chain = r.chain and f.from_address = r.address and f.amount >= 50 and f.chain = 'bitcoin')")

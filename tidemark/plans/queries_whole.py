@@ -11,6 +11,7 @@ from tidemark.functions import text as tx
 from tidemark.operators import series as ts
 from tidemark.operators import stores, wallet
 from tidemark.operators import strategy as st
+from tidemark.operators.selection import quantiles
 from tidemark.plans.queries_basic import MONTHLY, RET, monthly, returns
 from tidemark.plans.queries_domain import DAILY, FEAT, RANKED, REGIME, SLEEVE, TARGET, WEIGHT, S, macro_regime, weighted
 from tidemark.plans.queries_joins import OLD, SD
@@ -76,7 +77,9 @@ def ag_26_baseline(t):
     p = t.panel.select(F.when(up, "up").otherwise("down").alias("regime"), *[(F.lead("close", h).over(o) / F.col("close") - 1).alias(f"r{h}") for h in (5, 20)])
     each = F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"r{h}").alias("r")) for h in (5, 20)])
     long = p.select(F.explode(F.array("regime", F.lit("all"))).alias("regime"), each.alias("x")).select("regime", F.explode("x").alias("x")).select("regime", "x.*")
-    return long.groupBy("regime", "h").agg(F.count("r").alias("n"), F.avg("r").alias("mean"), F.percentile("r", 0.75).alias("p75"))
+    stats = long.groupBy("regime", "h").agg(F.count("r").alias("n"), F.avg("r").alias("mean"))
+    q = quantiles(long, ["regime", "h"], "r", [0.75]).select("regime", "h", F.col("q0").alias("p75"))
+    return stats.join(q, ["regime", "h"], "left")
 
 
 @query(

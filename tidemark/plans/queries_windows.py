@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import series as ts
+from tidemark.operators.clusters import distinct_near
 from tidemark.plans.queries_basic import RET, returns
 from tidemark.plans.registry import query
 
@@ -195,9 +196,8 @@ def wn_24(t):
 
 @query("wn_25_hour_cluster", """select symbol, min(ts) as anchor from (select a.symbol, a.ts, count(distinct b.user_id) as handles from ticks a join ticks b on a.symbol = b.symbol and b.ts >= a.ts and b.ts <= a.ts + interval 1 hour group by a.symbol, a.ts, a.event_id having count(distinct b.user_id) >= 3) x group by symbol""")
 def wn_25(t):
-    micros = t.ticks.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    handles = F.size(F.collect_set("user_id").over(Window.partitionBy("symbol").orderBy("us").rangeBetween(0, 3_600_000_000)))
-    return micros.withColumn("handles", handles).filter("handles >= 3").groupBy("symbol").agg(F.min("ts").alias("anchor"))
+    near = distinct_near(t.ticks.select("symbol", "ts", "user_id"), ["symbol"], "ts", "user_id", 0, 3600, "handles")
+    return near.filter("handles >= 3").groupBy("symbol").agg(F.min("ts").alias("anchor"))
 
 
 @query("wn_26_first_occurrence", "select symbol, min(ts) as first_ts, min_by(event_id, ts) as event_id from ticks group by symbol")
