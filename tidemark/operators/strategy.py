@@ -5,13 +5,15 @@ Everything is grouped so that the plan shuffles by symbol, then by date.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import series as ts
 from tidemark.operators.selection import quantiles
+from tidemark.operators.stores import written
 
 
 #: The defaults.
@@ -35,7 +37,7 @@ class Strategy:
     test: int = 63
     step: int = 63
     embargo: int = 20
-    universe: int = 0  # so many symbols by ADV may be held on a day; 0: all
+    universe: int = 0  # so many symbols by mean ADV take part; 0: all
 
 
 def _by_symbol():
@@ -101,32 +103,35 @@ def _scaled(df: DataFrame, s: Strategy) -> DataFrame:
 
 
 def weights(df: DataFrame, s: Strategy) -> DataFrame:
-    """Targets on rebalance days, carried until the next. With a column ``active``, nothing is held from rebalance
-    days on where it is false."""
+    """Targets on rebalance days, carried until the next.
+
+    With ``universe``, only so many symbols take part, those of the greatest mean ADV over the whole sample. With a
+    column ``active`` (a cross-section's regime), nothing is bought or held on any day on which it is false.
+    """
+    cross_section = s.mode not in ("directional", "ts_mom")
+    if s.universe and cross_section:
+        df = written(df, "scored")  # read for the ranking and again
+        mean = df.groupBy("symbol").agg(F.avg("adv").alias("_adv"))
+        top = mean.orderBy(F.desc_nulls_last("_adv"), "symbol").limit(s.universe).select("symbol")
+        df = df.join(F.broadcast(top), "symbol", "left_semi")  # ``universe`` rows
     df = _with_rebalance(df)
-    if s.mode in ("directional", "ts_mom"):
+    active = F.coalesce("active", F.lit(True)) if cross_section and "active" in df.columns else F.lit(True)
+    if not cross_section:
         lo, hi = sorted((s.short_z, s.long_z))
         df = df.withColumn("sleeve", F.when(F.col("alpha") >= hi, 1.0).when(F.col("alpha") <= lo, -1.0 if s.allow_short else 0.0).otherwise(0.0)).withColumn("raw", F.col("sleeve"))
     else:
         q = max(s.quantiles, 2)
         ranked = ts.avg_rank(df, "date", "alpha", "rank")  # among all symbols of the date, eligible or not
-        adv = F.coalesce("adv", F.lit(0.0))
-        eligible = adv >= s.min_adv
-        if s.universe:
-            place = F.row_number().over(Window.partitionBy("date").orderBy(F.desc(adv), "symbol"))
-            ranked, eligible = ranked.withColumn("place", place), eligible & (F.col("place") <= s.universe)
+        eligible = F.coalesce("adv", F.lit(0.0)) >= s.min_adv
         rank = F.when(eligible & F.col("rebalance"), F.col("rank"))
-        sleeve = F.when(rank >= 1 - 1 / q, 1.0)
+        sleeve = F.when(~active, 0.0).when(rank >= 1 - 1 / q, 1.0)
         sleeve = sleeve.otherwise(0.0) if s.mode == "long_only" else sleeve.when(rank <= 1 / q, -1.0).otherwise(0.0)
         df = ranked.withColumn("sleeve", sleeve)
         side = lambda v: F.greatest(F.lit(1), F.count_if(F.col("sleeve") == v).over(Window.partitionBy("date")))
         full = 1.0 if s.mode == "long_only" else 0.5
         df = df.withColumn("raw", F.when(F.col("sleeve") == 1, full / side(1)).when(F.col("sleeve") == -1, -full / side(-1)).otherwise(0.0))
-    target = F.col("target")
-    if "active" in df.columns:
-        target = F.when(F.coalesce("active", F.lit(True)), target).otherwise(0.0)
-    carried = F.last(F.when(F.col("rebalance"), target), ignorenulls=True).over(_by_symbol().rowsBetween(Window.unboundedPreceding, 0))
-    return _scaled(df, s).withColumn("weight", F.coalesce(carried, F.lit(0.0)))
+    carried = F.last(F.when(F.col("rebalance"), F.col("target")), ignorenulls=True).over(_by_symbol().rowsBetween(Window.unboundedPreceding, 0))
+    return _scaled(df, s).withColumn("weight", F.when(active, F.coalesce(carried, F.lit(0.0))).otherwise(0.0))
 
 
 def daily(df: DataFrame, s: Strategy) -> DataFrame:
@@ -143,12 +148,40 @@ def daily(df: DataFrame, s: Strategy) -> DataFrame:
     return d.withColumn("cost", cost).withColumn("net", F.col("gross") - F.col("cost"))
 
 
+#: Deviations under it are none.
+STILL = 1e-15
+
+
+def sharpe(r: Column | str) -> Column:
+    """Mean over sample deviation, a year of 365 days; null where there is no deviation."""
+    sd = F.stddev_samp(r)
+    return F.when(sd >= STILL, F.avg(r) / sd) * 365**0.5
+
+
+def sortino(r: Column) -> Column:
+    """Mean over the sample deviation of the negative returns alone."""
+    sd = F.stddev_samp(F.when(r < 0, r))
+    return F.when(sd >= STILL, F.avg(r) / sd) * 365**0.5
+
+
+def information_ratio(r: str, benchmark: str) -> Column:
+    """Sharpe ratio of the return less the benchmark's, the latter scaled to the same deviation.
+
+    The deviation of r - k b with k = sd(r) / sd(b) follows from both deviations and the covariance, so one pass is enough.
+    """
+    both = F.col(r).isNotNull() & F.col(benchmark).isNotNull()
+    x, b = F.when(both, F.col(r)), F.when(both, F.col(benchmark))
+    sx, sb = F.stddev_samp(x), F.stddev_samp(b)
+    k = F.when(sb >= STILL, sx / sb)
+    sd = F.sqrt(F.greatest(2 * sx * sx - 2 * k * F.covar_samp(x, b), F.lit(0.0)))
+    return F.when(sd >= STILL, (F.avg(x) - k * F.avg(b)) / sd) * 365**0.5
+
+
 def metrics(d: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    year = 365**0.5
-    edge = F.col("net") - F.col("benchmark")
+    net = F.col("net")
     return d.groupBy(*by).agg(
-        (F.try_divide(F.avg("net"), F.stddev_samp("net")) * year).alias("net_sharpe"), (F.try_divide(F.avg("gross"), F.stddev_samp("gross")) * year).alias("gross_sharpe"),
-        (F.try_divide(F.avg(edge), F.stddev_samp(edge)) * year).alias("ir"), F.avg((F.col("net") > 0).cast("double")).alias("hit"), F.avg("turnover").alias("turnover"), F.count("*").alias("days"),
+        sharpe("net").alias("net_sharpe"), sharpe("gross").alias("gross_sharpe"), sortino(net).alias("sortino"), information_ratio("net", "benchmark").alias("ir"),
+        F.avg((net > 0).cast("double")).alias("hit"), F.avg("turnover").alias("turnover"), F.count("*").alias("days"),
     )
 
 
@@ -164,19 +197,42 @@ def folds(d: DataFrame, s: Strategy) -> DataFrame:
 
 
 def evaluate(d: DataFrame, s: Strategy) -> DataFrame:
-    """Metrics of each fold's test window; where the dates are too few for a fold, of all of them, as fold -1."""
-    f = F.broadcast(folds(d, s))  # a row a quarter
-    tested = metrics(d.join(f, (F.col("date") >= F.col("test_start")) & (F.col("date") <= F.col("test_end"))), ("fold",))
-    least = s.train + s.embargo + s.test
-    short = d.agg(F.countDistinct("date").alias("n")).filter(F.col("n") < least).select(F.lit(-1).alias("fold"))  # one row or none
-    return tested.unionByName(metrics(d.crossJoin(F.broadcast(short)), ("fold",)))
-
-
-def gates(weighted: DataFrame, s: Strategy, config: str, sharpe: float, ir: float, target: float, most: float = 0.05) -> DataFrame:
-    """One row: whether the book's net Sharpe ratio, information ratio and capacity are enough."""
-    m = metrics(daily(weighted, s)).crossJoin(F.broadcast(capacity(weighted, most).agg(F.max("capacity").alias("capacity"))))  # one row each
-    enough = F.coalesce(F.col("capacity") >= target, F.lit(False))
-    return m.select(F.lit(config).alias("config"), (F.col("net_sharpe") > sharpe).alias("sharpe_ok"), (F.col("ir") > ir).alias("ir_ok"), enough.alias("capacity_ok"))
+    """Metrics of each fold's test window, and as fold -1 of all days in any of them: the out-of-sample result.
+
+    Where the dates are too few for a fold, fold -1 is the whole sample. The book is computed once.
+    """
+    d = written(d, "daily")
+    f = folds(d, s)
+    if f.isEmpty():
+        return metrics(d.withColumn("fold", F.lit(-1)), ("fold",))
+    f = written(f, "folds")
+    inside = d.join(F.broadcast(f), (F.col("date") >= F.col("test_start")) & (F.col("date") <= F.col("test_end")))  # a row a quarter
+    each = metrics(inside, ("fold",))
+    return each.unionByName(metrics(inside.dropDuplicates(["date"]).withColumn("fold", F.lit(-1)), ("fold",)))
+
+
+def gates(weighted: DataFrame, s: Strategy, config: str, least_sharpe: float, least_ir: float, target: float, most: float = 0.05) -> DataFrame:
+    """One row: whether the out-of-sample Sharpe and information ratios and the capacity are enough; what is not known is not."""
+    w = written(weighted.select("symbol", "date", "ret", "adv", "weight"), "weights")
+    m = evaluate(daily(w, s), s).filter("fold = -1")
+    m = m.crossJoin(F.broadcast(capacity(w, most).agg(F.max("capacity").alias("capacity"))))  # one row each
+    ok = lambda c: F.coalesce(c, F.lit(False))
+    m = m.select(
+        F.lit(config).alias("config"), ok(F.col("net_sharpe") > least_sharpe).alias("sharpe_ok"), ok(F.col("ir") > least_ir).alias("ir_ok"),
+        (F.coalesce("capacity", F.lit(0.0)) >= target).alias("capacity_ok"),
+    )
+    return m.withColumn("passed", F.col("sharpe_ok") & F.col("ir_ok") & F.col("capacity_ok"))
+
+
+def ladder(rungs: Iterable[tuple[str, Callable[[], DataFrame], Strategy]], least_sharpe: float, least_ir: float, target: float) -> DataFrame:
+    """The gates of (name, weights, strategy) in turn, up to the first that passes; later ones are not computed."""
+    out = None
+    for name, weighted, s in rungs:
+        one = written(gates(weighted(), s, name, least_sharpe, least_ir, target), "rung")
+        out = one if out is None else out.unionByName(one)
+        if one.first()["passed"]:
+            break
+    return out
 
 
 def capacity(df: DataFrame, most: float) -> DataFrame:

@@ -39,24 +39,26 @@ def bitcoin_transfers(transactions: DataFrame, watched: DataFrame) -> DataFrame:
 def solana_transfers(transactions: DataFrame, watched: DataFrame) -> DataFrame:
     """(tx_hash, asset, address, direction, amount) of (tx_hash, accounts, pre, post, pre_tokens, post_tokens).
 
-    The change of the lamports of watched accounts, and of their token balances by (owner, mint); where a watched
-    account is in a transaction that changes nothing of it, one row with amount 0.
+    A row for each watched account whose lamports change, and for each change of a watched owner's balance of a token;
+    balances that are missing are 0. A transaction that gives no such row gives one with amount 0 as the outflow of its
+    first watched account, if it has one.
     """
     own = watched.select("address").distinct()
-    zipped = transactions.select("tx_hash", F.explode(F.arrays_zip("accounts", "pre", "post")).alias("x"))
-    native = zipped.select("tx_hash", F.lit("SOL").alias("asset"), F.col("x.accounts").alias("address"), ((F.col("x.post") - F.col("x.pre")) / 1e9).alias("delta"))
+    zipped = transactions.select("tx_hash", F.posexplode(F.arrays_zip("accounts", "pre", "post")).alias("at", "x"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    native = zipped.select("tx_hash", "at", F.col("x.accounts").alias("address"), (zero(F.col("x.post")) - zero(F.col("x.pre"))).alias("lamports")).join(own, "address", "left_semi")
 
     def balances(column: str, sign: int) -> DataFrame:
         x = transactions.select("tx_hash", F.explode(column).alias("x"))
         return x.select("tx_hash", F.col("x.mint").alias("asset"), F.col("x.owner").alias("address"), (F.col("x.amount") * sign).alias("delta"))
 
-    moved = native.unionByName(balances("post_tokens", 1)).unionByName(balances("pre_tokens", -1)).join(own, "address", "left_semi")
-    changes = moved.groupBy("tx_hash", "asset", "address").agg(F.sum("delta").alias("delta"))
-    some = changes.filter("abs(delta) > 1e-9")
+    tokens = balances("post_tokens", 1).unionByName(balances("pre_tokens", -1)).join(own, "address", "left_semi")
+    tokens = tokens.groupBy("tx_hash", "asset", "address").agg(F.sum("delta").alias("delta"))
+    moved = native.select("tx_hash", F.lit("SOL").alias("asset"), "address", (F.col("lamports") / 1e9).alias("delta")).unionByName(tokens).filter("delta <> 0")
     direction = F.when(F.col("delta") > 0, "inflow").otherwise("outflow")
-    rows = some.select("tx_hash", "asset", "address", direction.alias("direction"), F.abs("delta").alias("amount"))
-    idle = changes.select("tx_hash", "address").distinct().join(some, ["tx_hash", "address"], "left_anti")
-    return rows.unionByName(idle.select("tx_hash", F.lit("SOL").alias("asset"), "address", F.lit("inflow").alias("direction"), F.lit(0.0).alias("amount")))
+    rows = moved.select("tx_hash", "asset", "address", direction.alias("direction"), F.abs("delta").alias("amount"))
+    idle = native.groupBy("tx_hash").agg(F.min_by("address", "at").alias("address")).join(moved.select("tx_hash"), "tx_hash", "left_anti")
+    return rows.unionByName(idle.select("tx_hash", F.lit("SOL").alias("asset"), "address", F.lit("outflow").alias("direction"), F.lit(0.0).alias("amount")))
 
 
 def evm_transfers(transactions: DataFrame, watched: DataFrame) -> DataFrame:

@@ -49,6 +49,8 @@ SQL = {
             when 1 then concat('$', upper(substr(event_type, 1, 4)), ' looks weak, going short. dump?')
             when 2 then concat('pump it ', event_type, '.sol now') when 3 then 'gm' else concat('bearish on $', upper(substr(event_type, 1, 4)), ' and $ETH') end as text,
         cast(floor(value) as bigint) as like_count, user_id % 7 as retweet_count from {events}""",
+    "mentions": """select event_id as tweet_id, case event_id % 4 when 0 then 'eth_address' when 1 then 'sol_address' when 2 then 'btc_address' else 'url' end as entity_type,
+        concat(case when event_id % 3 = 0 then 'W' else 'w' end, cast(user_id % 40 as string)) as entity_value from {events}""",
     "calendar": """select cast(ts as date) as date, event_type as category, concat(event_type, ' ', cast(cast(ts as date) as string)) as title,
         case event_type when 'click' then 'BTC' when 'view' then 'DEFI' else 'ALL' end as scope, case when max(value) > 90 then 'positive' when max(value) > 60 then 'negative' else 'neutral' end as effect
         from {events} group by cast(ts as date), event_type""",

@@ -319,10 +319,10 @@ def returns(t):
     return t.panel.withColumn("r", ts.pct_change("close", ts.w("symbol", "date")))
 
 
-@query("ag_29_risk_metrics", f"select symbol, avg(r) / nullif(stddev_samp(r), 0) * sqrt(365) as sharpe, avg(r) / nullif(sqrt(avg(case when r < 0 then r * r else 0 end)), 0) * sqrt(365) as sortino, avg(case when r > 0 then 1.0 else 0.0 end) as hit from ({RET}) x where r is not null group by symbol", "sharpe sortino hit")
+@query("ag_29_risk_metrics", f"select symbol, avg(r) / nullif(stddev_samp(r), 0) * sqrt(365) as sharpe, avg(r) / nullif(stddev_samp(case when r < 0 then r end), 0) * sqrt(365) as sortino, avg(case when r > 0 then 1.0 else 0.0 end) as hit from ({RET}) x where r is not null group by symbol", "sharpe sortino hit")
 def ag_29(t):
     r = F.col("r")
-    down = F.sqrt(F.avg(F.when(r < 0, r * r).otherwise(0.0)))
+    down = F.stddev_samp(F.when(r < 0, r))
     return returns(t).filter("r is not null").groupBy("symbol").agg((F.try_divide(F.avg(r), F.stddev_samp(r)) * 365**0.5).alias("sharpe"), (F.try_divide(F.avg(r), down) * 365**0.5).alias("sortino"), F.avg((r > 0).cast("double")).alias("hit"))
 
 

@@ -119,14 +119,39 @@ def dp_09(t):
     return st.folds(t.panel, S)
 
 
-@query("dp_09_walk_forward", f"{DAYS} select fold, avg(net) / nullif(stddev_samp(net), 0) * sqrt(365) as net_sharpe, avg(case when net > 0 then 1.0 else 0.0 end) as hit, count(*) as days from ({DAILY}) d join ({FOLDS}) f on d.date between f.test_start and f.test_end group by fold", "net_sharpe hit")
+SHARPE = "avg({r}) / nullif(stddev_samp({r}), 0) * sqrt(365)"
+
+
+def out_of_sample(daily):
+    """The days of a book that lie in any fold's test window."""
+    return f"select * from ({daily}) o where exists (select 1 from ({FOLDS}) f where o.date between f.test_start and f.test_end)"
+
+
+def oos_metrics(daily):
+    """Sharpe and information ratio (benchmark scaled to the book's deviation) out of sample."""
+    both = f"select * from ({out_of_sample(daily)}) b where benchmark is not null"
+    k = f"(select stddev_samp(net) / nullif(stddev_samp(benchmark), 0) from ({both}) s)"
+    ir = f"(select {SHARPE.format(r='a')} from (select net - benchmark * {k} as a from ({both}) n) m)"
+    return f"(select {SHARPE.format(r='net')} from ({out_of_sample(daily)}) s)", ir
+
+
+WALK = f"""select fold, {SHARPE.format(r="net")} as net_sharpe, avg(net) / nullif(stddev_samp(case when net < 0 then net end), 0) * sqrt(365) as sortino, avg(case when net > 0 then 1.0 else 0.0 end) as hit, count(*) as days from"""
+
+
+@query(
+    "dp_09_walk_forward",
+    f"""{DAYS} {WALK} (select f.fold, d.net from ({DAILY}) d join ({FOLDS}) f on d.date between f.test_start and f.test_end) x group by fold
+    union all {WALK} (select -1::bigint as fold, net from ({out_of_sample(DAILY)}) d) y group by fold""",
+    "net_sharpe sortino hit",
+)
 def dp_09_evaluate(t):
-    return st.evaluate(st.daily(weighted(t), S), S).select("fold", "net_sharpe", "hit", "days")
+    return st.evaluate(st.daily(weighted(t), S), S).select("fold", "net_sharpe", "sortino", "hit", "days")
 
 
-@query("dp_10_gates", f"select avg(net) / nullif(stddev_samp(net), 0) * sqrt(365) > 0 as sharpe_ok, avg(net - benchmark) / nullif(stddev_samp(net - benchmark), 0) * sqrt(365) > 0 as ir_ok from ({DAILY}) d")
+@query("dp_10_gates", f"{DAYS} select {oos_metrics(DAILY)[0]} > 0 as sharpe_ok, {oos_metrics(DAILY)[1]} > 0 as ir_ok")
 def dp_10(t):
-    return st.metrics(st.daily(weighted(t), S)).select((F.col("net_sharpe") > 0).alias("sharpe_ok"), (F.col("ir") > 0).alias("ir_ok"))
+    m = st.evaluate(st.daily(weighted(t), S), S).filter("fold = -1")
+    return m.select((F.col("net_sharpe") > 0).alias("sharpe_ok"), (F.col("ir") > 0).alias("ir_ok"))
 
 
 @query("ag_17_capacity", f"select 'book' as book, cap as capacity from (select cap, row_number() over (order by cap) - 1 as r, count(*) over () as n from (select coalesce(adv, 0) * 0.05 / greatest(abs(weight), 1e-12) as cap from ({WEIGHT}) w where weight <> 0) x where cap > 0) y where r = floor((n - 1) * 0.05 + 0.5)", "capacity")

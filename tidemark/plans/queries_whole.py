@@ -12,8 +12,8 @@ from tidemark.operators import series as ts
 from tidemark.operators import stores, wallet
 from tidemark.operators import strategy as st
 from tidemark.operators.selection import quantiles
-from tidemark.plans.queries_basic import MONTHLY, RET, monthly, returns
-from tidemark.plans.queries_domain import DAILY, FEAT, RANKED, REGIME, SLEEVE, TARGET, WEIGHT, S, macro_regime, weighted
+from tidemark.plans.queries_basic import MOM, MONTHLY, RET, monthly, returns, symbol_mom
+from tidemark.plans.queries_domain import DAILY, DAYS, FEAT, RANKED, REGIME, SCORE, SLEEVE, TARGET, WEIGHT, S, macro_regime, oos_metrics, weighted
 from tidemark.plans.queries_joins import OLD, SD
 from tidemark.plans.registry import query
 
@@ -37,11 +37,12 @@ def ag_19_modes(t):
 
 @query(
     "ag_23_volume_mom",
-    f"select month, volume, volume / nullif(lag(volume) over (order by month), 0) - 1 as mom from (select month, sum(volume) as volume from ({MONTHLY}) x group by month) y",
+    f"select month, volume, volume / nullif(lag(volume) over (order by month), 0) - 1 as mom from (select month, sum(volume) as volume from ({MOM}) x where before > 0 group by month) y",
     "volume mom",
 )
 def ag_23_volume(t):
-    m = monthly(t).groupBy("month").agg(F.sum("volume").alias("volume"))
+    """Monthly volume of the symbols that traded in their month before, and its change."""
+    m = symbol_mom(t).filter("before > 0").groupBy("month").agg(F.sum("volume").alias("volume"))
     return m.withColumn("mom", ts.pct_change("volume", Window.orderBy("month")))  # a row a month
 
 
@@ -84,19 +85,26 @@ def ag_26_baseline(t):
 
 @query(
     "ag_29_drawdown",
-    f"""select symbol, min(dd) as max_drawdown, avg(r) * 365 / nullif(abs(min(dd)), 0) as calmar, avg(abs(r - r0)) as turnover from (select symbol, r,
-    coalesce(lag(r) over (partition by symbol order by date), 0) as r0, equity / max(equity) over (partition by symbol order by date rows unbounded preceding) - 1 as dd from
+    f"""select symbol, min(dd) as max_drawdown, avg(r) * 365 / nullif(abs(min(dd)), 0) as calmar from (select symbol, r, equity / max(equity) over (partition by symbol order by date rows unbounded preceding) - 1 as dd from
     (select symbol, date, r, exp(sum(ln(1 + r)) over (partition by symbol order by date rows unbounded preceding)) as equity from ({RET}) x where r is not null) y) z group by symbol""",
-    "max_drawdown calmar turnover",
+    "max_drawdown calmar",
 )
 def ag_29_drawdown(t):
     o = ts.w("symbol", "date")
     e = returns(t).filter("r is not null").withColumn("equity", ts.compound("r", o))
-    e = e.withColumn("dd", ts.drawdown("equity", o)).withColumn("r0", F.coalesce(F.lag("r").over(o), F.lit(0.0)))
     worst = F.min("dd")
-    return e.groupBy("symbol").agg(
-        worst.alias("max_drawdown"), F.try_divide(F.avg("r") * 365, F.abs(worst)).alias("calmar"), F.avg(F.abs(F.col("r") - F.col("r0"))).alias("turnover")
-    )
+    return e.withColumn("dd", ts.drawdown("equity", o)).groupBy("symbol").agg(worst.alias("max_drawdown"), F.try_divide(F.avg("r") * 365, F.abs(worst)).alias("calmar"))
+
+
+@query(
+    "ag_29_book",
+    f"""select avg(net) / nullif(stddev_samp(net), 0) * sqrt(365) as sharpe, avg(net) / nullif(stddev_samp(case when net < 0 then net end), 0) * sqrt(365) as sortino,
+    avg(case when net > 0 then 1.0 else 0.0 end) as hit, avg(turnover) as turnover from ({DAILY}) d""",
+    "sharpe sortino hit turnover",
+)
+def ag_29_book(t):
+    m = st.metrics(st.daily(weighted(t), S))
+    return m.select(F.col("net_sharpe").alias("sharpe"), "sortino", "hit", "turnover")
 
 
 LAGS = """select lag, corr(x, y) as c, count(*) as n from (select a.lag, a.close as x, b.close as y from (select symbol, i, close, unnest(range(-26, 27)) as lag from
@@ -212,15 +220,16 @@ def jn_03_signals(t):
 
 @query(
     "jn_05_by_entity_type",
-    """select f.tx_hash, f.transfer_index, r.address, r.entity_type from transfers f join registry r on r.chain = f.chain and
-    ((r.address = f.from_address and r.entity_type in ('insider', 'exchange')) or (r.address = f.to_address and r.entity_type = 'smart_money'))""",
+    """select e.tweet_id, e.entity_value as address, e.entity_type, w.label, w.entity_type as wallet_type from mentions e left join registry w on
+    (e.entity_type = 'eth_address' and lower(e.entity_value) = w.address) or (e.entity_type in ('sol_address', 'btc_address') and e.entity_value = w.address)
+    where e.entity_type in ('sol_address', 'eth_address', 'btc_address')""",
 )
 def jn_05_types(t):
-    role = lambda name: F.struct(F.lit(name).alias("role"), F.col(f"{name}_address").alias("address"))
-    sides = t.transfers.select("tx_hash", "transfer_index", "chain", F.explode(F.array(role("from"), role("to"))).alias("x")).select("tx_hash", "transfer_index", "chain", "x.*")
-    hit = sides.join(t.registry.select("chain", "address", "entity_type"), ["chain", "address"])
-    wanted = ((F.col("role") == "from") & F.col("entity_type").isin("insider", "exchange")) | ((F.col("role") == "to") & (F.col("entity_type") == "smart_money"))
-    return hit.filter(wanted).select("tx_hash", "transfer_index", "address", "entity_type")
+    """Addresses that posts name, with the wallet of each: only one kind of address is compared without case."""
+    said = t.mentions.filter(F.col("entity_type").isin("sol_address", "eth_address", "btc_address"))
+    key = F.when(F.col("entity_type") == "eth_address", F.lower("entity_value")).otherwise(F.col("entity_value"))
+    wallets = t.registry.select(F.col("address").alias("_key"), "label", F.col("entity_type").alias("wallet_type"))
+    return said.withColumn("_key", key).join(wallets, "_key", "left").select("tweet_id", F.col("entity_value").alias("address"), "entity_type", "label", "wallet_type")
 
 
 FIVE = {
@@ -374,10 +383,11 @@ def dp_05_excess(t):
     return st.benchmark_excess(st.labels(t.panel, 5), "1-URGENT").select(*SD, F.col("fwd_vs_benchmark").alias("excess"))
 
 
-PLACED = f"select *, row_number() over (partition by date order by coalesce(adv, 0) desc, symbol) as place from ({RANKED}) q"
-SLEEVE_M = SLEEVE.replace(RANKED, PLACED).replace("coalesce(adv, 0) >= 10000", "coalesce(adv, 0) >= 10000 and place <= 3")
-TARGET_M = f"select t.* exclude (target), case when coalesce(m.regime_score >= -0.5, true) then target else 0 end as target from ({TARGET.replace(SLEEVE, SLEEVE_M)}) t left join ({REGIME}) m on m.date = t.date"
-WEIGHT_M = WEIGHT.replace(TARGET, TARGET_M)
+LIMITED = f"select * from ({SCORE}) l where symbol in (select symbol from ({FEAT}) f group by symbol order by avg(adv) desc nulls last, symbol limit 3)"
+RANKED_M = RANKED.replace(SCORE, LIMITED)
+SLEEVE_M = f"select s.* exclude (sleeve), case when coalesce(m.regime_score >= -0.5, true) then sleeve else 0.0 end as sleeve, coalesce(m.regime_score >= -0.5, true) as active from ({SLEEVE.replace(RANKED, RANKED_M)}) s left join ({REGIME}) m on m.date = s.date"
+TARGET_M = TARGET.replace(SLEEVE, SLEEVE_M)
+WEIGHT_M = f"select * exclude (weight), case when active then weight else 0 end as weight from ({WEIGHT.replace(TARGET, TARGET_M)}) h"
 DAILY_M = DAILY.replace(WEIGHT, WEIGHT_M)
 MASKED = st.Strategy(min_adv=10_000.0, universe=3)
 
@@ -428,15 +438,19 @@ CAPACITY = "(select cap from (select cap, row_number() over (order by cap) - 1 a
 
 
 def rung(name, daily, weight):
-    sharpe = "avg(net) / nullif(stddev_samp(net), 0) * sqrt(365)"
-    ir = "avg(net - benchmark) / nullif(stddev_samp(net - benchmark), 0) * sqrt(365)"
-    return f"select '{name}' as config, {sharpe} > 0.5 as sharpe_ok, {ir} > 0 as ir_ok, coalesce({CAPACITY.format(weight)} >= 20000, false) as capacity_ok from ({daily}) d"
+    sharpe, ir = oos_metrics(daily)
+    return f"select '{name}' as config, coalesce({sharpe} > {LEAST_SHARPE}, false) as sharpe_ok, coalesce({ir} > 0, false) as ir_ok, coalesce({CAPACITY.format(weight)} >= 20000, false) as capacity_ok"
+
+
+LEAST_SHARPE = 0.5
+RUNGS = "select *, sharpe_ok and ir_ok and capacity_ok as passed from ({}) r"
+FIRST, SECOND = RUNGS.format(rung("base", DAILY, WEIGHT)), RUNGS.format(rung("masked", DAILY_M, WEIGHT_M))
 
 
-@query("dp_10_ladder", f"{rung('base', DAILY, WEIGHT)} union all {rung('masked', DAILY_M, WEIGHT_M)}")
+@query("dp_10_ladder", f"{DAYS}, first_rung as ({FIRST}) select * from first_rung union all select * from ({SECOND}) s where not (select passed from first_rung)")
 def dp_10_ladder(t):
-    runs = {"base": (weighted(t), S), "masked": (masked(t), MASKED)}
-    return reduce(lambda a, b: a.unionByName(b), [st.gates(w, s, name, sharpe=0.5, ir=0.0, target=20_000.0) for name, (w, s) in runs.items()])
+    rungs = [("base", lambda: weighted(t), S), ("masked", lambda: masked(t), MASKED)]
+    return st.ladder(rungs, LEAST_SHARPE, 0.0, 20_000.0)
 
 
 # ---- wallets
@@ -471,19 +485,22 @@ SOL = "concat('w', cast(l_suppkey as varchar))"
 
 @query(
     "dp_13_solana_transfers",
-    f"""with deltas as (select cast(l_orderkey as varchar) as tx_hash, 'SOL' as asset, {SOL} as address, (l_quantity - l_linenumber * 5) as delta from lineitem
-    union all select cast(l_orderkey as varchar), concat('m', cast(l_linenumber % 2 as varchar)), {SOL}, l_tax - l_discount from lineitem),
-    changes as (select tx_hash, asset, address, sum(delta) as delta from deltas where address in (select address from registry where active) group by 1, 2, 3)
-    select tx_hash, asset, address, case when delta > 0 then 'inflow' else 'outflow' end as direction, abs(delta) as amount from changes where abs(delta) > 1e-9
-    union all select distinct tx_hash, 'SOL', address, 'inflow', 0.0 from changes c where not exists (select 1 from changes d where d.tx_hash = c.tx_hash and d.address = c.address and abs(d.delta) > 1e-9)""",
+    f"""with watched as (select address from registry where active),
+    native as (select cast(l_orderkey as varchar) as tx_hash, 'SOL' as asset, {SOL} as address, l_linenumber as n, l_quantity - l_linenumber * 5 as delta from lineitem where {SOL} in (select * from watched)),
+    tokens as (select cast(l_orderkey as varchar) as tx_hash, concat('m', cast(l_linenumber % 2 as varchar)) as asset, {SOL} as address, sum(cast(round(l_tax * 100) as int)) - sum(cast(round(l_discount * 100) as int)) as delta
+    from lineitem where {SOL} in (select * from watched) group by 1, 2, 3),
+    moved as (select tx_hash, asset, address, delta from native where delta <> 0 union all select tx_hash, asset, address, delta from tokens where delta <> 0)
+    select tx_hash, asset, address, case when delta > 0 then 'inflow' else 'outflow' end as direction, abs(delta) as amount from moved
+    union all select tx_hash, 'SOL', min_by(address, concat(lpad(cast(n as varchar), 3, '0'), address)), 'outflow', 0.0 from native where tx_hash not in (select tx_hash from moved) group by tx_hash""",
     "amount",
 )
 def dp_13_solana(t):
     who = F.concat(F.lit("w"), F.col("l_suppkey").cast("string"))
-    token = lambda amount: F.collect_list(F.struct(who.alias("owner"), F.concat(F.lit("m"), (F.col("l_linenumber") % 2).cast("string")).alias("mint"), F.col(amount).alias("amount")))
-    lamports = lambda c: F.collect_list(c * 1e9)
+    token = lambda amount: F.collect_list(F.struct(who.alias("owner"), F.concat(F.lit("m"), (F.col("l_linenumber") % 2).cast("string")).alias("mint"), F.round(F.col(amount) * 100).alias("amount")))
+    lines = F.sort_array(F.collect_list(F.struct("l_linenumber", who.alias("who"), (F.col("l_linenumber") * 5 * 1e9).alias("pre"), (F.col("l_quantity") * 1e9).alias("post"))))
+    part = lambda name: F.transform(lines, lambda s: s[name]).alias({"who": "accounts"}.get(name, name))
     tx_ = t.lineitem.groupBy(F.col("l_orderkey").cast("string").alias("tx_hash")).agg(  # a few lines an order
-        F.collect_list(who).alias("accounts"), lamports(F.col("l_linenumber") * 5).alias("pre"), lamports(F.col("l_quantity")).alias("post"),
+        part("who"), part("pre"), part("post"),
         token("l_discount").alias("pre_tokens"), token("l_tax").alias("post_tokens"),
     )
     return wallet.solana_transfers(tx_, t.registry.filter("active").select("address"))
