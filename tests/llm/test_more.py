@@ -9,11 +9,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_llm import SCHEMA, TR, brute_components, corpus
-from tidemark.llm import language_id, line_dedup, lm_scoring, ngram_join, packing, span_dedup, token_counts, vector_search
+from tidemark.llm import decontamination, language_id, line_dedup, lm_scoring, ngram_join, packing, span_dedup, token_counts, vector_search
+from tidemark.llm._common import SLICE_BYTES
 
 
 def test_neighbours_where_an_id_repeats(spark):
@@ -157,6 +159,51 @@ def test_join_in_a_large_group(spark):
     assert got == want and len(set(want.values())) > 20
 
 
+@pytest.fixture(scope="module")
+def long_rows():
+    rng = random.Random(31)
+    words = ["".join(rng.choices("aeiounsthr", k=rng.randint(3, 8))) for _ in range(4000)]
+    text = "\n".join(" ".join(rng.choices(words, k=12)) + "." for _ in range(90_000))
+    assert len(text) > SLICE_BYTES
+    return [(1, text, "en", "s", 1), (2, "Before it.\n" + text, "en", "s", 1), (3, "short and clean words stand here", "en", "s", 1)]
+
+
+def test_texts_of_more_than_a_slice(spark, long_rows):
+    df = spark.createDataFrame(long_rows, SCHEMA)
+    whole = long_rows[0][1]
+    sizes = Counter({r.length: r.n_docs for r in token_counts.length_histogram(df).collect()})
+    assert sum(sizes.values()) == 3 and max(sizes) > 900_000
+    pieces = packing.pieces(df).filter("doc_id = 1").agg(F.sum("length").alias("n"), F.max("piece").alias("last")).first()
+    ids = len(packing._tokenizer(packing.public_tokenizers.path("word_bpe_49k.json")).encode(whole, add_special_tokens=False).ids) + 1
+    assert (pieces.n, pieces.last) == (ids, -(-ids // packing.CAPACITY) - 1)
+    assert {r.doc_id: r.component_id for r in ngram_join.ngram_join(df).collect()} == {1: 1, 2: 1, 3: 3}
+    lines = {r.doc_id: r for r in line_dedup.remove_repeated_chunks(df).collect()}
+    assert lines[1]._clean == whole and lines[2]._removed > 0.99 * 90_000 and lines[3]._removed == 0
+    spans = {r.doc_id: r for r in span_dedup.remove_repeated_spans(df).collect()}
+    assert spans[1]._clean == whole and len(spans[2]._clean) < 200 and spans[3]._removed == 0
+    item = " ".join(whole.split()[600_000:600_040])
+    found = decontamination.contaminated(df, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(1, 7), (2, 7)}
+    assert {r.n_tokens for r in lm_scoring.lm_scores(df).filter("doc_id = 1").collect()} == {len(whole.split()) + 1}
+    assert {r.lang_pred for r in language_id.predict(df, language_id.fit(df)).filter("doc_id < 3").collect()} <= {"en", "und"}
+
+
+def test_marks_alone_are_no_text(spark):
+    rows = [(k, t, "en", "s", 1) for k, t in enumerate(["plain words of a language"] * 8 + ["\u0301\u0301", "\u0301 x", "12 3"])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(df, language_id.fit(df)).collect()}
+    assert (got[8], got[9], got[10]) == ("und", "en", "und")
+
+
+def test_every_language_is_learned_and_repeated_ids_are_sampled(spark):
+    rows = [(k, f"{chr(0x4E00 + 40 * k)}{chr(0x4E01 + 40 * k)} " * 4 + str(j), f"l{k}", "s", 1) for k in range(450) for j in range(3)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    identifier = language_id.fit(df, learn=F.lit(True), calibrate=F.lit(False))
+    assert len(identifier.languages) == 450
+    one_id = spark.createDataFrame([(1, f"text number {k} of many", "en", "s", 1) for k in range(3000)], SCHEMA).select(F.col("doc_id").alias("d"), F.col("text").alias("t"), F.col("lang").alias("l"))
+    assert 300 < language_id._sample(one_id, {"en": 3000}).count() < 700
+
+
 def test_columns_named_like_our_own_are_kept(spark):
     df = spark.createDataFrame(corpus(30), SCHEMA).withColumns({c: F.lit(c) for c in ("ks", "drop", "_rid", "_th", "_row", "firsts", "place")})
     for out in (line_dedup.remove_repeated_chunks(df), span_dedup.remove_repeated_spans(df)):

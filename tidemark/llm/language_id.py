@@ -7,7 +7,8 @@ language whose model needs the fewest bits per character. Since a word's bits de
 alone, a worker scores each distinct word once and remembers it.
 
 Training counts come from about ``SAMPLE_DOCS`` labelled documents a language, chosen by a hash of
-the id (a documented bound, as is ``MAX_LANGUAGES``: of more, those with most rows are learned); prediction covers all whole
+id and text (a documented bound; with more than ``SAMPLE_ALL / SAMPLE_DOCS`` languages each has its share of
+``SAMPLE_ALL``, but ``LEAST_DOCS`` at least). Every language that has a label is learned; prediction covers all whole
 texts. Rejection is calibrated on labelled documents that training left out: a text is rejected
 where its bits per character, against what is usual for its language and length, exceed
 ``SLACK`` times the ``QUANTILE`` of those documents, and ``LEAST_EXCESS`` bits (at ``STEADY`` characters)
@@ -33,8 +34,7 @@ from pyspark.sql import functions as F
 from tidemark.llm._common import chain, documents, fold_column, slices, words
 
 ORDER = 4
-SAMPLE_DOCS = 500
-MAX_LANGUAGES = 400
+SAMPLE_DOCS, SAMPLE_ALL, LEAST_DOCS = 500, 200_000, 20
 QUANTILE, SLACK = 0.999, 1.5
 LEAST_EXCESS = 2.0
 #: Beyond so many characters a longer text is not held to a narrower band.
@@ -44,7 +44,8 @@ UNSEEN = 1 / 5000  # the uniform share of a character that no text had
 
 
 def letters_only(distinct: pa.Array) -> pa.Array:
-    return pc.replace_substring_regex(pc.utf8_lower(distinct), r"[^\pL\pM]+", "")
+    """Letters and marks of each word in lower case, nothing where there is no letter."""
+    return pc.replace_substring_regex(pc.replace_substring_regex(pc.utf8_lower(distinct), r"[^\pL\pM]+", ""), r"^\pM+$", "")
 
 
 def _positions(spelled: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,10 +151,12 @@ class Identifier:
         return (bits - self.usual[best]) * np.sqrt(np.minimum(n, STEADY))
 
 
-def _sample(df: DataFrame, counts: dict[str, int], id_: str, lang: str, size: int) -> DataFrame:
-    """About ``size`` rows of each language, by a hash of the id."""
-    share = F.coalesce(*[F.when(F.col(lang) == k, F.lit(min(1.0, size / n))) for k, n in counts.items()])
-    return df.filter(F.pmod(F.xxhash64(F.col(id_), F.lit("fit")), F.lit(1 << 30)) < share * (1 << 30))
+def _sample(df: DataFrame, counts: dict[str, int]) -> DataFrame:
+    """Some rows (d, t, l, ...) of each language, by a hash of id and text."""
+    size = min(SAMPLE_DOCS, max(LEAST_DOCS, SAMPLE_ALL // len(counts)))
+    shares = df.sparkSession.createDataFrame([(k, min(1.0, size / n)) for k, n in counts.items()], "l string, share double")  # a row a language, as there are models
+    hashed = F.pmod(F.xxhash64("d", "t", F.lit("fit")), F.lit(1 << 30))
+    return df.join(F.broadcast(shares), "l").filter(hashed < F.col("share") * (1 << 30)).drop("share")
 
 
 def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", learn: Column | None = None, calibrate: Column | None = None) -> Identifier:
@@ -161,11 +164,10 @@ def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "
     known = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     held = calibrate if calibrate is not None else F.pmod(F.xxhash64(F.col(doc_id), F.lit("held")), F.lit(4)) == 0
     known = known.filter(learn if learn is not None else F.lit(True)).select(F.col(doc_id).alias("d"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"), held.alias("held"))
-    most = known.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES)
-    counts = {r["l"]: r["n"] for r in most.collect()}
+    counts = {r["l"]: r["n"] for r in known.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Identifier({})
-    sample = _sample(known, counts, "d", "l", SAMPLE_DOCS)
+    sample = _sample(known, counts)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t"):

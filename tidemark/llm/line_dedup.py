@@ -1,7 +1,8 @@
 """Operator 7. Line deduplication by content-defined chunks.
 
 A document's lines are hashed, and a rolling hash over ``ROLLING`` line hashes ends a chunk where it
-falls into one of every ``MEAN_LINES`` values, so the same passage is cut alike wherever it stands.
+falls into one of every ``MEAN_LINES`` values, so the same passage is cut alike wherever it stands. Runs of
+equal lines, whose rolling hash does not change, may have no such place; they are cut every ``MAX_LINES`` lines.
 Chunks of several lines that occur more than once anywhere are compared byte for byte, by grouping
 on the bytes themselves; all but the first (least doc_id, then place) are removed. Single lines and
 chunks of white space stay; only a lone last line goes where it and the chunk before it occurred together.
@@ -88,7 +89,7 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "_t"):
         out = []
         for r, t, text, want in zip(*(part.column(c).to_pylist() for c in ("_rid", "_th", "_t", "ks")), strict=True):
-            lines = text.split("\n")
+            lines, want = text.split("\n"), set(want)
             out += [(r, t, k, "\n".join(lines[a:b])) for k, a, b in compared(chunks(text)) if k in want]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)], ["_rid", "_th", "k", "body"])
