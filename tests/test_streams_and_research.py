@@ -264,3 +264,47 @@ def test_probit_of_all_origins_equals_single_fits(spark):
         assert abs(r.p - p) < 1e-6 and r.y == y[o] and abs(r.brier - (p - y[o]) ** 2) < 1e-6
     same = rs.probit_walk_forward(df.withColumn("y", F.lit(1.0)), "t", ["a", "b"], "y", 13)
     assert same.count() == 0 == rs.probit_walk_forward(df.limit(20), "t", ["a"], "y", 13).count()
+
+
+def test_prefix_fits_equal_single_fits(spark):
+    rng = np.random.default_rng(6)
+    y = 11 + 0.01 * np.arange(80) + rng.standard_normal(80)
+    df = spark.createDataFrame([("s", i + 1.0, float(v)) for i, v in enumerate(y)], "s string, i double, y double")
+    got = {r.origin: r for r in rs.prefix_fits(df, "s").collect()}
+    assert sorted(got) == list(range(3, 81))
+    for o in (3, 40, 80):
+        x = np.column_stack([np.ones(o), np.arange(1, o + 1.0)])
+        beta = np.linalg.lstsq(x, y[:o], rcond=None)[0]
+        e = y[:o] - x @ beta
+        factor = np.linalg.cholesky(e @ e / (o - 2) * np.linalg.inv(x.T @ x))
+        assert np.allclose([got[o].intercept, got[o].slope, got[o].l11, got[o].l21, got[o].l22], [*beta, factor[0, 0], factor[1, 0], factor[1, 1]], atol=1e-7)
+
+
+def test_calibration_widens_what_was_too_narrow(spark):
+    rng = np.random.default_rng(9)
+    n = 700
+    walk = np.cumsum(rng.standard_normal(n) * 0.05)  # a trend's intervals are far too narrow for a random walk
+    noise = 0.001 * np.arange(n) + rng.standard_normal(n) * 0.05
+    df = spark.createDataFrame([(s, i, float(v)) for s, values in (("walk", walk), ("noise", noise)) for i, v in enumerate(values)], "s string, t int, y double")
+    got = {r.s: r for r in rs.calibrated_fan(df, "s", "t", "y", [30], 300, 10, 200, 450).collect()}
+    assert got["noise"].origins == got["walk"].origins == len([o for o in range(250, n - 30, 10)])
+    assert got["noise"].emp_95 > 0.85 and 0.7 < got["noise"].scale_95 < 1.5
+    assert got["walk"].emp_95 < got["noise"].emp_95 and got["walk"].scale_50 > 1.2
+    for r in got.values():
+        assert r.lo95 < r.lo50 < r.median < r.hi50 < r.hi95
+    short = rs.calibrated_fan(df.filter("t < 100"), "s", "t", "y", [30], 50, 10, 200, 450).collect()
+    assert {(r.origins, r.scale_50, r.scale_95) for r in short} == {(0, 1.0, 1.0)}
+
+
+def test_snapshot_says_what_drives_it(spark):
+    from tidemark.operators import regimes as rg
+
+    day = lambda i: dt.date(2024, 1, 1) + dt.timedelta(days=i)
+    daily = spark.createDataFrame([(s, day(i), 100.0 * g**i) for s, g in (("BTC", 1.01), ("A", 1.02), ("B", 0.99)) for i in range(60)], "symbol string, date date, close double")
+    one = lambda v, label: spark.createDataFrame([(v, label)], "signal long, label string")
+    flows = spark.createDataFrame([(day(i), 20.0) for i in range(60)], "date date, net_flow double")
+    stock = daily.filter("symbol = 'A'").select("date", "close")
+    r = rg.snapshot(daily, "BTC", one(1, "expanding"), one(0, "MISSING"), flows, stock).first()
+    assert (r.as_of, r.n_universe, r.breadth_signal, r.stack_score, r.stack_label, r.headline) == (day(59), 3, 1, 2, "Constructive", "Risk-on")
+    assert abs(r.ret_7d - (1.01**7 - 1)) < 1e-9 and abs(r.ret_ytd - (1.01**59 - 1)) < 1e-9 and r.etf_7d == 140.0
+    assert r.drivers == "expanding liquidity; broad breadth; demand strong demand; 7d +7.2%"

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import series as ts
+from tidemark.operators.selection import quantiles
 from tidemark.operators.stores import written
 
 
@@ -130,26 +131,78 @@ def normal_draw(*key) -> Column:
     return F.sqrt(-2 * F.log(_uniform(*key, F.lit("radius")))) * F.cos(2 * math.pi * _uniform(*key, F.lit("angle")))
 
 
+def prefix_fits(x: DataFrame, by: str) -> DataFrame:
+    """(by, origin, slope, intercept, and the Cholesky factor l11, l21, l22 of their covariance): least squares on the
+    first ``origin`` rows of (by, i, y), for every origin over 2, from running sums alone."""
+    w = Window.partitionBy(by).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    first = F.first("y").over(w)  # values are taken from the first, so that sums stay small
+    y = F.col("y") - first
+    sums = {"n": F.count("y").over(w), "si": F.sum("i").over(w), "sy": F.sum("_y").over(w), "sii": F.sum(F.col("i") * F.col("i")).over(w), "siy": F.sum(F.col("i") * F.col("_y")).over(w), "syy": F.sum(F.col("_y") ** 2).over(w)}
+    p = x.withColumn("_y", y).withColumn("_first", first).withColumns(sums).filter("n > 2")
+    c = F.col
+    sxx, sxy, syy = c("sii") - c("si") ** 2 / c("n"), c("siy") - c("si") * c("sy") / c("n"), c("syy") - c("sy") ** 2 / c("n")
+    p = p.select(by, c("n").alias("origin"), (sxy / sxx).alias("slope"), (c("si") / c("n")).alias("mi"), sxx.alias("sxx"), F.greatest(syy - sxy**2 / sxx, F.lit(0.0)).alias("sse"), (c("_first") + c("sy") / c("n")).alias("my"))
+    s2 = c("sse") / (c("origin") - 2)
+    va, vb, cov = s2 * (1 / c("origin") + c("mi") ** 2 / c("sxx")), s2 / c("sxx"), -s2 * c("mi") / c("sxx")
+    p = p.withColumn("intercept", c("my") - c("slope") * c("mi")).withColumns({"l11": F.sqrt(va), "l21": F.coalesce(F.try_divide(cov, F.sqrt(va)), F.lit(0.0))})
+    return p.withColumn("l22", F.sqrt(F.greatest(vb - c("l21") ** 2, F.lit(0.0)))).select(by, "origin", "slope", "intercept", "l11", "l21", "l22")
+
+
+def fan_paths(fits: DataFrame, rows: DataFrame, by: str, horizons: Sequence[int], draws: int) -> DataFrame:
+    """(by, origin, horizon, draw, value): the trend of each fit so many rows on, with drawn coefficients and a drawn residual of its rows."""
+    paths = fits.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    paths = paths.withColumns({"z1": normal_draw(by, "origin", "draw", F.lit(1)), "z2": normal_draw(by, "origin", "draw", F.lit(2))})
+    paths = paths.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
+    paths = paths.withColumn("pick", F.pmod(F.xxhash64(by, "origin", "draw", "horizon"), F.col("origin")) + 1)
+    paths = paths.join(rows.select(by, F.col("i").cast("long").alias("pick"), F.col("y").alias("_y")), [by, "pick"])
+    residual = F.col("_y") - F.col("intercept") - F.col("slope") * F.col("pick")
+    a, b = F.col("intercept") + F.col("l11") * F.col("z1"), F.col("slope") + F.col("l21") * F.col("z1") + F.col("l22") * F.col("z2")
+    value = F.least(F.greatest(a + b * (F.col("origin") + F.col("horizon")) + residual, F.lit(-25.0)), F.lit(30.0))  # fixed values: bounds of a log price
+    return paths.select(by, "origin", "horizon", "draw", value.alias("value"))
+
+
+def _numbered(df: DataFrame, by: str, order: str, y: str) -> DataFrame:
+    return df.select(by, F.col(y).alias("y"), F.row_number().over(ts.w(by, order)).cast("double").alias("i"))
+
+
 def bootstrap_fan(df: DataFrame, by: str, order: str, y: str, horizons: Sequence[int], draws: int, shares: Sequence[float] = (0.05, 0.5, 0.95)) -> DataFrame:
     """(by, horizon, p05, p50, ...) of the trend: each draw takes coefficients from their normal distribution (Cholesky
     factor of the least-squares covariance) and, for each horizon, a residual by hash. Draws repeat, as they hang on keys."""
-    w = ts.w(by, order)
-    x = df.select(by, F.col(y).alias("y"), F.row_number().over(w).cast("double").alias("i"))
-    fit = x.groupBy(by).agg(
-        F.regr_slope("y", "i").alias("slope"), F.regr_intercept("y", "i").alias("intercept"), F.count("*").alias("n"), F.avg("i").alias("mi"), F.regr_sxx("y", "i").alias("sxx"),
-        (F.regr_syy("y", "i") - F.regr_sxy("y", "i") ** 2 / F.regr_sxx("y", "i")).alias("sse"),
-    )
-    s2 = F.greatest(F.col("sse"), F.lit(0.0)) / (F.col("n") - 2)
-    va, vb, cov = s2 * (1 / F.col("n") + F.col("mi") ** 2 / F.col("sxx")), s2 / F.col("sxx"), -s2 * F.col("mi") / F.col("sxx")
-    fit = fit.filter("n > 2").withColumns({"l11": F.sqrt(va), "l21": F.coalesce(F.try_divide(cov, F.sqrt(va)), F.lit(0.0))}).withColumn("l22", F.sqrt(F.greatest(vb - F.col("l21") ** 2, F.lit(0.0))))
-    residual = x.join(fit, by).select(by, F.col("i").cast("long").alias("pick"), (F.col("y") - F.col("intercept") - F.col("slope") * F.col("i")).alias("e"))
-    paths = fit.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    paths = paths.withColumns({"z1": normal_draw(by, "draw", F.lit(1)), "z2": normal_draw(by, "draw", F.lit(2))})
-    paths = paths.withColumns({"a": F.col("intercept") + F.col("l11") * F.col("z1"), "b": F.col("slope") + F.col("l21") * F.col("z1") + F.col("l22") * F.col("z2")})
-    paths = paths.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
-    paths = paths.withColumn("pick", F.pmod(F.xxhash64(by, "draw", "horizon"), F.col("n")) + 1).join(residual, [by, "pick"])
-    value = F.least(F.greatest(F.col("a") + F.col("b") * (F.col("n") + F.col("horizon")) + F.col("e"), F.lit(-25.0)), F.lit(30.0))  # fixed values: bounds of a log price
-    return paths.groupBy(by, "horizon").agg(*[F.percentile(value, p).alias(f"p{round(100 * p):02d}") for p in shares])  # ``draws`` values each
+    x = _numbered(df, by, order, y)
+    fits = prefix_fits(x, by)
+    last = fits.withColumn("_last", F.max("origin").over(Window.partitionBy(by))).filter("origin = _last").drop("_last")
+    paths = fan_paths(last, x, by, horizons, draws)
+    return paths.groupBy(by, "horizon").agg(*[F.percentile("value", p).alias(f"p{round(1000 * p):03d}" if 1000 * p % 10 else f"p{round(100 * p):02d}") for p in shares])  # ``draws`` values each
+
+
+def calibrated_fan(df: DataFrame, by: str, order: str, y: str, horizons: Sequence[int], draws: int, step: int, least: int, back: int) -> DataFrame:
+    """(by, horizon, origins, emp_50, emp_95, scale_50, scale_95, median, lo50, hi50, lo95, hi95): intervals of the last row's fan,
+    rescaled in log space by what earlier origins' intervals lacked.
+
+    Origins are every ``step`` rows from ``back`` rows before the end (``least`` at least) on, for each horizon as far as
+    its outcome is known. A score is an outcome's distance from the median over the interval's half width; the scales
+    are the 50th and 95th percentile of the scores, 1 where there is no origin.
+    """
+    x = written(_numbered(df, by, order, y), "numbered")
+    fits = written(prefix_fits(x, by), "fits")
+    last = fits.groupBy(by).agg(F.max("origin").alias("n"))
+    spread = [F.percentile("value", p).alias(n) for n, p in (("med", 0.5), ("lo50", 0.25), ("hi50", 0.75), ("lo95", 0.025), ("hi95", 0.975))]
+    widths = {f"half{k}": F.greatest((F.col(f"hi{k}") - F.col(f"lo{k}")) / 2, F.lit(1e-8)) for k in (50, 95)}
+    start = F.greatest(F.col("n") - back, F.lit(0))
+    origins = fits.join(last, by).filter((F.col("origin") >= least) & (F.col("origin") >= start) & (F.pmod(F.col("origin") - start, F.lit(step)) == 0) & (F.col("origin") + min(horizons) < F.col("n")))
+    tried = fan_paths(origins.drop("n"), x, by, horizons, draws).groupBy(by, "origin", "horizon").agg(*spread).withColumns(widths)  # ``draws`` values each
+    outcome = x.select(by, F.col("i").cast("long").alias("at"), F.col("y").alias("actual"))
+    scored = tried.withColumn("at", F.col("origin") + F.col("horizon")).join(outcome, [by, "at"])
+    gap = F.abs(F.col("actual") - F.col("med"))
+    scored = written(scored.select(by, "horizon", *[(gap / F.col(f"half{k}")).alias(f"s{k}") for k in (50, 95)], *[F.col("actual").between(F.col(f"lo{k}"), F.col(f"hi{k}")).cast("double").alias(f"h{k}") for k in (50, 95)]), "scores")
+    learned = scored.groupBy(by, "horizon").agg(F.count("*").alias("origins"), F.avg("h50").alias("emp_50"), F.avg("h95").alias("emp_95"))
+    for k in (50, 95):
+        learned = learned.join(quantiles(scored, [by, "horizon"], f"s{k}", [k / 100]).select(by, "horizon", F.col("q0").alias(f"scale_{k}")), [by, "horizon"])
+    now = fits.join(last, by).filter("origin = n").drop("n")
+    now = fan_paths(now, x, by, horizons, draws).groupBy(by, "horizon").agg(*spread).withColumns(widths)
+    out = now.join(learned, [by, "horizon"], "left").fillna({"origins": 0, "emp_50": 0.0, "emp_95": 0.0, "scale_50": 1.0, "scale_95": 1.0})
+    ends = [F.exp(F.col("med") + sign * F.col(f"half{k}") * F.col(f"scale_{k}")).alias(f"{n}{k}") for k in (50, 95) for n, sign in (("lo", -1), ("hi", 1))]
+    return out.select(by, "horizon", "origins", "emp_50", "emp_95", "scale_50", "scale_95", F.exp("med").alias("median"), *ends)
 
 
 def lagged_f_test(df: DataFrame, order: str, y: str, x: str, most: int) -> DataFrame:

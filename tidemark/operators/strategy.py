@@ -22,6 +22,7 @@ class Strategy:
     momentum: tuple[int, ...] = (20, 60)
     vol_window: int = 20
     volume_window: int = 20
+    oi_window: int = 5
     quantiles: int = 5
     vol_target: float = 0.10
     min_adv: float = 1_000_000.0
@@ -47,6 +48,8 @@ def _by_symbol():
 def features(panel: DataFrame, s: Strategy) -> DataFrame:
     out = panel.withColumn("ret", ts.pct_change("close", _by_symbol()))
     volume = {"mean": ts.rolling("volume", _by_symbol(), s.volume_window), "sd": ts.rolling("volume", _by_symbol(), s.volume_window, "stddev_samp")}
+    if "open_interest_usd" in panel.columns:
+        out = out.withColumn("oi_change", ts.pct_change("open_interest_usd", _by_symbol(), s.oi_window))
     return out.withColumns(
         {f"mom_{n}": ts.pct_change("close", _by_symbol(), n) for n in s.momentum}
         | {
@@ -71,7 +74,7 @@ def score(df: DataFrame, s: Strategy) -> DataFrame:
         a, b = (F.col(f"mom_{n}") for n in s.momentum[:2])
         return df.withColumn("alpha", F.when((a > 0) & (b > 0), 1.0).when((a < 0) & (b < 0), -1.0).otherwise(0.0))
     out = F.lit(0.0)
-    for c in [f"mom_{n}" for n in s.momentum] + ["volume_z"]:
+    for c in [*[f"mom_{n}" for n in s.momentum], "volume_z", *(["oi_change"] if "oi_change" in df.columns else [])]:
         out = out + ts.cs_zscore(c, "date")
     out = out - ts.cs_zscore("vol", "date")
     return df.withColumn("alpha", F.floor(out * 1e9 + 0.5) / 1e9)  # to nine places, so that ties do not hang on the order of sums
