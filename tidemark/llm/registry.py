@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.llm import oracles
 from tidemark.llm.collocations import op13_collocations
 from tidemark.llm.decontamination import op9_decontamination
 from tidemark.llm.language_id import op4_language_id
@@ -23,4 +24,4 @@ QUERIES = {
         op9_decontamination, op10_lm_scoring, op11_license_scan, op12_spelling_variants, op13_collocations,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
