@@ -7,7 +7,6 @@ from tidemark.functions import text as tx
 from tidemark.operators import relational as rel
 from tidemark.operators import series as ts
 from tidemark.operators import strategy as st
-from tidemark.plans.layers import Layers
 from tidemark.sources import posts
 from tidemark.streaming import jobs
 
@@ -37,6 +36,19 @@ def test_asof_never_looks_ahead(spark):
     assert {(r.s, r.t): r.v for r in rel.asof_join(left, right, ["s"], "t", ["v"]).collect()} == {("a", 1): None, ("a", 3): 30, ("a", 5): 30, ("b", 3): None}
 
 
+def test_asof_by_blocks_equals_asof(spark):
+    import random
+
+    rng = random.Random(4)
+    left = spark.createDataFrame([(rng.choice("ab"), rng.randint(0, 400), k) for k in range(300)], "s string, t int, id int")
+    right = spark.createDataFrame([(s, t, None if rng.random() < 0.3 else float(t), t % 7) for s in "ab" for t in rng.sample(range(400), 12)], "s string, t int, v double, u int")
+    block = F.floor(F.col("t") / 50)
+    for on in (["s"], []):
+        r = right if on else right.filter("s = 'a'")
+        want = rel.asof_join(left, r, on, "t", ["v", "u"])
+        assert rows(rel.asof_join(left, r, on, "t", ["v", "u"], block).fillna(-1)) == rows(want.fillna(-1))
+
+
 def test_band_join_is_exact(spark):
     t = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
     x = spark.createDataFrame([("a", t(s), s) for s in (0, 59, 60, 61, 3600)], "k string, ts timestamp, id int")
@@ -92,12 +104,6 @@ def test_seed_defaults_and_errors(spark, tmp_path):
         df.collect()
 
 
-def test_layers_build_in_order(spark):
-    made = []
-    layers = Layers().add("b", lambda d: made.append("b") or d["a"], needs=("a",), tags={"x"}).add("a", lambda d: made.append("a") or spark.range(1)).add("c", lambda d: made.append("c"))
-    assert set(layers.build({"x"})) == {"a", "b"} and made == ["a", "b"]
-
-
 def panel(spark, days=130):
     data = [(s, dt.date(2024, 1, 1) + dt.timedelta(days=d), 100.0 * (1 + 0.1 * i) * (1.001 + 0.0005 * i) ** d * (1 + 0.01 * ((d * 7 + i * 3) % 5)), 1e5 + 1e3 * ((d + i) % 7)) for i, s in enumerate("ABCDE") for d in range(days)]
     return spark.createDataFrame(data, "symbol string, date date, close double, volume double")

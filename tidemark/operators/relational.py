@@ -35,14 +35,26 @@ def pivot_metrics(df: DataFrame, by: str, name: str, value: str, names: Sequence
     return df.groupBy(by).pivot(name, list(names)).agg(F.max(value))
 
 
-def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], time: str, values: Sequence[str]) -> DataFrame:
-    """Each left row with the latest right values at or before its time: one shuffle, no range join."""
+def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], time: str, values: Sequence[str], block: Column | None = None) -> DataFrame:
+    """Each left row with the latest right values at or before its time: one shuffle, no range join.
+
+    With ``block``, a column that grows with the time, windows run within a key's blocks, and each block starts from the
+    last values of those before it: so keys of any size, or none at all, are dealt over as many tasks as there are blocks.
+    """
     lc = left.columns
     tagged = left.select(*lc, *[F.lit(None).cast(right.schema[v].dataType).alias(f"_{v}") for v in values], F.lit(1).alias("_side"))
     other = right.select(*[F.col(c) if c in (*on, time) else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in lc], *[F.col(v).alias(f"_{v}") for v in values], F.lit(0).alias("_side"))
-    w = (Window.partitionBy(*on) if on else Window.partitionBy(F.lit(0))).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    carried = tagged.unionByName(other).select(*lc, "_side", *[F.last(f"_{v}", ignorenulls=True).over(w).alias(v) for v in values])
-    return carried.filter("_side = 1").drop("_side")
+    both = tagged.unionByName(other).withColumn("_block", F.lit(0) if block is None else block)
+    w = Window.partitionBy(*on, "_block").orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    carried = both.select(*lc, "_side", "_block", *[F.last(f"_{v}", ignorenulls=True).over(w).alias(v) for v in values]).filter("_side = 1")
+    if block is None:
+        return carried.drop("_side", "_block")
+    known = other.withColumn("_block", block)
+    ends = known.groupBy(*on, "_block").agg(*[F.max_by(f"_{v}", F.when(F.col(f"_{v}").isNotNull(), F.col(time))).alias(f"_{v}") for v in values])  # a row a block
+    blocks = both.select(*on, "_block").distinct().join(ends, [*on, "_block"], "left")
+    earlier = Window.partitionBy(*on).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select(*on, "_block", *[F.last(f"_{v}", ignorenulls=True).over(earlier).alias(f"_{v}") for v in values])
+    return carried.join(starts, [*on, "_block"], "left").select(*lc, *[F.coalesce(v, f"_{v}").alias(v) for v in values])
 
 
 def band_join(left: DataFrame, right: DataFrame, on: Sequence[str], time: str, seconds: int, suffix: str = "_r") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def w(by: str | Sequence[str], order: str | Sequence[str]) -> Window:
@@ -127,18 +128,19 @@ def _recurrence(df: DataFrame, by: str, order: str, column: str, out: str, size:
     return done.unionByName(df.filter(F.col(column).isNull()).withColumn(out, F.lit(None).cast("double")))
 
 
-def _month(order: str) -> Column:
-    return F.date_trunc("month", F.col(order))
+def _blocks(df: DataFrame, order: str) -> Column:
+    """Months of a date or time; 1,024 steps of a number."""
+    return F.floor(F.col(order) / 1024) if isinstance(df.schema[order].dataType, T.NumericType) else F.date_trunc("month", F.col(order))
 
 
 def ema(df: DataFrame, by: str, order: str, column: str, out: str, size: int, block: Column | None = None) -> DataFrame:
-    """``block``: a column that grows with ``order`` and cuts series into bounded parts; months of a date by default."""
-    return _recurrence(df, by, order, column, out, size, 2 / (size + 1), _month(order) if block is None else block)
+    """``block``: a column that grows with ``order`` and cuts series into bounded parts; months of a date, or 1,024 steps of a number, by default."""
+    return _recurrence(df, by, order, column, out, size, 2 / (size + 1), _blocks(df, order) if block is None else block)
 
 
 def atr(df: DataFrame, by: str, order: str, out: str, size: int, block: Column | None = None) -> DataFrame:
     """Wilder's average true range of high, low, close."""
-    block = _month(order) if block is None else block
+    block = _blocks(df, order) if block is None else block
     x = numbered(df, by, order, block, ["close"])
     before = F.col("_before_close")
     true_range = F.greatest(F.col("high") - F.col("low"), F.coalesce(F.abs(F.col("high") - before), F.lit(0.0)), F.coalesce(F.abs(F.col("low") - before), F.lit(0.0)))

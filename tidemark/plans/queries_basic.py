@@ -102,7 +102,7 @@ def prj_14(t):
     return t.transfers.dropna(subset=["amount_usd"]).select("tx_hash", "transfer_index", "amount_usd")
 
 
-LEX = {"bull": ["moon", "bullish", "long", "buy", "pump", "breakout", "accumulate"], "bear": ["dump", "bearish", "short", "sell", "crash", "rug", "exit"]}
+LEX = {"bull": tx.BULLISH, "bear": tx.BEARISH}
 HITS = {k: " + ".join(f"cast(contains(lower(text), '{w}') as int)" for w in v) for k, v in LEX.items()}
 
 

@@ -9,10 +9,11 @@ from tidemark.functions import text as tx
 from tidemark.operators import relational as rel
 from tidemark.operators import research as rs
 from tidemark.operators import series as ts
+from tidemark.operators import stores
 from tidemark.operators import strategy as st
 from tidemark.operators.clusters import others_near
 from tidemark.operators.selection import quantiles
-from tidemark.plans.queries_basic import RET, monthly
+from tidemark.plans.queries_basic import RET
 from tidemark.plans.queries_joins import SD
 from tidemark.plans.queries_windows import FOLD  # noqa: F401
 from tidemark.plans.registry import query
@@ -167,9 +168,9 @@ def dp_11(t):
 
 @query("dp_12_transaction_legs", "select tx_hash, 'inflow' as direction, transfer_index as leg, to_address as address, amount from transfers where chain = 'bitcoin' and to_address in (select address from registry) union all select tx_hash, 'outflow', transfer_index, from_address, amount from transfers where chain = 'bitcoin' and from_address in (select address from registry)", "amount")
 def dp_12(t):
-    tx_ = t.transfers.filter("chain = 'bitcoin'").groupBy("tx_hash").agg(F.collect_list(F.struct("transfer_index", "from_address", "to_address", "amount")).alias("legs"))
-    both = tx_.select("tx_hash", F.explode("legs").alias("l")).select("tx_hash", F.explode(F.array(F.struct(F.lit("inflow").alias("direction"), F.col("l.to_address").alias("address")), F.struct(F.lit("outflow").alias("direction"), F.col("l.from_address").alias("address")))).alias("s"), F.col("l.transfer_index").alias("leg"), F.col("l.amount").alias("amount"))
-    return both.select("tx_hash", "s.direction", "leg", "s.address", "amount").join(t.registry.select("address").distinct(), "address", "left_semi")
+    side = lambda direction, address: F.struct(F.lit(direction).alias("direction"), F.col(address).alias("address"))
+    legs = t.transfers.filter("chain = 'bitcoin'").select("tx_hash", F.col("transfer_index").alias("leg"), "amount", F.explode(F.array(side("inflow", "to_address"), side("outflow", "from_address"))).alias("s"))
+    return legs.select("tx_hash", "s.direction", "leg", "s.address", "amount").join(t.registry.select("address").distinct(), "address", "left_semi")
 
 
 @query("dp_13_balance_deltas", "select address, chain, sum(d) as delta from (select to_address as address, chain, amount as d from transfers union all select from_address, chain, -amount from transfers) x where (address, chain) in (select (address, chain) from registry) group by 1, 2", "delta")
@@ -347,11 +348,13 @@ def dp_30(t):
 
 @query("snk_09_layers", "select 'panel' as model, count(*) as n from panel union all select 'monthly', count(*) from (select symbol, date_trunc('month', date) from panel group by 1, 2) x")
 def snk_09(t):
-    from tidemark.plans.layers import Layers
-
-    built = Layers().add("panel", lambda _: t.panel, tags={"market"}).add("monthly", lambda _: monthly(t), needs=("panel",), tags={"market"}).build(tags={"market"})
-    one = lambda n: built[n].agg(F.count("*").alias("n")).select(F.lit(n).alias("model"), "n")
-    return one("panel").unionByName(one("monthly"))
+    """Two layers: a panel that is written, and a monthly table made of what was written."""
+    path = stores.scratch(t.spark, "panel")
+    t.panel.write.parquet(path)
+    panel = t.spark.read.schema(t.panel.schema).parquet(path)
+    months = panel.select("symbol", F.trunc("date", "month").alias("month")).distinct()
+    one = lambda df, n: df.agg(F.count("*").alias("n")).select(F.lit(n).alias("model"), "n")
+    return one(panel, "panel").unionByName(one(months, "monthly"))
 
 
 @query("snk_10_report", f"select 'net' as name, avg(net) as value from ({DAILY}) d union all select 'turnover', avg(turnover) from ({DAILY}) e", "value")

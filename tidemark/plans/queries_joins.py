@@ -189,18 +189,22 @@ def snk_05(t):
     return rel.upsert(t.assets.select("symbol", "as_of_date", F.lit(False).alias("active")), today, ["symbol", "as_of_date"])
 
 
-@query("snk_06_cross_store_merge", "select series_id, date, value from macro", "value")
+@query("snk_06_cross_store_merge", "select series_id, date, case when date >= date '1999-01-01' then value * 2 else value end as value from macro", "value")
 def snk_06(t):
     m = t.macro.select("series_id", "date", "value")
-    return rel.upsert(m.filter("date < date '2000-01-01'"), m.filter("date >= date '1999-01-01'"), ["series_id", "date"])
+    mine = stores.Store.create(m.filter("date < date '2000-01-01'"), stores.scratch(t.spark, "mine"), ["series_id", "date"], time="date", period="year")
+    other = stores.Store.create(m.filter("date >= date '1999-01-01'").withColumn("value", F.col("value") * 2), stores.scratch(t.spark, "other"), ["series_id", "date"], time="date", period="year")
+    mine.upsert(stores.Store.open(t.spark, other.folder).read())
+    return mine.read()
 
 
 @query("snk_07_incremental", "select symbol, date, case when date >= date '2024-01-12' then close + 1 else close end as close, volume, case when date >= date '2024-01-12' then 1 end::bigint as extra from bars", "close volume")
 def snk_07(t):
     b = t.bars.select(*SD, "close", "volume")
     source = b.withColumn("close", F.col("close") + 1).withColumn("extra", F.lit(1))
-    merged = rel.incremental_merge(b.filter(OLD).withColumn("extra", F.lit(None).cast("int")), source, SD, "date")
-    return merged.select(*SD, "close", "volume", "extra")
+    target = store(t, "incremental", b.filter(OLD), SD)
+    target.merge_since(source, "date", 7)
+    return target.read().select(*SD, "close", "volume", "extra")
 
 
 @query("snk_08_scd2", """select address, entity_type, valid_from, valid_to from (select address, entity_type, timestamp '2024-01-01' as valid_from, case when c % 4 = 0 or c % 4 = 1 then timestamp '2024-02-01' end as valid_to, c from (select *, cast(substr(address, 2) as int) as c from registry) a where c % 4 <> 3
@@ -217,4 +221,7 @@ def snk_08(t):
 
 @query("snk_11_keyed_update", "select address, chain, case when address = 'w7' then true else active end as active from registry")
 def snk_11(t):
-    return t.registry.select("address", "chain", F.when(F.col("address") == "w7", True).otherwise(F.col("active")).alias("active"))
+    r = t.registry.select("address", "chain", "active")
+    s = stores.Store.create(r, stores.scratch(t.spark, "update"), ["address"], buckets=4)
+    s.update(r.filter("address = 'w7'").withColumn("active", F.lit(True)), ["active"])
+    return s.read()
