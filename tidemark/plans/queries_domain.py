@@ -311,7 +311,14 @@ def dp_26(t):
     return rs.trend(t.panel.withColumn("y", F.log("close")), "symbol", "date", "y", 30).select("symbol", "slope", "intercept", "r2")
 
 
-@query("dp_26_hac_errors")
+NEWEY_WEST = """with x as (select symbol, ln(close) as y, row_number() over (partition by symbol order by date) as i from panel),
+    fit as (select symbol, regr_slope(y, i) as slope, regr_intercept(y, i) as intercept, avg(i) as mi, regr_sxx(y, i) as sxx from x group by symbol),
+    u as (select x.symbol, i, (y - intercept - slope * i) * (i - mi) as u from x join fit using (symbol)),
+    s as (select a.symbol, sum(case when a.i = b.i then a.u * b.u else 2 * (1 - (a.i - b.i) / 31.0) * a.u * b.u end) as s from u a join u b on a.symbol = b.symbol and b.i between a.i - 30 and a.i group by a.symbol)
+    select symbol, slope, sqrt(greatest(s, 0)) / sxx as se from fit join s using (symbol)"""
+
+
+@query("dp_26_hac_errors", NEWEY_WEST, "slope se")
 def dp_26_hac(t):
     return rs.trend(t.panel.withColumn("y", F.log("close")), "symbol", "date", "y", 30).select("symbol", "slope", "se")
 
@@ -340,7 +347,15 @@ def dp_29(t):
     return scale.join(covered, "symbol")
 
 
-@query("dp_30_predictability")
+F_TEST = """with wide as (select date, max(case when symbol = '1-URGENT' then close end) as x, max(case when symbol = '2-HIGH' then close end) as y from panel group by date),
+    i as (select row_number() over (order by date) as i, x, y from wide where x is not null and y is not null),
+    m as (select k.lag, i.y, j.y as a, j.x as b from range(1, 13) k(lag) join i on true join i j on j.i = i.i - k.lag),
+    c as (select lag, count(*) as n, var_pop(y) as yy, var_pop(a) as aa, var_pop(b) as bb, covar_pop(y, a) as ya, covar_pop(y, b) as yb, covar_pop(a, b) as ab from m group by lag),
+    r as (select lag, n, yy - ya * ya / aa as restricted, yy - (ya * (ya * bb - yb * ab) + yb * (yb * aa - ya * ab)) / (aa * bb - ab * ab) as full_model from c)
+    select lag, (restricted - full_model) / (full_model / (n - 3)) as f, n from r"""
+
+
+@query("dp_30_predictability", F_TEST, "f")
 def dp_30(t):
     wide = t.panel.groupBy("date").pivot("symbol", ["1-URGENT", "2-HIGH"]).agg(F.max("close")).dropna().toDF("date", "x", "y")
     return rs.lagged_f_test(wide, "date", "y", "x", 12)
