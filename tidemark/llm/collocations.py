@@ -2,7 +2,7 @@
 
 A text is cut into pieces at punctuation and line ends, and pieces into words. A stripe belongs to a language and a
 prefix of up to three words; it counts which words follow, and under null all other occurrences of the prefix (at a
-piece's end, or before a word too rare to matter). Tasks send stripes as arrays, they meet by prefix and are added up
+piece's end, or before a word too rare to matter). Tasks send stripes, many together, to the bucket of their prefix, where they are added up
 element by element. One structure has it all: entries are extensions of the prefix by a word, a stripe's sum is the
 prefix's own count, and its largest entry the most that one longer phrase takes of it.
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import _bloom
-from tidemark.llm._common import checkpointed, documents, mix, owners, shuffle_partitions, slices, word_hashes
+from tidemark.llm._common import checkpointed, documents, mix, slices, word_hashes
 
 #: Longest phrase, least occurrences of one, and how many phrases of a language are reported.
 LONGEST, LEAST, TOP = 4, 30, 2000
@@ -37,6 +37,8 @@ SUBSUMED = 80
 FILTER_BYTES, MOST_FREQUENT = 64 << 20, 20_000
 #: Occurrences of a prefix that go to one key at least.
 KEY_OCCURRENCES = 1 << 14
+#: Buckets of a language: at least so many, and one for so many documents or words.
+LEAST_BUCKETS, BUCKET_DOCS, BUCKET_WORDS = 64, 4096, 500_000
 SLICE = 8 << 20
 
 #: Kinds of bytes. Pieces end at 2, words at 1 and 2.
@@ -53,11 +55,14 @@ def pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarra
     offsets = offsets - offsets[0]
     kind = KINDS[data]
     inside = kind == 0
-    begins = np.zeros(len(data) + 1, bool)  # of texts
-    begins[offsets[:-1]] = True
-    starts = np.flatnonzero(inside & (begins[:-1] | np.r_[True, ~inside[:-1]][: len(data)]))
-    lengths = np.add.reduceat(inside, starts, dtype=np.int64) if len(starts) else np.zeros(0, np.int64)
-    piece = np.cumsum((kind == 2).astype(np.int64) + begins[:-1])[starts]
+    cut = np.zeros(len(data) + 1, bool)  # a text begins
+    cut[offsets] = True
+    before, after = cut[:-1].copy(), cut[1:].copy()  # a word begins or ends here, if it stands here
+    before[1:] |= ~inside[:-1]
+    after[:-1] |= ~inside[1:]
+    starts = np.flatnonzero(inside & before)
+    lengths = np.flatnonzero(inside & after) + 1 - starts
+    piece = np.searchsorted(np.flatnonzero((kind == 2) | cut[:-1]), starts, side="right").astype(np.int32)
     text = np.searchsorted(offsets, starts, side="right") - 1
     strings = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.r_[0, np.cumsum(lengths)].astype(np.int64)), pa.py_buffer(data[inside]))
     coded = strings.dictionary_encode()
@@ -109,12 +114,14 @@ def _counted(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     return [c[order[starts]] for c in columns], np.diff(np.r_[starts, len(order)])
 
 
-def stripes(docs: DataFrame, levels: range, frequent=None, shares=None, least_keys: int = 1) -> DataFrame:
-    """(lang, prefix, size, part, next, n) of (lang, text), one row for each element of a stripe, summed up.
+def stripes(docs: DataFrame, levels: range, frequent=None, shares=None, buckets: int = 0) -> DataFrame:
+    """(lang, prefix, size, bucket, next, n) of (lang, text), one row for each element of a stripe, summed up.
 
     ``levels``: sizes of prefixes. ``frequent``: broadcast filter of frequent phrases one word longer than the
-    parts (None: every place counts). ``shares``: broadcast (hashes in order, keys) of the very frequent prefixes.
+    parts (None: every place counts). ``shares``: broadcast (hashes in order, keys, size) of the very frequent prefixes.
+    Tasks send the stripes of a language and bucket together, a line each: the prefix, its next words, their counts.
     """
+    buckets = max(buckets, LEAST_BUCKETS)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for slice_ in slices(batches, "text", SLICE):
@@ -153,38 +160,40 @@ def stripes(docs: DataFrame, levels: range, frequent=None, shares=None, least_ke
         if not len(count):
             return
         lang_, prefix, nxt = columns[0], columns[1:-1], columns[-1]
-        # keys of a stripe: one, but for very frequent prefixes
-        next_hash = np.where(nxt >= 0, hashes[np.maximum(nxt, 0)] if len(hashes) else 0, 0).astype(np.uint64)
-        part = np.zeros(len(nxt), np.int64)
-        if size == 0:
-            part = (mix(next_hash ^ np.uint64(5)) % np.uint64(least_keys)).astype(np.int64)
-        elif shares is not None and len(shares.value[0]):
-            h = lang_hashes[lang_]
-            for p in prefix[: shares.value[2]]:
-                h = extended(h, hashes[p])
-            place = np.minimum(np.searchsorted(shares.value[0], h), len(shares.value[0]) - 1)
-            keys = np.where(shares.value[0][place] == h, shares.value[1][place], 1).astype(np.uint64)
-            part = (mix(next_hash ^ np.uint64(5)) % keys).astype(np.int64)
-        if part.any():
-            order = np.lexsort([nxt, part, *prefix[::-1], lang_])
-            lang_, prefix, nxt, part, count = lang_[order], [p[order] for p in prefix], nxt[order], part[order], count[order]
-        new = np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in (lang_, part, *prefix)])]
-        starts = np.flatnonzero(new)
-        ends = pa.array(np.r_[starts, len(nxt)], pa.int32())
-        next_words = words.take(pa.array(nxt, mask=nxt < 0))
-        text_of_prefix = _prefix_strings(words, [p[starts] for p in prefix]) if size else pa.array([""] * len(starts), pa.string())
+        # a stripe goes to one bucket, but for those of very frequent prefixes, which next words' hashes deal out
+        h = lang_hashes[lang_]
+        keys = np.uint64(buckets if not size else 1)
+        for k, p in enumerate(prefix):
+            h = extended(h, hashes[p])
+            if shares is not None and k + 1 == shares.value[2] and len(shares.value[0]):
+                place = np.minimum(np.searchsorted(shares.value[0], h), len(shares.value[0]) - 1)
+                keys = np.where(shares.value[0][place] == h, shares.value[1][place], 1).astype(np.uint64)
+        next_hash = np.where(nxt >= 0, hashes[np.maximum(nxt, 0)], 0).astype(np.uint64)
+        bucket = (mix(h + mix(next_hash ^ np.uint64(5)) % keys) % np.uint64(buckets)).astype(np.int32)
+        order = np.lexsort([nxt, *prefix[::-1], bucket, lang_])
+        lang_, bucket, prefix, nxt, count = lang_[order], bucket[order], [p[order] for p in prefix], nxt[order], count[order]
+        sends = np.r_[True, (lang_[1:] != lang_[:-1]) | (bucket[1:] != bucket[:-1])]
+        starts = np.flatnonzero(np.logical_or.reduce([sends, *[np.r_[True, p[1:] != p[:-1]] for p in prefix]]))
+        joined = lambda ends, column, by: pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), column), by)
+        ends = np.r_[starts, len(nxt)]
+        nexts = joined(ends, pc.fill_null(words.take(pa.array(nxt, mask=nxt < 0)), ""), " ")
+        counts = joined(ends, pa.array(count, pa.int64()).cast(pa.string()), " ")
+        prefixes = _prefix_strings(words, [p[starts] for p in prefix]) if size else pa.array([""] * len(starts), pa.string())
+        lines = pc.binary_join_element_wise(prefixes, nexts, counts, "\t")
+        first = np.flatnonzero(sends[starts])
+        lang_, bucket = lang_[starts[first]], bucket[starts[first]]
         yield pa.RecordBatch.from_arrays(
-            [
-                lang_names.take(pa.array(lang_[starts])), text_of_prefix, pa.array(np.full(len(starts), size), pa.int32()), pa.array(part[starts], pa.int32()),
-                pa.ListArray.from_arrays(ends, next_words), pa.ListArray.from_arrays(ends, pa.array(count, pa.int64())),
-            ],
-            ["lang", "prefix", "size", "part", "nexts", "counts"],
-        )
+            [lang_names.take(pa.array(lang_)), pa.array(bucket, pa.int32()), pa.array(np.full(len(first), size), pa.int32()), joined(np.r_[first, len(starts)], lines, "\n")],
+            ["lang", "bucket", "size", "lines"],
+        )
 
-    sent = docs.mapInArrow(send, "lang string, prefix string, size int, part int, nexts array<string>, counts array<bigint>")
-    met = sent.repartition("lang", "prefix", "part")  # stripes travel whole and are opened where they are added up
-    opened = met.select("lang", "prefix", "size", "part", F.explode(F.arrays_zip("nexts", "counts")).alias("e"))
-    return opened.groupBy("lang", "prefix", "part", "size", F.col("e.nexts").alias("next")).agg(F.sum("e.counts").alias("n"))
+    sent = docs.mapInArrow(send, "lang string, bucket int, size int, lines string")
+    met = sent.repartition("lang", "bucket")  # stripes travel whole and are opened where they are added up
+    lines = met.select("lang", "bucket", "size", F.explode(F.split("lines", "\n")).alias("line")).select("lang", "bucket", "size", F.split("line", "\t").alias("s"))
+    elements = F.arrays_zip(F.split(F.col("s")[1], " ").alias("next"), F.split(F.col("s")[2], " ").alias("n"))
+    opened = lines.select("lang", "bucket", "size", F.col("s")[0].alias("prefix"), F.explode(elements).alias("e"))
+    opened = opened.select("lang", "bucket", "size", "prefix", F.nullif("e.next", F.lit("")).alias("next"), F.col("e.n").cast("long").alias("n"))
+    return opened.groupBy("lang", "bucket", "size", "prefix", "next").agg(F.sum("n").alias("n"))
 
 
 def _frequent_at(known: KnownPhrases, word, piece, lang, hashes, lang_hashes) -> np.ndarray:
@@ -240,8 +249,7 @@ def _told(phrases: DataFrame, size: int, total: int, filter_bytes: int):
 def frequent_phrases(df: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, filter_bytes: int = FILTER_BYTES) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, size, f) of all phrases of up to ``LONGEST`` words that occur ``least`` times or more in a language, (lang, n): its words)."""
     docs = df.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    keys = 8 * shuffle_partitions(df.sparkSession)
-    words = checkpointed(stripes(docs, range(1), least_keys=keys))
+    words = checkpointed(stripes(docs, range(1), buckets=docs.count() // BUCKET_DOCS))
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     n = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
@@ -249,9 +257,9 @@ def frequent_phrases(df: DataFrame, text: str = "text", lang: str = "lang", leas
         return s.filter(F.col("next").isNotNull() & (F.col("n") >= least)).select("lang", phrase().alias("phrase"), (F.col("size") + 1).alias("size"), F.col("n").alias("f"))
 
     levels = [kept(words)]
-    for sizes in (range(1, 2), range(2, LONGEST)):
-        known, shares = _told(levels[-1], sizes.start, n, filter_bytes)
-        levels.append(checkpointed(kept(stripes(docs, sizes, known, shares))))
+    for size in range(1, LONGEST):
+        known, shares = _told(levels[-1], size, n, filter_bytes)
+        levels.append(checkpointed(kept(stripes(docs, range(size, size + 1), known, shares, n // BUCKET_WORDS))))
     out = levels[0]
     for more in levels[1:]:
         out = out.unionByName(more)
