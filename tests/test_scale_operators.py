@@ -23,10 +23,10 @@ def test_quantiles_equal_numpy(spark, few):
         "geometric": 4096.0 ** -np.arange(60), "near": 1.0 + np.arange(300) * 2.0**-52, "infinite": np.r_[np.arange(40.0), np.inf, -np.inf, np.inf],
     }
     rows = [(g, float(v)) for g, values in groups.items() for v in values] + [("even", None), ("even", float("nan")), ("none", None)]
-    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    df = spark.createDataFrame(rows, "h string, v double").repartition(5)
     shares = [0.0, 0.05, 0.5, 0.9, 1.0]
-    got = {r["g"]: r for r in sel.quantiles(df, ["g"], "v", shares, few=few).collect()}
-    near = {r["g"]: r for r in sel.quantiles(df, ["g"], "v", shares, "nearest", few).collect()}
+    got = {r["h"]: r for r in sel.quantiles(df, ["h"], "v", shares, few=few).collect()}
+    near = {r["h"]: r for r in sel.quantiles(df, ["h"], "v", shares, "nearest", few).collect()}
     assert set(got) == set(near) == set(groups)
     for g, values in groups.items():
         ordered = np.sort(values)
@@ -38,7 +38,7 @@ def test_quantiles_equal_numpy(spark, few):
     whole = sel.quantiles(df, [], "v", [0.5], "nearest", few).collect()
     every = np.sort(np.concatenate(list(groups.values())))
     assert [(r["n"], r["q0"]) for r in whole] == [(len(every), every[int((len(every) - 1) * 0.5 + 0.5)])]
-    assert sel.quantiles(df.limit(0), [], "v", [0.5]).count() == 0 == sel.quantiles(df.limit(0), ["g"], "v", [0.5]).count()
+    assert sel.quantiles(df.limit(0), [], "v", [0.5]).count() == 0 == sel.quantiles(df.limit(0), ["h"], "v", [0.5]).count()
 
 
 def fold(values, size, alpha):
@@ -90,10 +90,10 @@ def test_distinct_near_equals_all_pairs(spark):
     t0 = dt.datetime(2024, 1, 1)
     rows = [(k, "ab"[int(rng.integers(2))], t0 + dt.timedelta(seconds=int(rng.integers(6000))), int(rng.integers(12))) for k in range(400)]
     rows += [(1000 + k, "a", t0 + dt.timedelta(seconds=300), 3) for k in range(50)] + [(2000, "a", None, 1), (2001, "b", t0, None), (2002, None, t0, 1)]
-    df = spark.createDataFrame(rows, "id long, k string, ts timestamp, who long").repartition(3)
+    df = spark.createDataFrame(rows, "id long, s string, ts timestamp, who long").repartition(3)
     for before, after in ((0, 600), (300, 300), (0, 0)):
-        got = {r["id"]: r["n"] for r in clusters.distinct_near(df, ["k"], "ts", "who", before, after, "n").collect()}
-        others = {r["id"]: r["n"] for r in clusters.others_near(df, ["k"], "ts", "who", before, "n").collect()} if before == after else None
+        got = {r["id"]: r["n"] for r in clusters.distinct_near(df, ["s"], "ts", "who", before, after, "n").collect()}
+        others = {r["id"]: r["n"] for r in clusters.others_near(df, ["s"], "ts", "who", before, "n").collect()} if before == after else None
         assert len(got) == len(rows)
         for i, k, at, who in rows:
             if k is None:
@@ -101,6 +101,6 @@ def test_distinct_near_equals_all_pairs(spark):
             near = {w for _, k2, at2, w in rows if k2 == k and at is not None and at2 is not None and w is not None and -before <= (at2 - at).total_seconds() <= after}
             assert got[i] == len(near)
             assert others is None or others[i] == len(near - {who})
-    out = clusters.others_near(df, ["k"], "ts", "who", 300, "n")
+    out = clusters.others_near(df, ["s"], "ts", "who", 300, "n")
     assert "Join" not in plan(out) and "collect_set" not in plan(out)
     assert out.filter(F.col("n") > 11).isEmpty()

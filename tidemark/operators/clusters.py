@@ -19,15 +19,15 @@ def distinct_near(df: DataFrame, by: Sequence[str], time: str, who: str, before:
     """
     by, width = list(by), (before + after + 1) * 1_000_000
     at = df.select(*by, F.unix_micros(F.col(time).cast("timestamp")).alias("_t"), F.col(who).alias("_w"), F.struct(*df.columns).alias("_row"))
-    reach = at.filter("_t is not null and _w is not null").select(*by, "_w", (F.col("_t") - after * 1_000_000).alias("s"), (F.col("_t") + before * 1_000_000).alias("e")).distinct()
+    reach = at.filter("_t is not null and _w is not null").select(*by, "_w", (F.col("_t") - after * 1_000_000).alias("_s"), (F.col("_t") + before * 1_000_000).alias("_e")).distinct()
     bucket = lambda c: F.floor(F.col(c) / width)
-    cut = reach.select(*by, "_w", "s", "e", F.explode(F.sequence(bucket("s"), bucket("e"))).alias("_b"))
-    cut = cut.select(*by, "_b", "_w", F.greatest("s", F.col("_b") * width).alias("s"), F.least("e", (F.col("_b") + 1) * width - 1).alias("e"))
-    w = Window.partitionBy(*by, "_b", "_w").orderBy("s", "e")
-    new = F.when(F.col("s") > F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)), 1).otherwise(0)
+    cut = reach.select(*by, "_w", "_s", "_e", F.explode(F.sequence(bucket("_s"), bucket("_e"))).alias("_b"))
+    cut = cut.select(*by, "_b", "_w", F.greatest("_s", F.col("_b") * width).alias("_s"), F.least("_e", (F.col("_b") + 1) * width - 1).alias("_e"))
+    w = Window.partitionBy(*by, "_b", "_w").orderBy("_s", "_e")
+    new = F.when(F.col("_s") > F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1)), 1).otherwise(0)
     runs = cut.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = runs.groupBy(*by, "_b", "_w", "_run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    ends = F.explode(F.array(F.struct(F.col("s").alias("_t"), F.lit(0).alias("_k"), F.lit(1).alias("_d")), F.struct(F.col("e").alias("_t"), F.lit(2).alias("_k"), F.lit(-1).alias("_d"))))
+    runs = runs.groupBy(*by, "_b", "_w", "_run").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"))
+    ends = F.explode(F.array(F.struct(F.col("_s").alias("_t"), F.lit(0).alias("_k"), F.lit(1).alias("_d")), F.struct(F.col("_e").alias("_t"), F.lit(2).alias("_k"), F.lit(-1).alias("_d"))))
     steps = runs.select(*by, "_b", ends.alias("x")).select(*by, "_b", "x.*", F.lit(None).cast(at.schema["_row"].dataType).alias("_row"))
     rows = at.select(*by, bucket("_t").alias("_b"), "_t", F.lit(1).alias("_k"), F.lit(0).alias("_d"), "_row")
     running = F.sum("_d").over(Window.partitionBy(*by, "_b").orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, 0))
