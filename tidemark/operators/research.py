@@ -51,7 +51,7 @@ def standardised(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 #: Most rounds of a fit, and the change of a coefficient at which it ends.
-ROUNDS, SETTLED = 100, 1e-10
+ROUNDS, SETTLED = 100, 1e-8
 
 
 def probit_fits(rows: DataFrame, by: str, label: str, features: Sequence[str], ridge: float = 0.0) -> DataFrame:

@@ -100,9 +100,10 @@ def _with_rebalance(df: DataFrame) -> DataFrame:
 
 
 def _scaled(df: DataFrame, s: Strategy) -> DataFrame:
-    book = df.filter("sleeve <> 0").groupBy("date").agg(F.median("vol").alias("book_vol"))
+    """Adds target: the raw weight times the volatility target over the median volatility of the date's book."""
+    own = F.median(F.when(F.col("sleeve") != 0, F.col("vol"))).over(Window.partitionBy("date"))  # the dates' rows are together already
     scale = F.when(F.col("book_vol") > 1e-12, F.greatest(F.lit(0.1), F.least(F.lit(5.0), s.vol_target / 365**0.5 / F.col("book_vol")))).otherwise(1.0)
-    return df.join(book, "date", "left").withColumn("target", F.col("raw") * scale)
+    return df.withColumn("book_vol", own).withColumn("target", F.col("raw") * scale)
 
 
 def weights(df: DataFrame, s: Strategy) -> DataFrame:
@@ -190,13 +191,11 @@ def metrics(d: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 def folds(d: DataFrame, s: Strategy) -> DataFrame:
     """(fold, train_end, test_start, test_end): expanding windows over the dates, an embargo between."""
-    dates = d.select("date").distinct().withColumn("i", F.row_number().over(Window.orderBy("date")) - 1)  # a row a date
-    n = dates.agg(F.count("*").alias("n"))
-    last = F.col("n") - s.embargo - s.test
-    starts = n.filter(last >= s.train).select(F.posexplode(F.sequence(F.lit(s.train), last.cast("int"), F.lit(max(s.step, 1)))).alias("fold", "at"))
-    for name, offset in (("train_end", -1), ("test_start", s.embargo), ("test_end", s.embargo + s.test - 1)):
-        starts = starts.join(dates.select((F.col("i") - offset).alias("at"), F.col("date").alias(name)), "at")
-    return starts.drop("at")
+    dates = d.select("date").distinct().agg(F.sort_array(F.collect_list("date")).alias("dates"))  # one row, a date a day
+    last = F.size("dates") - s.embargo - s.test
+    starts = dates.filter(last >= s.train).select("dates", F.posexplode(F.sequence(F.lit(s.train), last, F.lit(max(s.step, 1)))).alias("fold", "at"))
+    place = lambda offset: F.element_at("dates", (F.col("at") + offset + 1).cast("int"))
+    return starts.select("fold", place(-1).alias("train_end"), place(s.embargo).alias("test_start"), place(s.embargo + s.test - 1).alias("test_end"))
 
 
 def evaluate(d: DataFrame, s: Strategy) -> DataFrame:
@@ -205,10 +204,9 @@ def evaluate(d: DataFrame, s: Strategy) -> DataFrame:
     Where the dates are too few for a fold, fold -1 is the whole sample. The book is computed once.
     """
     d = written(d, "daily")
-    f = folds(d, s)
-    if f.isEmpty():
+    if d.count() < s.train + s.embargo + s.test:
         return metrics(d.withColumn("fold", F.lit(-1)), ("fold",))
-    f = written(f, "folds")
+    f = folds(d, s)
     inside = d.join(F.broadcast(f), (F.col("date") >= F.col("test_start")) & (F.col("date") <= F.col("test_end")))  # a row a quarter
     each = metrics(inside, ("fold",))
     return each.unionByName(metrics(inside.dropDuplicates(["date"]).withColumn("fold", F.lit(-1)), ("fold",)))
