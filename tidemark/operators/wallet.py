@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.stores import written
+
 
 def bitcoin_transfers(transactions: DataFrame, watched: DataFrame) -> DataFrame:
     """(tx_hash, direction, leg, address, counterparty, amount) of (tx_hash, inputs, outputs) and (address).
@@ -18,22 +20,22 @@ def bitcoin_transfers(transactions: DataFrame, watched: DataFrame) -> DataFrame:
     """
     own = watched.select("address").distinct().withColumn("watched", F.lit(True))
 
-    def legs(side: str) -> DataFrame:
-        each = transactions.select("tx_hash", F.posexplode(side).alias("_at", "x")).select("tx_hash", "_at", "x.*")
-        each = each.filter(~F.coalesce("coinbase", F.lit(False))) if "coinbase" in each.columns else each
-        return each.join(own, "address", "left")
-
-    sides = {"inflow": (legs("outputs"), legs("inputs")), "outflow": (legs("inputs"), legs("outputs"))}
-    out = []
-    for direction, (mine, theirs) in sides.items():
-        known = theirs.filter("address is not null")
-        first = known.groupBy("tx_hash").agg(F.min_by("address", "_at").alias("first"), F.min_by("address", F.when(F.col("watched").isNull(), F.col("_at"))).alias("free"))
-        # of the addresses that are not the first, the first: for legs whose own address is the first
-        second = known.join(first.select("tx_hash", "first"), "tx_hash").filter("address <> first").groupBy("tx_hash").agg(F.min_by("address", "_at").alias("second"))
-        joined = mine.filter("watched").join(first, "tx_hash", "left").join(second, "tx_hash", "left")
-        other = F.coalesce("free", F.when(F.col("first") != F.col("address"), F.col("first")).otherwise(F.col("second")))
-        out.append(joined.select("tx_hash", F.lit(direction).alias("direction"), F.col("n").alias("leg"), "address", other.alias("counterparty"), F.col("value").alias("amount")))
-    return out[0].unionByName(out[1])
+    def side(name: str) -> DataFrame:
+        each = transactions.select("tx_hash", F.posexplode(name).alias("_at", "x")).select("tx_hash", "_at", "x.address", "x.n", "x.value", *(["x.coinbase"] if has_coinbase else []))
+        return (each.filter(~F.coalesce("coinbase", F.lit(False))).drop("coinbase") if has_coinbase else each).withColumn("side", F.lit(name))
+
+    has_coinbase = "coinbase" in transactions.select(F.explode("inputs").alias("x")).select("x.*").columns
+    legs = written(side("outputs").unionByName(side("inputs")).join(own, "address", "left"), "legs")  # read several times
+    known = legs.filter("address is not null")
+    free = F.min_by("address", F.when(F.col("watched").isNull(), F.col("_at")))
+    first = known.groupBy("tx_hash", "side").agg(F.min_by("address", "_at").alias("first"), free.alias("free"))
+    # of the addresses that are not the first, the first: for legs whose own address is the first
+    second = known.join(first.select("tx_hash", "side", "first"), ["tx_hash", "side"]).filter("address <> first").groupBy("tx_hash", "side").agg(F.min_by("address", "_at").alias("second"))
+    mine = legs.filter("watched").withColumn("direction", F.when(F.col("side") == "outputs", "inflow").otherwise("outflow"))
+    mine = mine.withColumn("side", F.when(F.col("side") == "outputs", "inputs").otherwise("outputs"))  # the other side's addresses are its counterparties
+    joined = mine.join(first, ["tx_hash", "side"], "left").join(second, ["tx_hash", "side"], "left")
+    other = F.coalesce("free", F.when(F.col("first") != F.col("address"), F.col("first")).otherwise(F.col("second")))
+    return joined.select("tx_hash", "direction", F.col("n").alias("leg"), "address", other.alias("counterparty"), F.col("value").alias("amount"))
 
 
 def solana_transfers(transactions: DataFrame, watched: DataFrame) -> DataFrame:
