@@ -130,6 +130,7 @@ def mark(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
     large = F.octet_length("payload") >= least_bytes
     first = rows.filter(large).groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").select("sha", "refers_to")
+    first = checkpointed(first)  # so that Spark shuffles both sides of the join itself and can split a payload that many pages have
     revisit = F.coalesce(large & F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to")), F.lit(False))
     return rows.join(first, "sha", "left").select("page_id", "url", "payload", F.when(revisit, F.col("refers_to")).alias("refers_to"), revisit.alias("revisit"))
 
