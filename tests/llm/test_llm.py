@@ -364,20 +364,105 @@ def test_decontamination_finds_short_and_long_items(spark):
 
 
 def test_candidates_are_all_pairs():
-    rng = np.random.default_rng(4)
-    products = (rng.standard_normal((300, 6, decontamination.GROUP)) * 0.3).astype(np.float32)
-    n = rng.integers(0, 9, 500)
-    cuts, place = np.concatenate([[0], np.cumsum(n)]), rng.integers(0, 300, n.sum())
-    text, square = np.repeat(np.arange(50), 10), rng.random(500) * 3 + 0.5
-    for width in (1, 2, 8):
+    rng = np.random.default_rng(3)
+    items = rng.standard_normal((7, 5)).astype(np.float32)
+    items /= np.linalg.norm(items, axis=1, keepdims=True)
+    part = rng.uniform(0.2, 0.9, 7)
+    text = np.sort(rng.integers(0, 9, 200))
+    steps = rng.standard_normal((200, 5)).astype(np.float32)
+    steps[rng.random(200) < 0.3] = 0  # steps without a word of the vocabulary
+    square = (steps.astype(np.float64) ** 2).sum(1) * rng.uniform(1, 40, 200) + 0.1
+    for width in (1, 2, 4):
         want = {}
-        for w in range(500):
-            last = min(w + width, (text[w] + 1) * 10)
-            cosine = products[place[cuts[w] : cuts[last]]].sum(0) / np.sqrt(square[w:last].sum())
-            want |= {(w, int(g), int(i)): cosine[g, i] for g, i in zip(*np.nonzero(cosine >= decontamination.COSINE), strict=True)}
-        *pairs, cosine = decontamination.candidates(products, place, cuts, square, text, width)
-        got = dict(zip(zip(*(x.tolist() for x in pairs), strict=True), cosine, strict=True))
-        assert {k for k, c in want.items() if c > decontamination.COSINE + 1e-4} <= set(got) <= {*want} | {k for k, c in got.items() if c < decontamination.COSINE + 1e-4}
+        for w in range(200):
+            own = [k for k in range(w, min(w + width, 200)) if text[k] == text[w]]
+            x, size = steps[own].sum(0, dtype=np.float64), np.sqrt(square[own].sum())
+            length = np.linalg.norm(x)
+            for i in range(7):
+                if length > 0 and length / size >= decontamination.INSIDE * part[i] and (c := x @ items[i] / length) >= decontamination.COSINE:
+                    want[w, i] = c
+        *pairs, cosine = decontamination.candidates(steps, square, text, width, items, part)
+        got = dict(zip(zip(*(p.tolist() for p in pairs), strict=True), cosine.tolist(), strict=True))
+        assert {k for k, c in want.items() if c > decontamination.COSINE + 1e-4} <= set(got) and len(got) == len(cosine)
+        assert all(abs(want.get(k, decontamination.COSINE) - c) < 1e-4 for k, c in got.items())
+
+
+def test_common_words_equal_counters():
+    rng = random.Random(4)
+    at = np.array([rng.randint(-1, 9) for _ in range(400)])
+    counts = np.array([[rng.choice([0, 0, 1, 3]) for _ in range(10)] for _ in range(5)])
+    lo = np.array([rng.randint(0, 380) for _ in range(5000)])
+    hi, item = lo + np.array([rng.randint(1, 20) for _ in lo]), np.array([rng.randint(0, 4) for _ in lo])
+    want = [sum(min(n, counts[i, w]) for w, n in Counter(at[a:b].tolist()).items() if w >= 0) for a, b, i in zip(lo, hi, item, strict=True)]
+    assert decontamination.common_words(at, lo, hi, item, counts).tolist() == want
+
+
+def _related(seed: int):
+    """Passages of six topics; a topic's words come in pairs of synonyms, of which a passage has one each."""
+    rng = random.Random(seed)
+    word = lambda n: "".join(rng.choices("bcdfgaeiou", k=n))
+    common = [word(3) for _ in range(40)]
+    topics = [[(word(8), word(8)) for _ in range(14)] for _ in range(40)]
+    passage = lambda t: " ".join(rng.choice(p) for p in rng.sample(t, 14)) + " " + " ".join(rng.choices(common, k=18))
+    return rng, common, topics, [passage(t) for t in topics for _ in range(40)]
+
+
+def _matrix(texts, vocabulary, idf):
+    """Unit TF-IDF passages over the vocabulary, the words outside it in the norm alone."""
+    h, index, offsets = decontamination._words(pa.array(texts))
+    rows = []
+    for a in range(len(texts)):
+        for b in range(offsets[a], offsets[a + 1], decontamination.PASSAGE):
+            own = h[index[b : min(b + decontamination.PASSAGE, offsets[a + 1])]]
+            weight, at = decontamination._gather(own, np.arange(len(own)), vocabulary, idf)
+            row = np.zeros(len(vocabulary))
+            np.add.at(row, at[at >= 0], weight[at >= 0])
+            rows.append(row / np.sqrt((weight.astype(float) ** 2).sum()))
+    return np.array(rows)
+
+
+@pytest.mark.parametrize("gram", [4096, 0])
+def test_latent_space_is_the_svd(spark, monkeypatch, gram):
+    monkeypatch.setattr(decontamination, "GRAM", gram)
+    _, _, topics, texts = _related(5)
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "d long, t string").repartition(3)
+    idf = decontamination._weights(df)
+    items = decontamination._Items([(k, " ".join(p[0] for p in t), None) for k, t in enumerate(topics)])
+    vectors, values = decontamination.latent_space(df, items.words, items.vocabulary, idf)
+    own = [np.bincount(np.searchsorted(items.vocabulary, w), minlength=len(items.vocabulary)) * idf[decontamination._cell(items.vocabulary)] for w in items.words]
+    passages = _matrix(texts, items.vocabulary, idf)
+    whole = np.concatenate([np.array([x / np.linalg.norm(x) for x in own]), passages * np.sqrt(len(own) / len(passages))])
+    _, exact, right = np.linalg.svd(whole, full_matrices=False)
+    rank = decontamination.rank_for(len(own), len(items.vocabulary))
+    assert vectors.shape == (len(items.vocabulary), rank) and rank < len(own) / 2
+    assert np.allclose(vectors.T @ vectors, np.eye(rank), atol=1e-6)
+    assert np.allclose(values, exact[:rank], rtol=0.03)
+    assert ((whole @ vectors) ** 2).sum() > 0.97 * (exact[:rank] ** 2).sum()  # as much as the best space of this rank, nearly
+
+
+def test_paraphrases_that_share_few_rare_words(spark):
+    """An item's rare words are all replaced by synonyms, which other items have and which stand with its topic's words elsewhere; what is shared is common words."""
+    rng, common, topics, texts = _related(6)
+    topics, texts = topics[:20], texts[: 20 * 40]
+    items, leaks, plain = [], [], []
+    for k, t in enumerate(topics):
+        filler = rng.sample(common, 14)
+        say = lambda side, filler: " ".join(x for p, c in zip(t, filler, strict=True) for x in (p[side], c))  # noqa: B023, E731
+        items.append((k, say(0, filler), " ".join(filler[-3:])))
+        leaks.append((5000 + k, say(1, filler)))
+    for k, t in enumerate(topics * 3):
+        filler = rng.sample(common, 14)
+        items.append((100 + k, " ".join(x for p, c in zip(t, filler, strict=True) for x in (p[k // 20 % 2], c)), "no such words"))
+    docs = spark.createDataFrame([*enumerate(texts), *leaks], "doc_id long, text string").repartition(3)
+    got = decontamination.contaminated(docs, spark.createDataFrame(items, "item_id long, text string, a string"), answer="a").collect()
+    found = {(r.doc_id, r.item_id) for r in got}
+    assert sum((5000 + k, k) in found for k in range(len(topics))) >= 0.9 * len(topics)
+    idf = decontamination._weights(docs.select(F.col("text").alias("t")))
+    for (_, item, _), (_, leak) in zip(items[: len(leaks)], leaks, strict=True):
+        vocabulary = np.unique(np.concatenate([decontamination._words(pa.array([x]))[0] for x in (item, leak)]))
+        a, b = _matrix([item, leak], vocabulary, idf)
+        plain.append(a @ b)
+    assert max(plain) < 0.22  # cosines of TF-IDF
 
 
 def test_common_subsequence():

@@ -2,13 +2,16 @@
 
 Inverse document frequencies are counted over every passage of every document, by hash of the word.
 A randomised SVD is taken of the TF-IDF passages over the benchmark's vocabulary: the benchmark's own, and
-those of all documents, through sums of their products word by word (or, for a vocabulary of more than ``GRAM``
-words, distributed products A'(A x)). The latent space has room for every item of a block of ``ITEM_BLOCK``.
+those of all documents. The range of A' (rows of A are unit passages) is found by power iteration from a random start, Q; B = A Q has
+a row a passage, so it is decomposed through B'B = Q'(A'A)Q, a small matrix whose products Spark sums over all passages (word by word,
+or, for a vocabulary of more than ``GRAM`` words, as distributed products A'(A x)). Its eigenvectors turn Q into the right singular vectors,
+of which the first max(``LEAST_RANK``, items / ``PER_RANK``) are kept: words that go together in the corpus share directions.
+The space has the benchmark's words alone, so a synonym brings a paraphrase nearer only where some item of the block has it.
 A document's words are read in overlapping windows ``STEP`` words apart (half as far where an item is shorter than
-``SHORT``); their lengths double, and an item is sought in those of about its own length. A cosine is a sum over the
-window's words of their products with the item. Items go in groups of ``GROUP``: the sum of each word's largest product in a group
-is no less than any cosine of the group, so groups below ``COSINE`` are left out and the others computed in full. Pairs with a
-cosine of ``COSINE`` or more are candidates. Each is then checked on the words around the window: the longest common subsequence must cover ``EXACT`` of the
+``SHORT``); their lengths double, and an item is sought in those of about its own length. Windows and items are both laid into the
+space and normalised there. Pairs with a cosine of ``COSINE`` or more are candidates, but for windows that have less than ``INSIDE``
+of the item's own part of their length in the space: those hold next to nothing of the benchmark's words. Each candidate is then checked on
+the words around the window: the longest common subsequence must cover ``EXACT`` of the
 item, or ``LOOSE`` of it where the item's answer is found too, which is what remains of a
 paraphrase. The answer is a column of the benchmark, or else its last sentence.
 
@@ -16,11 +19,13 @@ A block of the benchmark is broadcast, its size so bounded; there is a pass for
 
 Null or empty texts and items match nothing, nor do items without letters or digits. Rows with a null
 doc_id are given with a null doc_id. Repeated rows and repeated items give their pairs once each.
-Empty tables give no rows. Other columns are ignored. Texts are searched whole.
+Of several windows of a document that hold an item, the largest figures are given. A vocabulary without words, or without any weight,
+spans no space and nothing is found. Empty tables give no rows. Other columns are ignored. Texts are searched whole.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,12 +39,11 @@ from tidemark.llm._common import documents, slices, word_hashes, words
 #: Document frequencies are counted for so many hash values of words.
 COUNT_BITS = 18
 ITEM_BLOCK = 512
-SPARE = 32
+#: Directions kept: one for so many items, but so many at least; directions sought beyond those; rounds of power iteration.
+PER_RANK, LEAST_RANK, SPARE, POWER = 4, 16, 16, 2
 STEP, SHORT = 8, 14
 PASSAGE = 32
-COSINE = 0.22
-#: Items whose products with a word are bounded together.
-GROUP = 8
+COSINE, INSIDE = 0.5, 0.2
 #: Products of passages are summed word by word up to so many words of the vocabulary.
 GRAM = 4096
 EXACT, LOOSE = 0.6, 0.45
@@ -75,10 +79,14 @@ def _sum_blocks(partial: DataFrame, kind: type) -> np.ndarray:
     """The sum of the arrays that tasks gave as _blocks."""
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(z, kind) for z in table["z"].to_pylist()], axis=0, dtype=np.float64)
+        arrays = table["z"].to_pylist()
+        wide = np.float64 if "g" not in table.schema.names else kind
+        total = np.sum([np.frombuffer(z, wide) for z in arrays], axis=0, dtype=np.float64)
         return pa.table({"b": table["b"].slice(0, 1), "z": pa.array([total.tobytes()], pa.binary())})
 
-    rows = partial.groupBy("b").applyInArrow(add, "b int, z binary").collect()  # 64 rows, of an array of fixed size
+    some = partial.withColumn("g", F.spark_partition_id() % F.lit(math.isqrt(partial.rdd.getNumPartitions()) + 1))
+    some = some.groupBy("b", "g").applyInArrow(add, "b int, z binary")  # in two steps: few arrays meet in a task at either
+    rows = some.groupBy("b").applyInArrow(add, "b int, z binary").collect()  # 65 rows, of an array of fixed size
     return np.concatenate([np.frombuffer(r["z"], np.float64) for r in sorted(rows, key=lambda r: r["b"])]) if rows else np.zeros(0)
 
 
@@ -145,14 +153,18 @@ def _gram(docs: DataFrame, vocabulary: np.ndarray, idf: np.ndarray) -> tuple[np.
     return out, max(sums[-1], 1) if len(sums) else 1
 
 
-def latent_space(docs: DataFrame, items: list[np.ndarray], vocabulary: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """(word of the vocabulary, direction): randomised SVD of unit TF-IDF passages, the weights included.
+def rank_for(items: int, vocabulary: int) -> int:
+    return min(vocabulary, max(LEAST_RANK, items // PER_RANK))
+
+
+def latent_space(docs: DataFrame, items: list[np.ndarray], vocabulary: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Right singular vectors (word of the vocabulary, direction) and singular values of the unit TF-IDF passages.
 
     The documents' passages together weigh as much as the items.
     """
-    own = idf[_cell(vocabulary)]
+    own = idf[_cell(vocabulary)].astype(np.float64)
     place = [np.searchsorted(vocabulary, w) for w in items]
-    rank = min(len(vocabulary), len(items) + SPARE)
+    rank = rank_for(len(items), len(vocabulary))
 
     def of_items(x: np.ndarray) -> np.ndarray:
         z = np.zeros_like(x)
@@ -199,10 +211,16 @@ def latent_space(docs: DataFrame, items: list[np.ndarray], vocabulary: np.ndarra
             return np.zeros_like(x)
         return z[:-1].reshape(x.shape) * (len(items) / max(z[-1], 1))
 
-    q, _ = np.linalg.qr(np.random.default_rng(11).standard_normal((len(vocabulary), rank)))
-    for _ in range(2):
-        q, _ = np.linalg.qr(of_items(q) + of_passages(q))
-    return (q * own[:, None]).astype(np.float32)
+    def normal(x: np.ndarray) -> np.ndarray:
+        return of_items(x) + of_passages(x)
+
+    q, _ = np.linalg.qr(np.random.default_rng(11).standard_normal((len(vocabulary), min(len(vocabulary), rank + SPARE))))
+    for _ in range(POWER):
+        q, _ = np.linalg.qr(normal(q))
+    small = q.T @ normal(q)
+    squares, turn = np.linalg.eigh((small + small.T) / 2)
+    best = np.argsort(-squares, kind="stable")[:rank]
+    return q @ turn[:, best], np.sqrt(np.maximum(squares[best], 0))
 
 
 def common_subsequence(item: np.ndarray, text: np.ndarray) -> int:
@@ -242,18 +260,22 @@ class _Items:
         self.step = STEP // 2 if (self.kind == 0).any() else STEP
         self.vocabulary = np.unique(np.concatenate(self.words)) if self.words else np.zeros(0, np.uint64)
 
-        self.counts = np.zeros((len(real), len(self.vocabulary)), np.int64)
+        self.counts = np.zeros((len(real), len(self.vocabulary)), np.int32)
         for k, own in enumerate(self.words):
             np.add.at(self.counts[k], np.searchsorted(self.vocabulary, own), 1)
 
-    def project(self, space: np.ndarray, idf: np.ndarray) -> None:
-        """For each kind: its items (the last repeated to fill the groups) and the (word, group, item) products with them."""
-        x = np.stack([space[np.searchsorted(self.vocabulary, w)].sum(0) / np.sqrt(max((idf[_cell(w)] ** 2).sum(), 1e-9)) for w in self.words])
+    def project(self, vectors: np.ndarray, idf: np.ndarray) -> None:
+        """Words in latent space, and for each kind its items: their numbers, directions, and the part of their length that is in the space."""
+        weight = idf[_cell(self.vocabulary)]
+        self.space = (vectors * weight[:, None]).astype(np.float32)
+        x = self.counts.astype(np.float32) @ self.space
+        inside = np.linalg.norm(x, axis=1)
+        size = np.sqrt((self.counts * weight.astype(np.float64) ** 2).sum(1))
+        there = inside > 1e-6 * np.maximum(size, 1e-9)
         self.groups = []
-        for kind in np.unique(self.kind).tolist():
-            own = np.flatnonzero(self.kind == kind)
-            own = np.append(own, np.repeat(own[-1], -len(own) % GROUP))
-            self.groups.append((kind, own.reshape(-1, GROUP), (space @ x[own].T).reshape(len(space), -1, GROUP)))
+        for kind in np.unique(self.kind[there]).tolist():
+            own = np.flatnonzero(there & (self.kind == kind))
+            self.groups.append((kind, own, x[own] / inside[own, None], inside[own] / size[own]))
 
     def check(self, item: int, text: np.ndarray) -> tuple[float, bool]:
         """Share of the item in the text, and whether its answer is there."""
@@ -269,6 +291,22 @@ def _runs(first: np.ndarray, n: np.ndarray) -> Iterator[tuple[slice, np.ndarray,
         yield r, np.repeat(first[r] - (ends - n[r]), n[r]) + np.arange(ends[-1]), ends - n[r]
 
 
+def common_words(at: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many words the stretches lo : hi of a text have in common with their items, each as often as the item has it at most.
+
+    at: the text's words in the vocabulary, or -1; counts[item, word].
+    """
+    out = np.zeros(len(lo), np.int64)
+    for r, k, start in _runs(lo, hi - lo):
+        pair = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(k))))
+        own, word = item[r], at[k]
+        hit = np.flatnonzero((word >= 0) & (counts[own[pair], word] > 0))
+        key, times = np.unique(pair[hit] * counts.shape[1] + word[hit], return_counts=True)
+        pair, word = np.divmod(key, counts.shape[1])
+        out[r] = np.bincount(pair, weights=np.minimum(times, counts[own[pair], word]), minlength=len(start))
+    return out
+
+
 def window_sums(x: np.ndarray, text: np.ndarray, width: int) -> np.ndarray:
     """Sums of x over windows of ``width`` steps (a power of two) from every step on, which end with their text."""
     have = 1
@@ -279,26 +317,22 @@ def window_sums(x: np.ndarray, text: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def candidates(products: np.ndarray, place: np.ndarray, cuts: np.ndarray, square: np.ndarray, text: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """(window, group, item of the group, cosine) of all pairs with a cosine of COSINE or more.
+def candidates(steps: np.ndarray, square: np.ndarray, text: np.ndarray, width: int, items: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(window, item, cosine) of all pairs with a cosine of COSINE or more, where the window is as far within the space as asked.
 
-    place: the steps' words in the vocabulary, those of step i from cuts[i] on; square: the steps' squared norms.
+    steps: the steps in latent space; square: their squared norms outside it; part: the part of each item that is inside.
     """
-    most = products.max(2)
-    bound = np.zeros((len(square), most.shape[1]), np.float32)
-    some = np.flatnonzero(np.diff(cuts))
-    for r, at, start in _runs(cuts[some], np.diff(cuts)[some]):
-        bound[some[r]] = np.add.reduceat(most[place[at]], start, axis=0)
-    size = np.sqrt(np.maximum(window_sums(square.astype(np.float64), text, width), 1e-9))
-    w, g = np.nonzero(window_sums(bound, text, width) >= ((COSINE - 1e-4) * size)[:, None])
-    last = np.minimum(w + width, np.searchsorted(text, text[w], side="right"))
-    w, g, last = (v[cuts[last] > cuts[w]] for v in (w, g, last))
-    out = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0),)]
-    for r, at, start in _runs(cuts[w], cuts[last] - cuts[w]):
-        n = np.diff(np.append(start, len(at)))
-        cosine = np.add.reduceat(products[place[at], np.repeat(g[r], n)], start, axis=0) / size[w[r]][:, None]
-        p, i = np.nonzero(cosine >= COSINE)
-        out.append((w[r][p], g[r][p], i, cosine[p, i]))
+    inside = window_sums(steps, text, width)
+    length = np.linalg.norm(inside, axis=1)
+    share = length / np.sqrt(np.maximum(window_sums(square.astype(np.float64), text, width), 1e-9))
+    live = np.flatnonzero((share >= INSIDE * part.min(initial=1)) & (length > 0))
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+    for a in range(0, len(live), 4096):
+        own = live[a : a + 4096]
+        cosine = (inside[own] / length[own, None]) @ items.T
+        w, i = np.nonzero(cosine >= COSINE)
+        far = share[own[w]] >= INSIDE * part[i]
+        out.append((own[w[far]], i[far], cosine[w[far], i[far]]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -320,24 +354,22 @@ def _find(docs: DataFrame, items: _Items, idf: np.ndarray) -> DataFrame:
             place = at[inside]
             cuts = np.searchsorted(inside, ends)
             square = np.add.reduceat(weight**2, starts)
+            steps = np.zeros((len(starts), items.space.shape[1]), np.float32)
+            some = np.flatnonzero(np.diff(cuts))
+            for r, k, start in _runs(cuts[some], np.diff(cuts)[some]):
+                steps[some[r]] = np.add.reduceat(items.space[place[k]], start, axis=0)
             found: dict[tuple[int, int], tuple] = {}
-            for kind, groups, products in items.groups:
+            for kind, numbers, directions, inner in items.groups:
                 width = (STEP << kind) // items.step
-                w, g, i, cosine = candidates(products, place, cuts, square, text, width)
-                own = groups[g, i]
+                w, i, cosine = candidates(steps, square, text, width, directions, inner)
+                own = numbers[i]
                 last = np.minimum(w + width, np.searchsorted(text, text[w], side="right"))
                 lo, hi = np.maximum(offsets[text[w]], starts[w] - lengths[own]), np.minimum(offsets[text[w] + 1], ends[last] + lengths[own])
-                common = np.zeros(len(w), np.int64)  # words of the item there, in any order
-                for r, k, start in _runs(lo, hi - lo):
-                    n = np.diff(np.append(start, len(k)))
-                    common[r] = np.add.reduceat((at[k] >= 0) & (items.counts[np.repeat(own[r], n), at[k]] > 0), start, dtype=np.int64)
+                common = common_words(at, lo, hi, own, items.counts)
                 for p in np.flatnonzero(common >= LOOSE * lengths[own]):
                     t, item = int(text[w[p]]), int(own[p])
                     if (before := found.get((t, item))) and before[1] >= EXACT:
                         continue
-                    here = at[lo[p] : hi[p]]
-                    if np.minimum(items.counts[item], np.bincount(here[here >= 0], minlength=len(items.vocabulary))).sum() < LOOSE * lengths[item]:
-                        continue  # too few words in common, each as often as the item has it
                     share, answer = items.check(item, h[index[lo[p] : hi[p]]])
                     if (share >= EXACT or share >= LOOSE and answer) and (not before or share > before[1]):
                         found[t, item] = (float(cosine[p]), share, answer)
@@ -362,12 +394,12 @@ def contaminated(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     if not blocks:
         return out
     idf = _weights(docs)
-    fit = docs.coalesce(max(12, docs.count() // 100_000))  # each task gives sums of a fixed size
+    fit = docs.coalesce(max(12, docs.rdd.getNumPartitions() // 8))  # each task gives sums of a fixed size; the scan's parts go by bytes
     for b in range(blocks):
         rows = given.filter(F.pmod(F.xxhash64("i", "x"), F.lit(blocks)) == b).orderBy("i", "x").collect()  # about ITEM_BLOCK rows
         items = _Items([tuple(r) for r in rows])
         if items.words:
-            items.project(latent_space(fit, items.words, items.vocabulary, idf), idf)
+            items.project(latent_space(fit, items.words, items.vocabulary, idf)[0], idf)
             out = out.unionByName(_find(docs, items, idf))
     return out.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("shared").alias("shared"), F.max("answer").alias("answer"))
 
