@@ -381,7 +381,7 @@ def test_candidates_are_all_pairs():
             for i in range(7):
                 if length > 0 and length / size >= decontamination.INSIDE * part[i] and (c := x @ items[i] / length) >= decontamination.COSINE:
                     want[w, i] = c
-        *pairs, cosine = decontamination.candidates(steps, square, text, width, items, part)
+        *pairs, cosine = decontamination.candidates(decontamination.window_sums(steps, text, width), decontamination.window_sums(square, text, width), items, part)
         got = dict(zip(zip(*(p.tolist() for p in pairs), strict=True), cosine.tolist(), strict=True))
         assert {k for k, c in want.items() if c > decontamination.COSINE + 1e-4} <= set(got) and len(got) == len(cosine)
         assert all(abs(want.get(k, decontamination.COSINE) - c) < 1e-4 for k, c in got.items())

@@ -297,42 +297,52 @@ def common_words(at: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarra
     at: the text's words in the vocabulary, or -1; counts[item, word].
     """
     out = np.zeros(len(lo), np.int64)
-    for r, k, start in _runs(lo, hi - lo):
-        pair = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(k))))
-        own, word = item[r], at[k]
-        hit = np.flatnonzero((word >= 0) & (counts[own[pair], word] > 0))
-        key, times = np.unique(pair[hit] * counts.shape[1] + word[hit], return_counts=True)
-        pair, word = np.divmod(key, counts.shape[1])
-        out[r] = np.bincount(pair, weights=np.minimum(times, counts[own[pair], word]), minlength=len(start))
+    before = np.concatenate([[0], np.cumsum(at >= 0)])
+    place, lo, hi = at[at >= 0], before[lo], before[hi]
+    has, size = counts > 0, counts.shape[1]
+    some = np.flatnonzero(hi > lo)
+    for r, k, start in _runs(lo[some], (hi - lo)[some]):
+        own, word = item[some[r]], place[k]
+        n = np.diff(np.append(start, len(k)))
+        hit = np.flatnonzero(has.ravel()[np.repeat(own * size, n) + word])
+        key = np.repeat(np.arange(len(n)) * size, n)[hit] + word[hit]
+        key, times = np.unique(key.astype(np.int32) if len(n) * size < 1 << 31 else key, return_counts=True)
+        pair, word = np.divmod(key.astype(np.int64), size)
+        out[some[r]] = np.bincount(pair, weights=np.minimum(times, counts[own[pair], word]), minlength=len(n))
     return out
 
 
 def window_sums(x: np.ndarray, text: np.ndarray, width: int) -> np.ndarray:
     """Sums of x over windows of ``width`` steps (a power of two) from every step on, which end with their text."""
-    have = 1
+    return widen(x, text, 1, width)
+
+
+def widen(x: np.ndarray, text: np.ndarray, have: int, width: int) -> np.ndarray:
+    """The same from the sums over windows of ``have`` steps."""
     while have < width:
         longer = x.copy()
-        longer[:-have] += x[have:] * (text[have:] == text[:-have]).reshape(-1, *[1] * (x.ndim - 1))
+        same = np.flatnonzero(text[have:] == text[:-have])
+        longer[same] += x[same + have]
         x, have = longer, 2 * have
     return x
 
 
-def candidates(steps: np.ndarray, square: np.ndarray, text: np.ndarray, width: int, items: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, ...]:
+def candidates(inside: np.ndarray, square: np.ndarray, items: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, ...]:
     """(window, item, cosine) of all pairs with a cosine of COSINE or more, where the window is as far within the space as asked.
 
-    steps: the steps in latent space; square: their squared norms outside it; part: the part of each item that is inside.
+    inside: the windows in latent space; square: their squared norms outside it; part: the part of each item that is inside.
     """
-    inside = window_sums(steps, text, width)
-    length = np.linalg.norm(inside, axis=1)
-    share = length / np.sqrt(np.maximum(window_sums(square.astype(np.float64), text, width), 1e-9))
+    length = np.sqrt(np.einsum("ij,ij->i", inside, inside))
+    share = length / np.sqrt(np.maximum(square, 1e-9))
     live = np.flatnonzero((share >= INSIDE * part.min(initial=1)) & (length > 0))
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
     for a in range(0, len(live), 4096):
         own = live[a : a + 4096]
-        cosine = (inside[own] / length[own, None]) @ items.T
-        w, i = np.nonzero(cosine >= COSINE)
+        cosine = ((inside[own] / length[own, None]) @ items.T).ravel()
+        near = np.flatnonzero(cosine >= COSINE)
+        w, i = np.divmod(near, len(items))
         far = share[own[w]] >= INSIDE * part[i]
-        out.append((own[w[far]], i[far], cosine[w[far], i[far]]))
+        out.append((own[w[far]], i[far], cosine[near[far]]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -359,9 +369,11 @@ def _find(docs: DataFrame, items: _Items, idf: np.ndarray) -> DataFrame:
             for r, k, start in _runs(cuts[some], np.diff(cuts)[some]):
                 steps[some[r]] = np.add.reduceat(items.space[place[k]], start, axis=0)
             found: dict[tuple[int, int], tuple] = {}
-            for kind, numbers, directions, inner in items.groups:
+            square, have = square.astype(np.float64), 1
+            for kind, numbers, directions, inner in items.groups:  # by growing length
                 width = (STEP << kind) // items.step
-                w, i, cosine = candidates(steps, square, text, width, directions, inner)
+                steps, square, have = widen(steps, text, have, width), widen(square, text, have, width), width
+                w, i, cosine = candidates(steps, square, directions, inner)
                 own = numbers[i]
                 last = np.minimum(w + width, np.searchsorted(text, text[w], side="right"))
                 lo, hi = np.maximum(offsets[text[w]], starts[w] - lengths[own]), np.minimum(offsets[text[w] + 1], ends[last] + lengths[own])
