@@ -421,6 +421,18 @@ def _matrix(texts, vocabulary, idf):
     return np.array(rows)
 
 
+def test_decontamination_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "ITEM_BLOCK", 5)
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choices("bcdfgaeiou", k=6))
+    items = [(k, " ".join(word() for _ in range(rng.randint(12, 60)))) for k in range(23)] + [(50, None), (51, " ")]
+    rows = [(k, f"{' '.join(word() for _ in range(k % 9))} {t} {word()}", "en", "s", 1) for k, t in items[:23]] + [(100 + k, " ".join(word() for _ in range(60)), "en", "s", 1) for k in range(30)]
+    rows += [(None, items[0][1], "en", "s", 1), rows[3], (200, None, "en", "s", 1), (201, "", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("lang", "cosine").withColumn("d", F.lit(1)).repartition(4)
+    got = decontamination.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(((-1 if r.doc_id is None else r.doc_id), r.item_id) for r in got) == sorted([(k, k) for k in range(23)] + [(-1, 0)])
+
+
 @pytest.mark.parametrize("gram", [4096, 0])
 def test_latent_space_is_the_svd(spark, monkeypatch, gram):
     monkeypatch.setattr(decontamination, "GRAM", gram)
