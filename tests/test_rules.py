@@ -100,3 +100,20 @@ def test_solana_fallback_is_one_outflow_of_the_first_account(spark):
     )
     got = rows(wallet.solana_transfers(tx, spark.createDataFrame([("a",), ("b",)], "address string")))
     assert got == [("idle", "SOL", "b", "outflow", 0.0), ("moved", "SOL", "a", "inflow", 1e-9), ("moved", "m", "b", "inflow", 2.0), ("short", "SOL", "a", "outflow", 1.0)]
+
+
+def test_drawdown_of_a_symbol_comes_with_its_turnover(spark, monkeypatch):
+    """AG-29 whole: drawdown, Calmar ratio, turnover of the symbol's weights and mean change of its return, by hand."""
+    from types import SimpleNamespace
+
+    from tidemark.plans import queries_whole as q
+
+    day = lambda k: dt.date(2001, 1, 1) + dt.timedelta(days=k)
+    panel = spark.createDataFrame([("a", day(k), c) for k, c in enumerate([100.0, 110.0, 99.0, 99.0])] + [("b", day(0), 5.0), ("b", day(1), 10.0)], "symbol string, date date, close double")
+    monkeypatch.setattr(q, "weighted", lambda t: t.panel.join(spark.createDataFrame([("a", day(1), 0.5), ("a", day(2), -0.25), ("a", day(3), -0.25)], "symbol string, date date, w double"), ["symbol", "date"], "left").selectExpr("symbol", "date", "0D as ret", "coalesce(w, 0D) as weight"))
+    got = {r["symbol"]: r for r in q.ag_29_drawdown(SimpleNamespace(panel=panel)).collect()}
+    a, b = got["a"], got["b"]
+    assert a["max_drawdown"] == pytest.approx(-0.1) and a["calmar"] == pytest.approx(0.0, abs=1e-9)
+    assert a["turnover"] == pytest.approx((0.5 + 0.75) / 4)  # 0, 0.5, -0.25, -0.25: nothing is traded on the first and the last day
+    assert a["return_change"] == pytest.approx((0.1 + 0.2 + 0.1) / 3)  # returns 0.1, -0.1, 0
+    assert b["turnover"] == 0 and b["calmar"] is None and b["return_change"] == pytest.approx(1.0)

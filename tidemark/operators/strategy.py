@@ -138,10 +138,15 @@ def weights(df: DataFrame, s: Strategy) -> DataFrame:
     return _scaled(df, s).withColumn("weight", F.when(active, F.coalesce(carried, F.lit(0.0))).otherwise(0.0))
 
 
+def traded(df: DataFrame) -> DataFrame:
+    """Adds dw, the change of a symbol's weight from the day before, and gain, yesterday's weight on today's return."""
+    before = F.coalesce(F.lag("weight").over(_by_symbol()), F.lit(0.0))
+    return df.withColumn("dw", F.abs(F.col("weight") - before)).withColumn("gain", before * F.coalesce("ret", F.lit(0.0)))
+
+
 def daily(df: DataFrame, s: Strategy) -> DataFrame:
     """Gross and net return of the book by day: yesterday's weights on today's returns, less fees and slippage."""
-    before = F.coalesce(F.lag("weight").over(_by_symbol()), F.lit(0.0))
-    x = df.withColumn("dw", F.abs(F.col("weight") - before)).withColumn("gain", before * F.coalesce("ret", F.lit(0.0)))
+    x = traded(df)
     part = F.when(F.col("adv") >= s.min_adv_for_slippage, F.col("dw") * s.notional / F.col("adv")).otherwise(0.0)
     x = x.withColumn("part", part).withColumn("slip", s.slippage * F.col("dw") * F.sqrt("part"))
     d = x.groupBy("date").agg(

@@ -13,7 +13,7 @@ from tidemark.operators import stores, wallet
 from tidemark.operators import strategy as st
 from tidemark.operators.selection import quantiles
 from tidemark.plans.queries_basic import MOM, MONTHLY, RET, monthly, returns, symbol_mom
-from tidemark.plans.queries_domain import DAILY, DAYS, FEAT, RANKED, REGIME, SCORE, SLEEVE, TARGET, WEIGHT, S, macro_regime, oos_metrics, weighted
+from tidemark.plans.queries_domain import DAILY, DAYS, FEAT, RANKED, REGIME, SCORE, SLEEVE, TARGET, TRADE, WEIGHT, S, macro_regime, oos_metrics, weighted
 from tidemark.plans.queries_joins import OLD, SD
 from tidemark.plans.registry import query
 
@@ -85,15 +85,23 @@ def ag_26_baseline(t):
 
 @query(
     "ag_29_drawdown",
-    f"""select symbol, min(dd) as max_drawdown, avg(r) * 365 / nullif(abs(min(dd)), 0) as calmar from (select symbol, r, equity / max(equity) over (partition by symbol order by date rows unbounded preceding) - 1 as dd from
-    (select symbol, date, r, exp(sum(ln(1 + r)) over (partition by symbol order by date rows unbounded preceding)) as equity from ({RET}) x where r is not null) y) z group by symbol""",
-    "max_drawdown calmar",
+    f"""select symbol, max_drawdown, calmar, turnover, return_change from (select symbol, min(dd) as max_drawdown, avg(r) * 365 / nullif(abs(min(dd)), 0) as calmar, avg(abs(r - r0)) as return_change from (select symbol, r,
+    coalesce(lag(r) over (partition by symbol order by date), 0) as r0, equity / max(equity) over (partition by symbol order by date rows unbounded preceding) - 1 as dd from
+    (select symbol, date, r, exp(sum(ln(1 + r)) over (partition by symbol order by date rows unbounded preceding)) as equity from ({RET}) x where r is not null) y) z group by symbol) a
+    join (select symbol, avg(dw) as turnover from ({TRADE}) t group by symbol) b using (symbol)""",
+    "max_drawdown calmar turnover return_change",
 )
 def ag_29_drawdown(t):
+    """A symbol's drawdown and Calmar ratio, its mean daily turnover in the book, and the mean change of its return from day to day."""
     o = ts.w("symbol", "date")
     e = returns(t).filter("r is not null").withColumn("equity", ts.compound("r", o))
+    e = e.withColumn("dd", ts.drawdown("equity", o)).withColumn("r0", F.coalesce(F.lag("r").over(o), F.lit(0.0)))
     worst = F.min("dd")
-    return e.withColumn("dd", ts.drawdown("equity", o)).groupBy("symbol").agg(worst.alias("max_drawdown"), F.try_divide(F.avg("r") * 365, F.abs(worst)).alias("calmar"))
+    own = e.groupBy("symbol").agg(
+        worst.alias("max_drawdown"), F.try_divide(F.avg("r") * 365, F.abs(worst)).alias("calmar"), F.avg(F.abs(F.col("r") - F.col("r0"))).alias("return_change")
+    )
+    traded = st.traded(weighted(t)).groupBy("symbol").agg(F.avg("dw").alias("turnover"))
+    return own.join(traded, "symbol").select("symbol", "max_drawdown", "calmar", "turnover", "return_change")
 
 
 @query(
