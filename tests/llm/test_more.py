@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.llm.test_llm import SCHEMA, TR, brute_components, corpus
 from tidemark.llm import decontamination, language_id, line_dedup, lm_scoring, ngram_join, packing, span_dedup, token_counts, vector_search
-from tidemark.llm._common import SLICE_BYTES
+from tidemark.llm._common import SLICE_BYTES, slices
 
 
 def test_neighbours_where_an_id_repeats(spark):
@@ -237,3 +238,30 @@ def test_plan_does_not_grow_with_the_pieces():
         kinds.append(sum(len(set(lengths)) for lengths, _ in packing.plan(h)))
     assert kinds[2] < 3 * kinds[0] + 5_000
     assert list(itertools.chain(packing.plan(Counter()))) == []
+
+
+def test_a_worker_keeps_one_operators_memory():
+    """Words and tokenizer of op3 go when another operator's task comes, and stay for its own."""
+    batch, path = pa.RecordBatch.from_pydict({"t": ["some words"]}), packing.public_tokenizers.path("word_bpe_49k.json")
+    own = (packing._word_ids, packing._tokenizer)
+    list(slices(iter([batch]), "t", keeps=own))
+    memory = packing._word_ids(path)
+    list(slices(iter([batch]), "t", keeps=own))
+    assert packing._word_ids(path) is memory
+    assert list(slices(iter([batch]), "t")) == [batch]
+    assert [f.cache_info().currsize for f in own] == [0, 0]
+
+
+def test_memory_of_scoring_new_words_is_bounded(spark):
+    """100,000 new words at once: bits as of each alone, in a few MB beside the words that are remembered."""
+    identifier = language_id.fit(spark.createDataFrame(corpus(), SCHEMA))
+    rng = random.Random(3)
+    new = list(dict.fromkeys("".join(rng.choices("abcdefghijklmno", k=9)) for _ in range(100_000)))
+    identifier.bits_of(new[:10])
+    tracemalloc.start()
+    got = identifier.bits_of(new)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for k in (0, 11, len(new) // 2, len(new) - 1):
+        assert np.array_equal(got[k], identifier._score(pa.array([new[k]]))[0])
+    assert peak < 60e6, peak

@@ -7,12 +7,13 @@ memory does not depend on how Spark sized the batch.
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import tempfile
 import time
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -105,11 +106,28 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, budget: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+#: The cached functions whose values this worker keeps from task to task.
+_kept: set[Callable] = set()
+
+
+def _give_back() -> None:
+    """What neither Arrow's pool nor the C library's heap uses any more goes back, where the latter can do so."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError, TypeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, budget: int = SLICE_BYTES, keeps: tuple[Callable, ...] = ()) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of the batches with at most ``budget`` bytes of ``column`` each, or one row.
 
-    At the end what Arrow's pool no longer uses goes back: a worker lives on after its task.
+    A worker lives on after its task, and others' tasks come to it. So what is no longer used goes back before and after,
+    and of what cached functions hold only the values of ``keeps`` stay.
     """
+    for other in _kept.difference(keeps):
+        other.cache_clear()
+    _kept.clear()
+    _kept.update(keeps)
+    _give_back()
     try:
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -121,7 +139,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, budget: int = SLICE_B
                 yield batch.slice(at, upto - at)
                 at = upto
     finally:
-        pa.default_memory_pool().release_unused()
+        _give_back()
 
 
 def row_slices(batches: Iterator[pa.RecordBatch], field: str) -> Iterator[pa.RecordBatch]:

@@ -129,7 +129,7 @@ def pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     path = tokenizer_path or public_tokenizers.path("word_bpe_49k.json")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "t", 2 << 20):
+        for part in slices(batches, "t", 2 << 20, (_word_ids, _tokenizer)):
             distinct, index, offsets = words(part.column("t"), lower=False)
             memory = _word_ids(path)
             first, count = (x[:, index].T.ravel() for x in memory.encode(distinct))

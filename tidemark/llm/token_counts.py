@@ -42,7 +42,7 @@ def length_histogram(df: DataFrame, text: str = "text", ranks_path: str | None =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, seen = _encoder(path).encode_ordinary, Counter()
-        for part in slices(batches, "t"):
+        for part in slices(batches, "t", keeps=(_encoder,)):
             seen.update(len(encode(t)) if t else 0 for t in part.column("t").to_pylist())
         yield pa.RecordBatch.from_pydict({"length": pa.array(list(seen), pa.int64()), "n": pa.array(list(seen.values()), pa.int64())})
 
